@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe
+from . import bpe, decontaminate, licenses, urlfilter
 from .common import table
 
 
@@ -14,6 +15,13 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The list: the canonical URLs of the pages whose host's first label is one of LISTED_LABELS."""
+    pages = table(spark, sf_dir, "pages")
+    feed = pages.filter(F.split_part(urlfilter.host_of(F.col("url")), F.lit("."), F.lit(1)).isin(*urlfilter.LISTED_LABELS))
+    return urlfilter.judge_urls(pages, urlfilter.listed_urls(feed))
+
+
 def op5_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoding_digests(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"))
 
@@ -22,6 +30,24 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_counts(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
-QUERIES = {"op5_bpe_codec": op5_bpe_codec, "op9_token_counts": op9_token_counts}
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(table(spark, sf_dir, "documents"))
+
+
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.drop("items")
+
+
+QUERIES = {
+    "op3_url_filter": op3_url_filter,
+    "op5_bpe_codec": op5_bpe_codec,
+    "op6_license_scan": op6_license_scan,
+    "op8_decontaminate": op8_decontaminate,
+    "op9_token_counts": op9_token_counts,
+}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_url_filter": urlfilter.oracle_sql(),
+    "op6_license_scan": licenses.oracle_sql(),
+}
