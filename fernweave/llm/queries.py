@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, licenses, urlfilter
+from . import bpe, decontaminate, fingerprints, licenses, urlfilter
 from .common import table
 
 
@@ -15,6 +15,10 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The list: the canonical URLs of the pages whose host's first label is one of LISTED_LABELS."""
     pages = table(spark, sf_dir, "pages")
@@ -40,6 +44,7 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_fingerprints": op2_fingerprints,
     "op3_url_filter": op3_url_filter,
     "op5_bpe_codec": op5_bpe_codec,
     "op6_license_scan": op6_license_scan,
