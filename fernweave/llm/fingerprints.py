@@ -18,8 +18,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A paragraph is a line with anything in it.
-PARAGRAPH = r"\n"
+#: A paragraph ends at a line feed, or behind . ! ? with white space after them (texts here rarely have more
+#: than a line between blank ones, and short texts would have a single paragraph).
+PARAGRAPH = r"\n|(?<=[.!?])\s+"
 #: Cells of each of a fingerprint's three parts; of the blocks' sketches, from one try to the next; digests in a block.
 PART, BLOCK_PARTS, IN_BLOCK = 4, (8, 16, 32), 6
 ROUNDS = 10
