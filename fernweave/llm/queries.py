@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, fingerprints, language, licenses, quality, urlfilter
+from . import bpe, decontaminate, fingerprints, language, licenses, pii, quality, urlfilter
 from .common import table
 
 
@@ -26,6 +26,11 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge_urls(pages, urlfilter.listed_urls(feed))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pii.private_spans(docs, pii.fit(docs))
+
+
 def op5_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoding_digests(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"))
 
@@ -56,6 +61,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_fingerprints": op2_fingerprints,
     "op3_url_filter": op3_url_filter,
+    "op4_pii": op4_pii,
     "op5_bpe_codec": op5_bpe_codec,
     "op6_license_scan": op6_license_scan,
     "op7_language": op7_language,
