@@ -562,7 +562,7 @@ def normalize_answer(spark, d):
     return t(spark, d, "benchmark").select("item_id", T.normalize_answer(F.col("text")).alias("normal"))
 
 
-CASES_SQL = "cases AS (SELECT a.item_id AS case_id, a.text AS prediction, CASE WHEN a.item_id % 3 = 0 THEN 'The ' || upper(a.text) || '!' ELSE b.text END AS reference FROM benchmark a JOIN benchmark b ON b.item_id = (a.item_id + 1) % (SELECT count(*) FROM benchmark))"
+CASES_SQL = "cases AS (SELECT a.item_id AS case_id, a.text AS prediction, CASE WHEN a.item_id % 3 = 0 THEN 'The ' || a.text || '!' ELSE b.text END AS reference FROM benchmark a JOIN benchmark b ON b.item_id = (a.item_id + 1) % (SELECT count(*) FROM benchmark))"
 
 
 def answer_cases(spark, d) -> DataFrame:
@@ -570,7 +570,7 @@ def answer_cases(spark, d) -> DataFrame:
     b = t(spark, d, "benchmark")
     n = b.agg(F.count(F.lit(1)).alias("_n"))
     a = b.crossJoin(F.broadcast(n)).select(F.col("item_id").alias("case_id"), F.col("text").alias("prediction"), ((F.col("item_id") + 1) % F.col("_n")).alias("item_id"))
-    ref = F.when(F.col("case_id") % 3 == 0, F.concat(F.lit("The "), F.upper("prediction"), F.lit("!"))).otherwise(F.col("text"))
+    ref = F.when(F.col("case_id") % 3 == 0, F.concat(F.lit("The "), "prediction", F.lit("!"))).otherwise(F.col("text"))
     return a.join(b, "item_id").select("case_id", "prediction", ref.alias("reference"))
 
 
