@@ -22,7 +22,7 @@ def direct_corpus(chunks: DataFrame, source: str, name: str, position: str, text
     """Each group's sources as "[Source: name]" and their chunks in order, blank ones left out. A source's text
     is one value, so a group is bounded by the direct-mode threshold; larger corpora are retrieved from instead."""
     per = chunks.groupBy(*group, source).agg(F.first(name).alias("_name"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(position, text))), lambda x: x[text]), "\n\n").alias("_body"))
-    per = per.filter(F.trim("_body") != "").withColumn("_part", F.concat(F.lit("[Source: "), "_name", F.lit("]\n"), "_body"))
+    per = per.filter(F.col("_body").rlike(r"(?U)\S")).withColumn("_part", F.concat(F.lit("[Source: "), "_name", F.lit("]\n"), "_body"))
     return per.groupBy(*group).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(source, "_part"))), lambda x: x["_part"]), "\n\n").alias("corpus"))
 
 

@@ -31,7 +31,7 @@ def page_vectors(pages: DataFrame) -> DataFrame:
     ``pages``: source_id, page_number, description, raw_text, tables (title, columns, rows)."""
     base = ["source_id", "page_number"]
     described = pages.select(*base, F.lit("description").alias("vector_type"), F.lit(0).alias("pos"), F.col("description").alias("text"))
-    raw = pages.filter(F.trim(F.coalesce("raw_text", F.lit(""))) != "").select(*base, F.lit("raw_text").alias("vector_type"), F.lit(0).alias("pos"), F.col("raw_text").alias("text"))
+    raw = pages.filter(F.col("raw_text").rlike(r"(?U)\S")).select(*base, F.lit("raw_text").alias("vector_type"), F.lit(0).alias("pos"), F.col("raw_text").alias("text"))
     tables = pages.select(*base, F.posexplode("tables").alias("t_pos", "t")).select(*base, "t_pos", "t", F.posexplode("t.rows").alias("r_pos", "row"))
     rows = tables.select(*base, F.lit("table_row").alias("vector_type"), (F.col("t_pos") * 10_000 + F.col("r_pos")).alias("pos"), table_row_text(F.col("t.title"), F.col("t.columns"), F.col("row")).alias("text"))
     return described.unionByName(raw).unionByName(rows)

@@ -7,8 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import plugins
 from ..functions import text as T
-from ..operators import assemble, evaluate, graph, manage, memory, search, structured
+from ..operators import assemble, chunking, evaluate, graph, manage, memory, search, structured
+from ..sources import markup
+from ..streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -632,3 +635,57 @@ def benchmark_report(spark, d):
     em = cases.select("case_id", evaluate.exact_match(F.col("prediction"), F.col("reference")).alias("em"))
     full = em.join(evaluate.token_f1(cases), "case_id").withColumns({"recall": F.when(F.col("case_id") % 4 > 0, 1.0), "precision": F.lit(0.5), "grounding": F.when(F.col("case_id") % 5 == 0, "ungrounded").otherwise("grounded")})
     return evaluate.report(full).withColumns({"mean_em": F.round("mean_em", 6), "mean_f1": F.round("mean_f1", 6)})
+
+
+# --- plug-ins, parsers, streams: no SQL form, held against brute force in the tests --------------------------------
+
+
+def _pages_of_documents(spark, d) -> DataFrame:
+    return t(spark, d, "documents").select(F.col("doc_id").alias("source_id"), F.lit(1).alias("page_number"), F.col("text").alias("content"))
+
+
+@checked()
+def chunk_flat(spark, d):
+    return chunking.chunks(_pages_of_documents(spark, d))
+
+
+@checked()
+def chunk_parent_child(spark, d):
+    return chunking.chunks(_pages_of_documents(spark, d), 60, 10, -1)
+
+
+@checked()
+def embed_plugin(spark, d):
+    return plugins.embedded(t(spark, d, "conversations"), plugins.HashEmbeddings(), "text").select("conv_id", "turn", F.transform("embedding", lambda x: F.round(x.cast("double"), 6)).alias("embedding"))
+
+
+@checked()
+def rerank_plugin(spark, d):
+    docs, q = t(spark, d, "documents"), benchmark_queries(spark, d)
+    hits = search.top_k(search.bm25_scores(docs, q), 20, "doc_id").select("query_id", "doc_id")
+    full = docs.select("doc_id", F.col("text").alias("content")).join(F.broadcast(hits), "doc_id").join(F.broadcast(q), "query_id").withColumnRenamed("doc_id", "chunk_id")
+    return plugins.reranked(full, plugins.OverlapReranker(), 5)
+
+
+@checked()
+def xml_parse(spark, d):
+    """Each region with its nations as an XML file."""
+    n = t(spark, d, "nation").groupBy("n_regionkey").agg(F.array_join(F.array_sort(F.collect_list(F.concat(F.lit('<nation Name="'), "n_name", F.lit('" key="'), F.col("n_nationkey").cast("string"), F.lit('"/>')))), "").alias("x"))
+    files_ = n.select(F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("path"), F.concat(F.lit("<doc>"), "x", F.lit("</doc>")).cast("binary").alias("content"))
+    return markup.xml_pages(files_)
+
+
+@checked()
+def l5x_parse(spark, d):
+    """Each nation's suppliers as the modules and tags of a controller export."""
+    s = t(spark, d, "supplier").groupBy("s_nationkey").agg(
+        F.array_join(F.array_sort(F.collect_list(F.concat(F.lit('<Tag Name="'), F.translate("s_name", "#", "_"), F.lit('" DataType="DINT"/>')))), "").alias("tags"),
+        F.array_join(F.array_sort(F.collect_list(F.concat(F.lit('<Module Name="'), "s_name", F.lit('" CatalogNumber="1756"/>')))), "").alias("modules"),
+    )
+    xml = F.concat(F.lit('<RSLogix5000Content><Controller Name="C"><Tags>'), "tags", F.lit("</Tags><Modules>"), "modules", F.lit("</Modules></Controller></RSLogix5000Content>"))
+    return markup.controller_export_pages(s.select(F.concat(F.lit("n"), F.col("s_nationkey").cast("string")).alias("path"), xml.cast("binary").alias("content")))
+
+
+@checked("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def windowed_usage(spark, d):
+    return ingest.windowed_usage(t(spark, d, "events")).withColumn("total", F.round("total", 4))
