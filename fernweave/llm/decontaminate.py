@@ -142,3 +142,19 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, size: int = 10, text_
             yield batch.filter(pa.array(clean, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
+
+
+def oracle_sql(size: int = 10) -> str:
+    """contamination() over the tables documents and benchmark in DuckDB's SQL: all windows of a text, joined by equality."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    words = f"regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+    cut = "array_to_string(w[pos:pos + len - 1], ' ')"
+    return f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {words} AS w FROM documents),
+    b AS (SELECT item_id, {words} AS w FROM benchmark),
+    items AS (SELECT DISTINCT item_id, len, {cut} AS win FROM (SELECT *, least({size}, len(w)) AS len, unnest(range(1, greatest(1, len(w) - {size} + 1) + 1)) AS pos FROM b WHERE len(w) > 0)),
+    starts AS (SELECT rid, pos, len, {cut} AS win FROM (SELECT rid, w, l.len AS len, unnest(range(1, len(w) - l.len + 2)) AS pos FROM d, (SELECT DISTINCT len FROM items) l WHERE len(w) >= l.len)),
+    found AS (SELECT rid, pos, s.len AS len, item_id FROM starts s JOIN items i ON s.win = i.win AND s.len = i.len),
+    hit AS (SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(range(pos, pos + len)) AS p FROM found) GROUP BY 1),
+    ids AS (SELECT rid, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS items FROM found GROUP BY 1)
+    SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+    FROM d LEFT JOIN hit USING (rid) LEFT JOIN ids USING (rid)"""

@@ -78,4 +78,5 @@ QUERIES = {
 ORACLE_SQL: dict[str, str] = {
     "op3_url_filter": urlfilter.oracle_sql(),
     "op6_license_scan": licenses.oracle_sql(),
+    "op8_decontaminate": decontaminate.oracle_sql(),
 }
