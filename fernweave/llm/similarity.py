@@ -361,12 +361,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, rec
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """``docs``, all columns as they are, with one row of each group of near-duplicates: that of the least id (of
-    its rows the one whose text's hash is least). Rows without a word stay, each text once for an id."""
-    found = near_duplicates(docs, id_col=id_col, text_col=text_col, **how)
-    first = found.groupBy("class_id").agg(F.min(F.struct(F.col(id_col).alias("_id"), F.col("text_hash").alias("_th"))).alias("_x"))
-    # Where no id is known, groups can't be told apart by it: all their rows stay.
-    keep = written(first.filter("class_id IS NOT NULL").select("_x.*"))
+    its rows the one whose text's digest is least). Rows without a word stay, each text once for an id. Groups
+    without any id can't be told apart by it: of them each text stays once."""
+    found = near_duplicates(docs, id_col=id_col, text_col=text_col, **how).select("class_id", F.col(id_col).alias("_id"), F.col("text_hash").alias("_th"))
+    first = found.filter("_id IS NOT NULL").groupBy("class_id").agg(F.min(F.struct("_id", "_th")).alias("_x")).select("_x.*")
+    keep = written(first.unionByName(found.filter("_id IS NULL AND class_id IS NULL").select("_id", "_th").distinct()))
     named = docs.withColumn("_th", F.xxhash64(F.col(text_col).cast("string")))
-    on: Column = (named[id_col] == keep["_id"]) & (named["_th"] == keep["_th"])
-    kept = named.filter(F.col(id_col).isNotNull()).join(keep, on, "left_semi").dropDuplicates([id_col, "_th"]).drop("_th")
-    return kept.unionByName(docs.filter(F.col(id_col).isNull()))
+    on: Column = named[id_col].eqNullSafe(keep["_id"]) & (named["_th"] == keep["_th"])
+    return named.join(keep, on, "left_semi").dropDuplicates([id_col, "_th"]).drop("_th")
