@@ -32,23 +32,31 @@ def corpus_stats(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(n).alias("avgdl"))
 
 
-def term_idf(posts: DataFrame, stats: DataFrame) -> DataFrame:
+def document_frequency(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(term, df): each text's distinct terms, counted before the shuffle, so that it carries a vocabulary a task."""
+    return docs.select(F.explode(F.array_distinct(tokens(F.col(text_col)))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+
+
+def term_idf(df: DataFrame, stats: DataFrame) -> DataFrame:
     """(term, df, idf): ln(N - df + .5) - ln(df + .5); negative ones become EPSILON times the mean over the vocabulary."""
-    df = posts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     raw = df.crossJoin(F.broadcast(stats)).withColumn("raw", F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.agg(F.avg("raw").alias("mean"))  # one row
     return raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, F.col("mean") * EPSILON).otherwise(F.col("raw")).alias("idf"))
 
 
 def bm25_scores(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(query_id, id, score > 0). ``queries``: query_id, query. A term asked twice counts twice."""
+    """(query_id, id, score > 0). ``queries``: query_id, query. A term asked twice counts twice.
+
+    Only the queries' terms of a text are counted: they are met by a broadcast join before the shuffle."""
     asked = queries.select("query_id", F.explode(tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("n"))
-    posts = postings(docs, id_col, text_col)
     stats = corpus_stats(docs, text_col)
-    idf = term_idf(posts, stats)
-    wanted = F.broadcast(asked.join(idf, "term").select("query_id", "term", "n", "idf"))  # as many rows as the queries have terms
+    idf = term_idf(document_frequency(docs, text_col), stats)
+    wanted = asked.join(idf, "term").select("query_id", "term", "n", "idf")  # as many rows as the queries have terms
+    toks = docs.select(F.col(id_col), tokens(F.col(text_col)).alias("_t"))
+    met = toks.select(id_col, F.size("_t").alias("dl"), F.explode("_t").alias("term")).join(F.broadcast(asked.select("term").distinct()), "term")
+    counted = met.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
     weight = F.col("n") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = posts.join(wanted, "term").crossJoin(F.broadcast(stats)).groupBy("query_id", id_col).agg(F.sum(weight).alias("score"))
+    scored = counted.join(F.broadcast(wanted), "term").crossJoin(F.broadcast(stats)).groupBy("query_id", id_col).agg(F.sum(weight).alias("score"))
     return scored.filter("score > 0")
 
 

@@ -76,7 +76,7 @@ def tokenize_tf(spark, d):
 @checked(f"WITH {ONE_Q}, {BM25_CTE} SELECT term, df, round(idf, 6) AS idf FROM idf")
 def bm25_stats(spark, d):
     docs = t(spark, d, "documents")
-    return search.term_idf(search.postings(docs), search.corpus_stats(docs)).select("term", "df", F.round("idf", 6).alias("idf"))
+    return search.term_idf(search.document_frequency(docs), search.corpus_stats(docs)).select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @checked(f"WITH {ONE_Q}, {BM25_CTE} {ranked_sql('bm', 10)}")
