@@ -30,6 +30,8 @@ COORDINATES = 64
 TWO = 0.25
 FIRST_DEPTH, STEP, LAST_DEPTH = 3, 2, 7
 LEAF, TILE = 100, 256
+#: Up to so many candidates' numbers (8 bytes each) are broadcast to sift their sets before a shuffle.
+BROADCAST_ROWS = 2_000_000
 _M = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -345,7 +347,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, rec
     maybe = components(edges)
     dropped(spark, *held)
     members = written(_grouped(maybe).join(classes.select("_row", "_weight"), "_row"))
-    with_sets = _tiled(members).join(base.select("_row", "_set"), "_row")
+    sets = base.select("_row", "_set")
+    if members.count() <= BROADCAST_ROWS:
+        # Only members' sets go into the shuffle; beyond the bound the join itself drops the others.
+        sets = sets.join(F.broadcast(members.select("_row")), "_row", "left_semi")
+    with_sets = _tiled(members).join(sets.hint("merge"), "_row")
     linked = written(_linked(with_sets, similarity))
     final = components(linked.filter("_hub < _row").select(F.col("_row").alias("_a"), F.col("_hub").alias("_b")).distinct())
     links = linked.groupBy("_row").agg(F.sum("_links").alias("_links"))
