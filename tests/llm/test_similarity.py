@@ -55,8 +55,9 @@ def corpus(seed=4):
     return out + [(2001, ""), (2002, None), (2003, "!!"), (2004, "Two words"), (2005, "two  WORDS"), (None, "two words"), (2001, "")]
 
 
-@pytest.mark.parametrize("leaf, tile", [(100, 256), (2, 7)])
-def test_links_and_classes_by_brute_force(spark, monkeypatch, leaf, tile):
+@pytest.mark.parametrize("leaf, tile, sifted", [(100, 256, 1000), (2, 7, 0)])
+def test_links_and_classes_by_brute_force(spark, monkeypatch, leaf, tile, sifted):
+    monkeypatch.setattr(similarity, "BROADCAST_ROWS", sifted)
     monkeypatch.setattr(similarity, "LEAF", leaf)
     monkeypatch.setattr(similarity, "TILE", tile)
     rows = corpus()
