@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from fernweave.llm import bpe, decontaminate, language, pii, similarity
 from fernweave.llm.common import table, written
 from fernweave.llm.queries import tokenizer_path
+from fernweave.shipping import shipped
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,11 +41,11 @@ def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
-    ("language_id", language_id),
-    ("near_duplicates", near_duplicates),
-    ("decontamination", decontamination),
-    ("personal_data", personal_data),
-    ("token_ids", token_ids),
+    ("language_id", shipped(language_id)),
+    ("near_duplicates", shipped(near_duplicates)),
+    ("decontamination", shipped(decontamination)),
+    ("personal_data", shipped(personal_data)),
+    ("token_ids", shipped(token_ids)),
 ]
 
 #: A conditional random field's decisions have no SQL form; the tests hold the stages against brute force.
