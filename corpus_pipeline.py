@@ -16,7 +16,8 @@ from fernweave.shipping import shipped
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or without a language that holds half of the letters, go."""
+    """Documents without a letter, or without a language that holds a third of the letters, go; texts in two
+    languages stay."""
     return language.known_language(docs, language.fit(docs))
 
 

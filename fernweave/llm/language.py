@@ -234,7 +234,7 @@ def identify(docs: DataFrame, model: bytes, held_out: tuple[int, int] = (4, 2),
     return d.mapInArrow(run, f"`{id_col}` {kind}, held_out boolean, lang_pred string, score double")
 
 
-def known_language(docs: DataFrame, model: bytes, least: float = 0.5, text_col: str = "text") -> DataFrame:
+def known_language(docs: DataFrame, model: bytes, least: float = 0.34, text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns as they are, with a language that holds at least ``least`` of the
     letters: those without letters, and those without a prevailing language, go."""
     import pyarrow as pa
