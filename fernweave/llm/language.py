@@ -158,7 +158,9 @@ class Model:
         held: list[list[list[str]]] = []
         n = 0
         for text in texts:
-            held.append(chains_of(text) if text else [])
+            chains = chains_of(text) if text else []
+            # Signs for numbers (², Ⅷ) count as word characters; a text of such alone has no letter.
+            held.append(chains if any(c.isalpha() for chain in chains for w in chain for c in w) else [])
             n += sum(map(len, held[-1]))
             if n >= AT_ONCE:
                 out += self._label(held)

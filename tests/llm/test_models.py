@@ -122,7 +122,7 @@ def test_forward_backward_by_enumeration():
 
 
 def test_language_edge_cases(spark):
-    d = spark.createDataFrame([(1, "der die und", "de"), (3, "the and of", "en"), (4, None, "en"), (5, "123 !", None), (None, "the of", None), (6, "", "en")], "doc_id long, text string, lang string").withColumn("score", F.lit("x"))
+    d = spark.createDataFrame([(1, "der die und", "de"), (3, "the and of", "en"), (4, None, "en"), (5, "123 ! ² Ⅷ", None), (None, "the of", None), (6, "", "en")], "doc_id long, text string, lang string").withColumn("score", F.lit("x"))
     m = language.fit(d)
     got = {r.doc_id: r for r in language.identify(d, m).collect()}
     assert got[4].lang_pred == got[5].lang_pred == got[6].lang_pred == "und" and got[4].score == 0.0
