@@ -52,3 +52,39 @@ def batch_dedup(records: DataFrame, keys: list[str], order: str) -> DataFrame:
     rest = [c for c in records.columns if c not in keys]
     first = records.groupBy(*keys).agg(F.min_by(F.struct(*rest), order).alias("_x"))
     return first.select(*keys, *[F.col(f"_x.{c}").alias(c) for c in rest])
+
+
+def listed_sources(sources: DataFrame, knowledge_id=None, order: str = "created_at") -> DataFrame:
+    """Latest first, of one knowledge base or of all."""
+    d = sources.filter(F.col("knowledge_id") == knowledge_id) if knowledge_id is not None else sources
+    return d.orderBy(F.desc(order), F.asc("source_id"))
+
+
+def found_by_hash(sources: DataFrame, file_hash: str, knowledge_id=None) -> DataFrame:
+    """One source with that content, at most; without a knowledge base, of any."""
+    d = sources.filter(F.col("file_hash") == file_hash)
+    d = d.filter(F.col("knowledge_id") == knowledge_id) if knowledge_id is not None else d
+    return d.orderBy("source_id").limit(1)
+
+
+def by_ids(rows: DataFrame, ids: DataFrame, key: str = "source_id") -> DataFrame:
+    """A row for each asked id in the order asked (``ids``: key, ord), null where it is unknown."""
+    return ids.join(rows, key, "left").orderBy("ord")
+
+
+def with_payload(rows: DataFrame, ids: list, payload: dict[str, str], key: str = "point_id") -> DataFrame:
+    """Merges keys into the map column ``payload`` of the rows with those ids; given values win."""
+    new = F.create_map(*[F.lit(x) for kv in payload.items() for x in kv])
+    kept = F.map_filter("payload", lambda k, v: ~k.isin(*payload))
+    return rows.withColumn("payload", F.when(F.col(key).isin(*ids), F.map_concat(F.coalesce(kept, F.create_map().cast("map<string,string>")), new)).otherwise(F.col("payload")))
+
+
+def embedding_migration(sources: DataFrame, current_model: str) -> DataFrame:
+    """One row: how many sources another model embedded that aren't stale yet."""
+    stale = ~F.col("stale") & (F.col("embedding_model") != current_model) if current_model else F.lit(False)
+    return sources.agg(F.count_if(stale).alias("to_migrate"))
+
+
+def without_credentials(uri):
+    """A URI without its user information, for logs."""
+    return F.regexp_replace(uri, "//[^@/]*@", "//")

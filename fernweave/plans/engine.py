@@ -87,10 +87,13 @@ class KnowledgeEngine:
         chunks = chunks.filter(F.col("knowledge_id") == knowledge_id) if knowledge_id else chunks
         queries = queries.filter(F.col("query").rlike(r"(?U)\S"))
         fetch = k * search.OVER_FETCH
-        lists = [(search.top_k(search.bm25_scores(chunks, queries, "chunk_id", "content"), fetch, "chunk_id"), self.retrieval.keyword_weight)]
-        if self.embeddings:
+        # A weight of 0 turns a kind of search off.
+        lists = [(search.top_k(search.bm25_scores(chunks, queries, "chunk_id", "content"), fetch, "chunk_id"), self.retrieval.keyword_weight)] if self.retrieval.keyword_weight else []
+        if self.embeddings and self.retrieval.dense_weight:
             asked = embedded(queries, self.embeddings, "query", "qvec").select("query_id", "qvec")
             lists.append((search.top_k(search.dense_scores(chunks.filter("embedding IS NOT NULL"), asked, "chunk_id"), fetch, "chunk_id"), self.retrieval.dense_weight))
+        if not lists:
+            raise InputError("no kind of search is on")
         hits = search.fused(lists, "chunk_id") if len(lists) > 1 else lists[0][0]
         hits = hits.select("query_id", "chunk_id", "score")
         content = chunks.select("chunk_id", "chunk_type", "source_id", "page_number", "section", "content")
@@ -121,6 +124,16 @@ class KnowledgeEngine:
         text = assemble.context(hits, ordering, order_by=[F.asc("rank")]).first().context
         return {"mode": mode, "answer": self.generator.generate(f"{text}\n{query}"), "sources": sorted({h.source_id for h in found})}
 
+    def query_stream(self, query: str, knowledge_id: str | None = None, **how):
+        """The answer word by word, then its sources: a generator on the driver, for one reader."""
+        got = self.query(query, knowledge_id, **how)
+        if got["answer"] is None:
+            yield {"event": "done", "sources": []}
+            return
+        for word in got["answer"].split(" "):
+            yield {"event": "chunk", "text": word}
+        yield {"event": "sources", "sources": got["sources"]}
+
     def mode(self, knowledge_id: str | None = None) -> str:
         if self.routing.mode != "auto":
             return self.routing.mode
@@ -136,6 +149,30 @@ class KnowledgeEngine:
         return evaluate.content_recall_precision(full).agg(F.count(F.lit(1)).alias("n_cases"), F.avg("recall").alias("mean_recall"), F.avg("precision").alias("mean_precision"))
 
 
+def vector_only(spark: SparkSession, path: str, embeddings: Embeddings, **how) -> KnowledgeEngine:
+    return KnowledgeEngine(spark, path, embeddings, RetrievalConfig(keyword_weight=0.0), **how)
+
+
+def document_only(spark: SparkSession, path: str, **how) -> KnowledgeEngine:
+    return KnowledgeEngine(spark, path, None, RetrievalConfig(keyword_weight=0.8), **how)
+
+
+class Collections:
+    """Engines by name; the first is the default."""
+
+    def __init__(self, engines: dict[str, KnowledgeEngine]):
+        if not engines:
+            raise InputError("no collections")
+        self.engines = engines
+
+    def __getitem__(self, name: str | None) -> KnowledgeEngine:
+        if name is None:
+            return next(iter(self.engines.values()))
+        if name not in self.engines:
+            raise InputError(f"unknown collection {name!r}")
+        return self.engines[name]
+
+
 class MemoryEngine:
     """Facts drawn from conversations by an extractor (text of a conversation to facts), kept once each."""
 
