@@ -72,6 +72,43 @@ def dense_scores(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id",
     return vectors.crossJoin(F.broadcast(queries)).select("query_id", id_col, cosine(F.col(vector_col), F.col("qvec")).alias("score"))
 
 
+def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", digits: int = 6) -> DataFrame:
+    """top_k() of dense_scores() for many queries: each Arrow batch of vectors meets a block of queries as one matrix
+    product and passes on only its own k best (and their ties) for each query, so that what is shuffled grows
+    with batches and queries, not with pairs. Queries beyond BATCH go in further blocks. Null vectors are left out."""
+    import numpy as np
+
+    asked = queries.select("query_id", "qvec")
+    blocks = -(-asked.count() // BATCH)
+    kinds = f"query_id {asked.schema['query_id'].dataType.simpleString()}, `{id_col}` {vectors.schema[id_col].dataType.simpleString()}, score double"
+    parts: list[DataFrame] = []
+    for b in range(max(1, blocks)):
+        rows = (asked if blocks <= 1 else asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)).collect()
+        ids, matrix = [r.query_id for r in rows], np.array([r.qvec for r in rows], np.float64)
+        norms = np.linalg.norm(matrix, axis=1) if len(rows) else None
+        sent = vectors.sparkSession.sparkContext.broadcast((ids, matrix / np.where(norms == 0, np.nan, norms)[:, None] if len(rows) else matrix))
+
+        def run(batches, sent=sent):
+            import pandas as pd
+
+            own, q = sent.value
+            for batch in batches:
+                if not len(own) or not len(batch):
+                    continue
+                m = np.stack(batch[vector_col].to_numpy()).astype(np.float64)
+                length = np.linalg.norm(m, axis=1)
+                m /= np.where(length == 0, np.nan, length)[:, None]
+                for lo in range(0, len(own), 512):
+                    s = np.round(m @ q[lo : lo + 512].T, digits)
+                    s = np.where(np.isnan(s), -np.inf, s)
+                    least = np.partition(s, len(s) - k, axis=0)[len(s) - k] if len(s) > k else np.full(s.shape[1], -np.inf)
+                    i, j = np.nonzero((s >= least) & (s > -np.inf))
+                    yield pd.DataFrame({"query_id": [own[lo + x] for x in j], id_col: batch[id_col].to_numpy()[i], "score": s[i, j]})
+
+        parts.append(vectors.select(id_col, vector_col).filter(F.col(vector_col).isNotNull()).mapInPandas(run, kinds))
+    return top_k(reduce(DataFrame.unionByName, parts), k, id_col, digits=digits)
+
+
 def sparse_scores(sparse: DataFrame, query_terms: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Dot product of sparse vectors in rows (id, term, weight) and (query_id, term, qweight)."""
     return sparse.join(F.broadcast(query_terms), "term").groupBy("query_id", id_col).agg(F.sum(F.col("weight") * F.col("qweight")).alias("score"))

@@ -91,7 +91,7 @@ class KnowledgeEngine:
         lists = [(search.top_k(search.bm25_scores(chunks, queries, "chunk_id", "content"), fetch, "chunk_id"), self.retrieval.keyword_weight)] if self.retrieval.keyword_weight else []
         if self.embeddings and self.retrieval.dense_weight:
             asked = embedded(queries, self.embeddings, "query", "qvec").select("query_id", "qvec")
-            lists.append((search.top_k(search.dense_scores(chunks.filter("embedding IS NOT NULL"), asked, "chunk_id"), fetch, "chunk_id"), self.retrieval.dense_weight))
+            lists.append((search.dense_top_k(chunks, asked, fetch, "chunk_id"), self.retrieval.dense_weight))
         if not lists:
             raise InputError("no kind of search is on")
         hits = search.fused(lists, "chunk_id") if len(lists) > 1 else lists[0][0]

@@ -150,7 +150,7 @@ def dense_topk_filtered(spark, d):
 @checked(f"WITH s AS (SELECT q.vec_id AS query_id, e.vec_id, {COS} AS score FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0) {ranked_sql('s', 5, 'vec_id')}")
 def dense_batch_topk(spark, d):
     """The stated query set: every vector whose id is divisible by 50, against all."""
-    return search.top_k(search.dense_scores(t(spark, d, "embeddings"), query_vectors(spark, d, "vec_id % 50 = 0")), 5, "vec_id")
+    return search.dense_top_k(t(spark, d, "embeddings"), query_vectors(spark, d, "vec_id % 50 = 0"), 5)
 
 
 LISTS_SQL = f"""WITH {ONE_Q}, {BM25_CTE}, kw AS ({ranked_sql('bm', 32)}),

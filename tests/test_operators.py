@@ -87,3 +87,14 @@ def test_structure_is_kept_whole_and_sections_are_named(spark):
     assert rows[-1].section == "Safety > Pumps"
     both = chunking.chunks(d, 6, 1, -1).orderBy("chunk_index").collect()
     assert both[0].chunk_type == "parent" and all(r.parent_id for r in both)
+
+
+@pytest.mark.parametrize("batch", [10_000, 2])
+def test_blocks_of_queries_find_what_single_ones_do(spark, monkeypatch, batch):
+    monkeypatch.setattr(search, "BATCH", batch)
+    rows = [(i, [float(i % 3), 1.0, float(i % 5)]) for i in range(30)] + [(30, [0.0, 0.0, 0.0]), (31, None)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    q = v.filter("vec_id < 5").selectExpr("vec_id AS query_id", "embedding AS qvec")
+    want = search.top_k(search.dense_scores(v, q).filter("score IS NOT NULL"), 4, "vec_id")
+    assert sorted(map(tuple, search.dense_top_k(v, q, 4).select(*want.columns).collect())) == sorted(map(tuple, want.collect()))
+    assert search.dense_top_k(v, q.filter("query_id < 0"), 4).count() == 0
