@@ -7,7 +7,7 @@
    goes on to the child named by its value. Two classes of similarity s share a child for each drawn coordinate
    with probability s. Buckets of at most LEAF classes are compared pair by pair on their minimum hashes;
    larger ones are split further, and what is still together at the last depth is a candidate as a whole.
-   The number of runs follows from the recall asked for.
+   The number of runs follows from the recall asked for, over the number of minimum hashes that two classes share.
 3. Candidates make components (large-star and small-star steps on edges). A component's sets meet once, in
    tiles of bounded size, and every pair in it is verified exactly, so that a link is counted once. Only sums
    for each class and one edge to its local group leave a task, never all pairs of a group.
@@ -89,8 +89,40 @@ def missed(similarity: float, depth: int) -> float:
     return q
 
 
+def _agreeing(similarity: float) -> np.ndarray:
+    """The probabilities that 0 to COORDINATES minimum hashes of two sets agree."""
+    n = COORDINATES
+    return np.array([math.comb(n, k) * similarity**k * (1 - similarity) ** (n - k) for k in range(n + 1)])
+
+
+def leaf_share(similarity: float, recall: float) -> float:
+    """The share of agreeing minimum hashes from which on a leaf's pair is a candidate: 0.15 (three times what 64
+    draws stray by at 0.8) below the threshold, or less where that alone loses a quarter of what may be missed."""
+    below = np.concatenate([[0.0], np.cumsum(_agreeing(similarity))[:-1]])
+    most = int(np.flatnonzero(below <= (1 - recall) / 4)[-1])
+    return max(0.0, min(similarity - 0.15, most / COORDINATES))
+
+
+def lost(similarity: float, recall: float, runs: int, depth: int) -> float:
+    """The probability that two sets are no candidates after ``runs`` runs. All runs draw from the same minimum
+    hashes: they are independent only given how many of these agree, so the expectation is over that number."""
+    least = leaf_share(similarity, recall) * COORDINATES
+    each = [1.0 if k < least else missed(k / COORDINATES, depth) ** runs for k in range(COORDINATES + 1)]
+    return float(_agreeing(similarity) @ np.array(each))
+
+
 def runs_for(similarity: float, recall: float, depth: int = LAST_DEPTH) -> int:
-    return max(1, math.ceil(math.log(1 - recall) / math.log(missed(similarity, depth))))
+    """The least number of runs that loses at most 1 - recall, at the last depth and with the test in the leaves."""
+    high = 1
+    while lost(similarity, recall, high, depth) > 1 - recall:
+        high *= 2
+        if high > 1 << 16:
+            raise ValueError(f"{COORDINATES} minimum hashes can't find pairs at {similarity} with a recall of {recall}")
+    low = high // 2
+    while high - low > 1:
+        runs = (low + high) // 2
+        low, high = (runs, high) if lost(similarity, recall, runs, depth) > 1 - recall else (low, runs)
+    return high
 
 
 def children(at: np.ndarray, node: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -229,8 +261,7 @@ def _candidates(classes: DataFrame, similarity: float, recall: float) -> tuple[D
         shared = written(frontier.join(sizes, "_path"))
         dropped(shared.sparkSession, frontier)
         held.append(shared)
-        # Minimum hashes of 64 draws stray by 0.05 at 0.8: three times that below the threshold still counts.
-        found = _compared(shared.filter(F.col("_size") <= LEAF).select("_path", "_row").join(values, "_row"), similarity - 0.15)
+        found = _compared(shared.filter(F.col("_size") <= LEAF).select("_path", "_row").join(values, "_row"), leaf_share(similarity, recall))
         large = shared.filter(F.col("_size") > LEAF)
         if depth + STEP > LAST_DEPTH:
             found = found.unionByName(large.filter("_row > _hub").select(F.col("_row").alias("_a"), F.col("_hub").alias("_b")))

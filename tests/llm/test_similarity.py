@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -85,6 +86,24 @@ def test_runs_follow_from_the_recall():
     assert similarity.missed(1.0, 5) == 0.0
 
 
+def test_pairs_at_the_threshold_meet_at_the_last_depth():
+    """No bucket is small here: a pair is found only by sharing a node of the last depth, in any run."""
+    draw, pairs = np.random.default_rng(7), 6000
+    a = draw.integers(0, 1 << 16, (pairs, similarity.COORDINATES), dtype=np.uint16)
+    b = np.where(draw.random(a.shape) < 0.8, a, a ^ np.uint16(1))
+    met = np.zeros(pairs, bool)
+    for run in range(1, similarity.runs_for(0.8, 0.99) + 1):
+        nodes = []
+        for values in (a, b):
+            at, node = np.arange(pairs), np.full(pairs, similarity._mix(np.array([run], np.uint64))[0])
+            for _ in range(similarity.LAST_DEPTH):
+                at, node = similarity.children(at, node, values)
+            nodes.append(set(zip(at.tolist(), node.tolist())))
+        met[[i for i, _ in nodes[0] & nodes[1]]] = True
+    assert 1 - met.mean() <= 0.01
+    assert all(similarity.lost(s, 0.99, similarity.runs_for(0.8, 0.99), d) <= 0.01 for s in (0.8, 0.82, 0.9, 1.0) for d in (3, 5, 7))
+
+
 def test_components_of_a_long_chain(spark):
     n = 300
     e = spark.createDataFrame([(i + 1, i) for i in range(n)] + [(1001, 1000)], "_a long, _b long")
