@@ -57,6 +57,10 @@ RULES: list[tuple[str, str]] = [
 
 #: A sentence ends at a line feed, or at . ! ? with white space or the text's end behind it (so not inside 2.0).
 SPLIT = r"\n|[.!?]+(?:[ \t\r]+|$)"
+#: Where a sentence that is wrapped over lines ends: . ! ? as above, a line feed also behind them, but not behind
+#: the "v." of a version (no known sentence has another abbreviation); a line without letters or digits; a colon at
+#: a line's end; and before a numbered item. SPLIT cuts at all of these too.
+WRAPPED = r"(?<!\b[vV])[.!?]+(?:[ \t\r\n]+|$)|\n[^\p{L}\p{N}\n]*\n|:[ \t\r]*\n|\n(?=[ \t*#/]*[0-9]+[.)][ \t])"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -71,7 +75,9 @@ def license_scan(docs: DataFrame, sentences: dict[str, str] | None = None, rules
     the text's order, "<Name>" each), ``licenses`` (of the rules that fit, in the rules' order, comma-joined, each
     once), ``unmatched`` (names that no rule took).
 
-    A null or empty text has no sentences and all results empty. Repeated rows stay; other columns aren't read.
+    A known sentence is found on a line, over lines with single line feeds, and as a part between semicolons of
+    such; a wrapped one must begin and end where SPLIT or WRAPPED cut, or beside a known line. ``n_sentences``
+    counts by SPLIT. A null or empty text has no sentences and all results empty. Repeated rows stay; other columns aren't read.
     The tables of sentences and rules are parameters of the plan, not data: a few hundred entries.
     """
     sentences, rules = SENTENCES if sentences is None else sentences, RULES if rules is None else rules
@@ -80,10 +86,26 @@ def license_scan(docs: DataFrame, sentences: dict[str, str] | None = None, rules
     known = F.create_map(*[F.lit(x) for kv in sentences.items() for x in kv])
     # Most sentences are longer or shorter than any known one: their length spares the lookup.
     lengths = sorted({len(s) for s in sentences})
-    parts = F.filter(F.transform(F.split(F.coalesce(F.col(text_col).cast("string"), F.lit("")), SPLIT), normalise), lambda s: s != "")
-    names = F.filter(F.transform(F.filter("_parts", lambda s: F.length(s).isin(lengths)), lambda s: known[s]), lambda n: n.isNotNull())
-    out = docs.select(F.col(id_col).alias("_id"), parts.alias("_parts"))
-    out = out.select("_id", F.size("_parts").cast("long").alias("n_sentences"), names.alias("_names"))
+    name_of = lambda t: F.when(F.length(t).isin(lengths), known[t])
+    # Two control characters mark known lines below; in a text they are made a third, which means nothing.
+    text = F.translate(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "\x01\x02", "\x03\x03")
+    out = docs.select(F.col(id_col).alias("_id"), text.alias("_text"))
+    count = F.size(F.filter(F.split("_text", SPLIT), lambda s: s.rlike("[A-Za-z0-9]"))).cast("long")
+    pieces = F.transform(F.split("_text", WRAPPED), lambda s: F.struct(s.alias("raw"), name_of(normalise(s)).alias("name")))
+    out = out.select("_id", count.alias("n_sentences"), pieces.alias("_pieces"))
+
+    def parts_of(raw: Column) -> Column:
+        """Names in a piece that is unknown as a whole: of its lines, of what is joined between these, and of parts between semicolons."""
+        line = lambda x: F.coalesce(F.concat(F.lit("\x01\x02"), name_of(normalise(x)), F.lit("\x01")), F.concat(x, F.lit(" ")))
+        runs = F.split(F.array_join(F.transform(F.split(raw, SPLIT), line), ""), "\x01")
+        cut = lambda r: F.transform(F.split(r, ";"), lambda x: name_of(normalise(x)))
+        whole = lambda r: F.when(r.startswith("\x02"), F.substring(r, 2, 1000)).otherwise(name_of(normalise(r)))
+        found = lambda r: F.when(whole(r).isNotNull(), F.array(whole(r))).otherwise(cut(r))
+        return F.flatten(F.transform(runs, found))
+
+    # A piece on one line without semicolons is one sentence of SPLIT: it has no parts.
+    each = F.transform("_pieces", lambda p: F.when(p["name"].isNotNull(), F.array(p["name"])).when(p["raw"].rlike("[\\n;]|[vV][.]"), parts_of(p["raw"])).otherwise(F.array().cast("array<string>")))
+    out = out.select("_id", "n_sentences", F.filter(F.flatten(each), lambda n: n.isNotNull()).alias("_names"))
     ids = F.concat_ws("", F.transform("_names", lambda n: F.concat(F.lit("<"), n, F.lit(">"))))
     out = out.select("_id", "n_sentences", F.size("_names").cast("long").alias("n_known"), ids.alias("sentence_ids"))
     rest, fits = F.col("sentence_ids"), []
@@ -96,7 +118,7 @@ def license_scan(docs: DataFrame, sentences: dict[str, str] | None = None, rules
 
 
 def oracle_sql() -> str:
-    """The same over the table documents, in DuckDB's SQL."""
+    """The same over the table documents, in DuckDB's SQL, for known sentences that stand on one line."""
     q = lambda s: "'" + s.replace("'", "''") + "'"
     cells = ", ".join(f"({q(s)}, {q(n)})" for s, n in SENTENCES.items())
     steps, fits, rest = [], [], "ids"

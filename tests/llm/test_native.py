@@ -83,6 +83,65 @@ def test_licences_in_order(spark):
     assert licenses.license_scan(d.filter(F.lit(False))).count() == 0
 
 
+WRAPPED_TEXTS = {
+    "MIT": """Copyright (c) 2020 Someone
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS".""",
+    "BSD-3-Clause": """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.""",
+    "BSD-2-Clause": """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+ * Redistributions of source code must retain the above copyright notice,
+   this list of conditions and the following disclaimer.
+ * Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.""",
+    "GPL-3.0-or-later": """/*
+ * This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation, either version 3 of the License, or
+ * (at your option) any later version.
+ *
+ * This program is distributed in the hope that it will be useful,""",
+    "GPL-2.0-or-later": """This program is free software; you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation; either version 2 of the License, or
+(at your option) any later version.""",
+    "MPL-2.0": """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
+    "Apache-2.0": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0',
+}
+
+
+def test_licences_as_published(spark):
+    rows = [(name, t) for name, t in WRAPPED_TEXTS.items()] + [(name, t.replace("\n", "\r\n")) for name, t in WRAPPED_TEXTS.items()]
+    rows += [("MPL-2.0", WRAPPED_TEXTS["MPL-2.0"].replace("\n", " ")), ("MIT-incomplete,Proprietary", "All rights reserved\n" + WRAPPED_TEXTS["MIT"].split("\n\n")[1]), ("", "released under\n\nthe mit license"), ("", "\x01\x02MIT\x01\n;<Mpl2>")]
+    got = licenses.license_scan(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert [(r.doc_id, r.unmatched) for r in got] == [(r.licenses, "") for r in got]
+    assert [r.n_known for r in got if r.doc_id == "Apache-2.0"] == [3, 3]
+
+
 def pieces(t):
     import re
 
