@@ -27,6 +27,18 @@ def test_same_rows_as_sql(spark, name):
     assert got == want
 
 
+def test_urls_as_sql_with_a_list(spark):
+    """The list of sf0.001 is empty; this table's isn't, so that the Bloom filter and the join run."""
+    sf = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{sf}/pages.parquet'")
+    df = queries.QUERIES["op3_url_filter"](spark, sf)
+    cols = sorted(df.columns)
+    rows = df.select(*cols).collect()
+    assert sum(r.listed for r in rows) > 0
+    assert sorted(map(repr, map(tuple, rows))) == sorted(map(repr, con.sql(f"SELECT {', '.join(cols)} FROM ({queries.ORACLE_SQL['op3_url_filter']})").fetchall()))
+
+
 @pytest.mark.parametrize("name", ["op2_fingerprints", "op3_url_filter", "op6_license_scan"])
 def test_no_python_in_the_plan(spark, name):
     text = plan(queries.QUERIES[name](spark, SF))
