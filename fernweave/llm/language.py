@@ -28,7 +28,7 @@ UNKNOWN = "und"
 def features_of(word: str) -> list[int]:
     """The word, its affixes of one to four letters, and its inner pairs and triples, hashed."""
     crc, m = zlib.crc32, BUCKETS - 1
-    w = word.encode("utf-8", "replace") if len(word) <= 40 else (word[:20] + word[-20:]).encode("utf-8", "replace")
+    w = word.encode("utf-8", "replace")
     out = [crc(b"w" + w) & m]
     for n in range(1, 5):
         out.append(crc(b"p" + w[:n]) & m)

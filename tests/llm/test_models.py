@@ -193,3 +193,9 @@ def test_windows_by_brute_force(spark, block):
     assert clean.columns == d.columns and sorted(r.doc_id for r in clean.collect()) == sorted(r.doc_id for r in rows if not r.contaminated)
     none = b.filter(F.lit(False))
     assert decontaminate.contamination(d, none).filter("contaminated").count() == 0 and decontaminate.contamination(d.filter(F.lit(False)), b).count() == 0
+
+
+def test_long_words_are_read_as_a_whole():
+    a, b = "x" * 20 + "kolmar" * 9 + "y" * 20, "x" * 20 + "tavini" * 9 + "y" * 20
+    assert set(language.features_of(a)) - set(language.features_of("x" * 20 + "y" * 20)) and set(language.features_of(a)[1:]) != set(language.features_of(b)[1:])
+    assert len(language.features_of(a)) == 1 + 8 + 93 + 92
