@@ -24,10 +24,8 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The list: the canonical URLs of the pages whose host's first label is one of LISTED_LABELS."""
     pages = table(spark, sf_dir, "pages")
-    feed = pages.filter(F.split_part(urlfilter.host_of(F.col("url")), F.lit("."), F.lit(1)).isin(*urlfilter.LISTED_LABELS))
-    return urlfilter.judge_urls(pages, urlfilter.listed_urls(feed))
+    return urlfilter.judge_urls(pages, urlfilter.feed_of(pages))
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

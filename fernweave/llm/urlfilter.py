@@ -3,7 +3,8 @@ behind it. DataFrame operations only.
 
 The list's canonical URLs set ``BITS`` bits each in one 256-bit block of the filter; blocks are rows
 (block, four words), made by one aggregation. A page's URL looks at one block. Only possible hits go on to
-the exact hash join with the list, which removes the false positives.
+the exact hash join with the list, which removes the false positives. What is broadcast is counted first;
+beyond the bound both joins are shuffled, with rows of one key dealt over SALTS places.
 """
 
 from __future__ import annotations
@@ -15,15 +16,16 @@ from pyspark.sql import functions as F
 RULES: list[tuple[str, str, str]] = [
     ("net", "/", "block"),
     ("example.net", "/en/", "allow"),
-    ("example.com", "/de", "block"),
+    ("example.com", "/de/", "block"),
     ("org", "/fr/", "allow"),
 ]
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Bits set for a URL in its block, and URLs for a block of 256 bits: about 25 bits a URL, false hits under 1 in 1000.
 BITS, PER_BLOCK = 6, 10
-#: A filter of up to so many blocks (40 bytes each) is broadcast; a larger one is joined by a shuffle.
-BROADCAST_BLOCKS = 100_000
+#: A filter of up to so many blocks (40 bytes each) is broadcast, and a list of up to so many bytes; larger ones
+#: are joined by a shuffle, where a key's rows go to as many places as there are salts.
+BROADCAST_BLOCKS, BROADCAST_BYTES, SALTS = 100_000, 16 << 20, 16
 
 
 def host_of(url: Column) -> Column:
@@ -66,6 +68,15 @@ def _maybe(key: Column) -> Column:
     return out
 
 
+def _looked_up(rows: DataFrame, found: DataFrame, key: str, small: bool) -> DataFrame:
+    """All rows with the row of ``found`` (one a key) for their key, if any. A small one is broadcast. Otherwise a
+    key's rows, and those without a key, are dealt over SALTS places, to each of which ``found`` goes."""
+    if small:
+        return rows.join(F.broadcast(found), key, "left")
+    everywhere = found.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("_salt", F.floor(F.rand(7) * SALTS).cast("int")).join(everywhere, [key, "_salt"], "left").drop("_salt")
+
+
 def listed_urls(urls: DataFrame, url_col: str = "url") -> DataFrame:
     """The distinct canonical URLs of a list; null URLs and such without a host name nothing."""
     u = F.col(url_col)
@@ -91,34 +102,52 @@ def judge_urls(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str,
     u = F.col(url_col).cast("string")
     base = pages.select(F.col(id_col).alias("_id"), host_of(u).alias("host"), path_of(u).alias("path"))
     base = base.select("*", canonical(host, path).alias("url_key"))
-    n = listed.agg(F.count(F.lit(1))).first()[0]
+    n, size = listed.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("url_key") + 8), F.lit(0))).first()
     if n:
         blocks = -(-n // PER_BLOCK)
-        bloom = bloom_blocks(listed, blocks)
-        bloom = F.broadcast(bloom) if blocks <= BROADCAST_BLOCKS else bloom
-        looked = base.withColumn("block", F.when(F.col("host") != "", F.pmod(F.xxhash64("url_key"), F.lit(blocks)))).join(bloom, "block", "left")
-        looked = looked.withColumn("_maybe", F.coalesce(_maybe(F.col("url_key")), F.lit(False)))
-        # Others have a null key, which meets nothing: they pass the join where they are, in no hot partition.
+        place = F.when(host != "", F.pmod(F.xxhash64("url_key"), F.lit(blocks)))
+        looked = _looked_up(base.withColumn("block", place), bloom_blocks(listed, blocks), "block", blocks <= BROADCAST_BLOCKS)
+        looked = looked.withColumn("_maybe", F.coalesce(_maybe(F.col("url_key")), F.lit(False))).drop("block", "w0", "w1", "w2", "w3")
         exact = listed.select(F.col("url_key").alias("_key"), F.lit(True).alias("_in"))
-        hits = looked.filter("_maybe").join(exact, F.col("url_key") == F.col("_key"), "left").select("_id", "host", "path", F.coalesce("_in", F.lit(False)).alias("listed"))
-        base = looked.filter(~F.col("_maybe")).select("_id", "host", "path", F.lit(False).alias("listed")).unionByName(hits)
+        keyed = looked.withColumn("_key", F.when(F.col("_maybe"), F.col("url_key")))
+        if size <= BROADCAST_BYTES:
+            hits = _looked_up(keyed, exact, "_key", True)
+        else:
+            # Only possible hits are shuffled; the others stay where they are.
+            hits = _looked_up(keyed.filter("_maybe"), exact, "_key", False).unionByName(keyed.filter(~F.col("_maybe")).withColumn("_in", F.lit(False)))
+        base = hits.select("_id", "host", "path", F.coalesce("_in", F.lit(False)).alias("listed"))
     else:
         base = base.select("_id", "host", "path", F.lit(False).alias("listed"))
     own = F.when(F.col("listed"), F.lit("block")).otherwise(F.lit("allow"))
     return base.select(F.col("_id").alias(id_col), "host", "path", (rule if rule is not None else F.lit(None).cast("string")).alias("rule"), (F.coalesce(verdict, own) if verdict is not None else own).alias("verdict"), "listed")
 
 
-#: The first label of hosts whose pages make up the list of the registered query.
-LISTED_LABELS = ("adult-x", "free-bets", "spam-farm")
+#: The registered query's list: canonical URLs of pages on hosts with one of these labels, at any place, and one
+#: canonical URL in sixteen, by its digest, so that no table has an empty list.
+LISTED_LABELS = ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm")
+LISTED_DIGESTS = "0"
+
+
+def feed_of(pages: DataFrame, url_col: str = "url") -> DataFrame:
+    """Column ``url_key``: the list of the registered query, which the given tables don't hold."""
+    u = F.col(url_col).cast("string")
+    named = F.arrays_overlap(F.split("_h", "[.]"), F.array(*map(F.lit, LISTED_LABELS)))
+    keys = pages.select(canonical(host_of(u), path_of(u)).alias("url_key"), host_of(u).alias("_h")).filter("_h != ''")
+    return keys.filter(named | F.md5(F.col("url_key").cast("binary")).startswith(LISTED_DIGESTS)).select("url_key").distinct()
 
 
 def oracle_sql() -> str:
-    fits = [(f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')", h + p, v) for h, p, v in sorted(RULES, key=lambda r: -len(r[0] + r[1]))]
-    rule = "CASE " + " ".join(f"WHEN {c} THEN '{r}'" for c, r, _ in fits) + " END"
-    verdict = "CASE " + " ".join(f"WHEN {c} THEN '{v}'" for c, _, v in fits) + " WHEN listed THEN 'block' ELSE 'allow' END"
-    labels = ", ".join(f"'{x}'" for x in LISTED_LABELS)
-    return f"""WITH cut AS (SELECT page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), '{UPPER}', '{LOWER}'), '') AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+    """The registered query in DuckDB's SQL, with rules and list written out: it shares no constant with the code above."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return f"""WITH cut AS (SELECT page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), '{upper}', '{lower}'), '') AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
     keyed AS (SELECT *, host || regexp_replace(path, '/+$', '') AS k FROM cut),
-    feed AS (SELECT DISTINCT k FROM keyed WHERE host <> '' AND split_part(host, '.', 1) IN ({labels})),
-    seen AS (SELECT page_id, host, path, host <> '' AND k IN (SELECT k FROM feed) AS listed FROM keyed)
-    SELECT page_id, host, path, {rule} AS rule, {verdict} AS verdict, listed FROM seen"""
+    feed AS (SELECT DISTINCT k FROM keyed WHERE host <> '' AND (md5(k) LIKE '0%' OR regexp_matches(host, '(^|[.])(ads-track|adult-x|casino-win|cheap-pills|free-bets|spam-farm)([.]|$)'))),
+    seen AS (SELECT page_id, host, path, host <> '' AND k IN (SELECT k FROM feed) AS listed,
+      (host = 'net' OR host LIKE '%.net') AND path LIKE '/%' AS net,
+      (host = 'example.net' OR host LIKE '%.example.net') AND path LIKE '/en/%' AS en,
+      (host = 'example.com' OR host LIKE '%.example.com') AND path LIKE '/de/%' AS de,
+      (host = 'org' OR host LIKE '%.org') AND path LIKE '/fr/%' AS fr FROM keyed)
+    SELECT page_id, host, path,
+      CASE WHEN en THEN 'example.net/en/' WHEN de THEN 'example.com/de/' WHEN fr THEN 'org/fr/' WHEN net THEN 'net/' END AS rule,
+      CASE WHEN en THEN 'allow' WHEN de THEN 'block' WHEN fr THEN 'allow' WHEN net THEN 'block' WHEN listed THEN 'block' ELSE 'allow' END AS verdict, listed
+    FROM seen"""
