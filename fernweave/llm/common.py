@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -24,11 +25,69 @@ def whole_text(text_col: str = "text") -> Column:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder in spark.checkpoint.dir; only where that is unset (as in tests) one of our own."""
+    """The shared folder in spark.checkpoint.dir. Where that is unset, one of our own if driver and executors are
+    one process (a local master); on a cluster there is no folder that all of them share, so that raises."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found and (own := spark.sparkContext._jsc.sc().getCheckpointDir()).isDefined():
         found = own.get()
-    return found or f"/tmp/fernweave-checkpoints-{spark.sparkContext.applicationId}"
+    if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = f"/tmp/fernweave-checkpoints-{spark.sparkContext.applicationId}"
+    return found
+
+
+#: Rows' hashes are spread evenly from 0 to this. A share of the rows is a bound on the hash: in whole numbers of 63
+#: bits it can't round to nothing, however many rows there are.
+LAST_HASH = (1 << 63) - 1
+
+
+def hash_bound(rows: int, n: int) -> int:
+    """Of n hashes, at least ``rows`` are up to this with all but vanishing probability."""
+    wanted = 1.3 * rows + 10 * math.sqrt(rows) + 20  # n may be an estimate, off by a few per cent
+    return LAST_HASH if n <= wanted else max(1, int(LAST_HASH * (wanted / n)))
+
+
+def sampled(rows: DataFrame, most: int, key: str, seed: int, within: str | None = None) -> DataFrame:
+    """At most ``most`` rows of different ``key`` (for each value of the column ``within``, if given), those with the
+    smallest hashes of it, with the hash as ``_hash``; all, where there are fewer. A key that repeats counts once:
+    copies are merged in each task, and only what lies below a bound on the hash is shuffled at all. To the driver
+    goes a number, or one for each value of ``within``."""
+    hashed = rows.withColumn("_hash", F.shiftrightunsigned(F.xxhash64(key, F.lit(seed)), 1))
+    groups = [within] if within else []
+    counts = hashed.groupBy(*groups).agg(F.approx_count_distinct("_hash").alias("n")).collect()
+    if not any(r.n for r in counts):
+        return hashed
+    if within:
+        bound = F.create_map(*[F.lit(x) for r in counts for x in (r[0], hash_bound(most, r.n))])[F.col(within)]
+    else:
+        bound = F.lit(hash_bound(most, counts[0].n))
+    once = hashed.filter(F.col("_hash") <= bound).dropDuplicates(["_hash", *groups])
+    if not within:
+        return once.orderBy("_hash").limit(most)
+    place = F.row_number().over(Window.partitionBy(within).orderBy("_hash"))
+    return once.withColumn("_place", place).filter(F.col("_place") <= most).drop("_place")
+
+
+def in_one_task(rows: DataFrame, order: list[str], run, schema: str, sample: DataFrame, source: DataFrame) -> list:
+    """What ``run`` makes of bounded rows, in one task, to the driver: models. Nothing for no rows; but if that is
+    because ``sample`` is empty where ``source``, of which it was drawn, isn't, that raises."""
+    made = rows.repartition(1).sortWithinPartitions(*order).mapInPandas(run, schema).collect()
+    if not made and sample.isEmpty() and not source.isEmpty():
+        raise ValueError("there are rows to learn from, but the sample of them is empty")
+    return made
+
+
+def within_chars(batches: Iterable[pd.DataFrame], text: str, most: int) -> Iterator[pd.DataFrame]:
+    """The batches' rows, up to the one at which their texts pass ``most`` characters; the first row in any case."""
+    n = 0
+    for b in batches:
+        sizes = b[text].str.len()
+        before = n + sizes.cumsum() - sizes
+        yield b[(before + sizes <= most) | (before == 0)]
+        n += int(sizes.sum())
+        if n > most:
+            return
 
 
 def written(df: DataFrame) -> DataFrame:

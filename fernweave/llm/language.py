@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold
+from .common import fold, in_one_task, sampled, within_chars
 
 _WORDS = re.compile(r"[^\W\d_]+").findall
 BUCKETS = 1 << 17
@@ -187,31 +187,26 @@ class Model:
         return out
 
 
-#: Languages at most: the most frequent ones.
-MAX_LABELS = 200
-
-
-def fit(docs: DataFrame, sample_rows: int = 200, held_out: tuple[int, int] = (4, 2), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> bytes:
-    """A pickled (labels, weights, transitions), learned from text and non-null language of at most about
-    ``sample_rows`` documents a language (the documented bound: those whose id's hash is smallest in
-    proportion; all, where there are fewer) whose crc32(id) mod held_out[0] is not held_out[1]."""
+def fit(docs: DataFrame, sample_rows: int = 200, sample_chars: int = 32 << 20, held_out: tuple[int, int] = (4, 2), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> bytes:
+    """A pickled (labels, weights, transitions), learned from text and non-null language of documents whose
+    crc32(id) mod held_out[0] is not held_out[1]: of each language the ``sample_rows`` different texts with the
+    smallest hashes (all, where there are fewer), and of these, in the order of the hash, the first ``sample_chars``
+    characters' worth of texts. These are the documented bounds on what one task learns from; languages are not
+    bounded. The model has BUCKETS numbers a language. Without any such document it knows no language."""
     d = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"), F.col(lang_col).cast("string").alias("_lang"))
-    d = d.filter("_lang IS NOT NULL AND _id IS NOT NULL AND _text IS NOT NULL").filter(fold("_id", held_out[0]) != held_out[1])
-    counts = {r._lang: r.n for r in d.groupBy("_lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "_lang").limit(MAX_LABELS).collect()}
-    if not counts:
-        return pickle.dumps(([], np.zeros((BUCKETS, 0), np.float32), np.zeros((0, 0))))
-    labels = sorted(counts)
-    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, int(1_000_000 * min(1.0, sample_rows / n)))])
-    sample = d.filter(F.col("_lang").isin(labels)).filter(F.pmod(F.xxhash64("_id", F.lit(13)), F.lit(1_000_000)) < share[F.col("_lang")])
+    d = d.filter("_lang IS NOT NULL AND _id IS NOT NULL AND _text IS NOT NULL").filter(fold("_id", held_out[0]) != held_out[1]).select("_text", "_lang")
 
     def run(batches):
         import pandas as pd
 
-        w, t = train(((x, y) for b in batches for x, y in zip(b["_text"], b["_lang"])), labels)
-        yield pd.DataFrame({"m": [pickle.dumps((labels, w, t))]})
+        rows = [(x, y) for b in within_chars(batches, "_text", sample_chars) for x, y in zip(b["_text"], b["_lang"])]
+        if rows:
+            labels = sorted({y for _, y in rows})
+            yield pd.DataFrame({"m": [pickle.dumps((labels, *train(rows, labels)))]})
 
-    made = sample.repartition(1).sortWithinPartitions("_id", "_text").mapInPandas(run, "m binary").collect()
-    return bytes(made[0].m) if made else pickle.dumps((labels, np.zeros((BUCKETS, len(labels)), np.float32), np.zeros((len(labels), len(labels)))))
+    sample = sampled(d, sample_rows, "_text", 13, "_lang")
+    made = in_one_task(sample, ["_hash", "_lang"], run, "m binary", sample, d)
+    return bytes(made[0].m) if made else pickle.dumps(([], np.zeros((BUCKETS, 0), np.float32), np.zeros((0, 0))))
 
 
 def identify(docs: DataFrame, model: bytes, held_out: tuple[int, int] = (4, 2), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -13,13 +13,15 @@ import hashlib
 import math
 import pickle
 import re
+from bisect import bisect_left
 from collections.abc import Iterable
+from itertools import accumulate
 from random import Random
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import whole_text
+from .common import in_one_task, sampled, whole_text, within_chars
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[int, int, int]  # kind's place in KINDS, start, end
@@ -123,7 +125,9 @@ def _shape(text: str) -> str:
 
 
 def features(text: str, start: int, end: int, tokens: int) -> list[str]:
-    """Of the whole segment text[start:end], and of the words beside it."""
+    """Of the whole segment text[start:end], and of the words beside it. What a feature's name shows of a segment is
+    bounded (80 characters' shape, 12 different signs, 20 digits, 12 letters of the word on the left), so that long
+    segments share features: no segment is left out for it, and the checks read all of it."""
     s = text[start:end]
     d = _digits(s)
     signs = "".join(sorted({c for c in s if not c.isalnum()}))[:12]
@@ -148,10 +152,11 @@ class SemiMarkov:
         self.w: dict[str, list[float]] = {}
         self.g: dict[str, list[float]] = {}
         self.trans = [[0.0] * 5 for _ in range(5)]
+        self.trans_g = [[1.0] * 5 for _ in range(5)]
         self._memo: dict = {}
 
-    def _scored(self, text: str, region: list[tuple[int, int]]):
-        """By end and length: (features, scores). A single token may be none; longer ones are of a kind."""
+    def _scored(self, text: str, region: list[tuple[int, int]], keep: bool = True):
+        """By end and length: (features if kept, scores). A single token may be none; longer ones are of a kind."""
         out = []
         for j in range(len(region)):
             row = []
@@ -164,7 +169,7 @@ class SemiMarkov:
                             score[y] += w[y]
                 if n > 1:
                     score[0] = -math.inf
-                row.append((fs, score))
+                row.append((fs if keep else None, score))
             out.append(row)
         return out
 
@@ -191,32 +196,48 @@ class SemiMarkov:
         before = 0.0 if p < 0 else _sum(a[p][x] + self.trans[x][y] for x in range(5))
         return math.exp(min(0.0, before + s + b[j][y] - z))
 
-    def learn(self, text: str, region: list[tuple[int, int]], gold: list[tuple[int, int, int]], rate: float = 0.3, decay: float = 1e-3) -> None:
-        """One step (Adagrad) for a region; gold: (last token, tokens, kind + 1 or 0), in order."""
+    def gradient(self, text: str, region: list[tuple[int, int]], gold: list[tuple[int, int, int]]) -> tuple[float, dict[str, list[float]], list[list[float]]]:
+        """Of the region's cut ``gold`` ((last token, tokens, kind + 1 or 0), in order): minus its log-likelihood, and
+        the derivatives by features' weights and by transitions: expected less observed counts."""
         rows = self._scored(text, region)
         a, b, z = self._forward_backward(rows)
         right = set(gold)
         grads: dict[str, list[float]] = {}
+        pairs = [[0.0] * 5 for _ in range(5)]
+        loss = z
         for j in range(len(rows)):
             for k, (fs, s) in enumerate(rows[j]):
+                p = j - k - 1
                 for y in range(5):
-                    g = self._probability(a, b, z, rows, j, k, y) - ((j, k + 1, y) in right)
-                    if abs(g) > 1e-6:
+                    if s[y] == -math.inf:
+                        continue
+                    q = self._probability(a, b, z, rows, j, k, y)
+                    here = (j, k + 1, y) in right
+                    if here:
+                        loss -= s[y]
+                    if abs(q - here) > 1e-9:
                         for f in fs:
-                            grads.setdefault(f, [0.0] * 5)[y] += g
+                            grads.setdefault(f, [0.0] * 5)[y] += q - here
+                    if p >= 0 and q > 1e-9:
+                        for x in range(5):
+                            pairs[x][y] += math.exp(min(0.0, a[p][x] + self.trans[x][y] + s[y] + b[j][y] - z))
+        for (_, _, x), (_, _, y) in zip(gold, gold[1:]):
+            pairs[x][y] -= 1.0
+            loss -= self.trans[x][y]
+        return loss, grads, pairs
+
+    def learn(self, text: str, region: list[tuple[int, int]], gold: list[tuple[int, int, int]], rate: float = 0.3, trans_rate: float = 0.1, decay: float = 1e-3) -> None:
+        """One step (Adagrad) for a region, of weights and transitions alike."""
+        _, grads, pairs = self.gradient(text, region, gold)
         for f, g in grads.items():
             w, h = self.w.setdefault(f, [0.0] * 5), self.g.setdefault(f, [1.0] * 5)
-            for y in range(5):
-                if g[y]:
-                    v = g[y] + decay * w[y]
-                    h[y] += v * v
-                    w[y] -= rate * v / math.sqrt(h[y])
-        for (_, _, x), (_, _, y) in zip(gold, gold[1:]):
-            self.trans[x][y] = min(2.0, self.trans[x][y] + 0.01)
+            _step(w, h, g, rate, decay)
+        for w, h, g in zip(self.trans, self.trans_g, pairs):
+            _step(w, h, g, trans_rate, decay)
 
     def decode(self, text: str, region: list[tuple[int, int]], least: float) -> list[Span]:
         """The segments of a kind in the region's best cut that are at least that probable."""
-        rows = self._scored(text, region)
+        rows = self._scored(text, region, keep=False)
         n, t = len(rows), self.trans
         best = [[-math.inf] * 5 for _ in range(n)]
         back: list[list[tuple[int, int]]] = [[(0, -1)] * 5 for _ in range(n)]
@@ -246,35 +267,48 @@ class SemiMarkov:
 
     def added(self, text: str, base: list[Span], least: float) -> list[Span]:
         """What the model finds beside the patterns' spans."""
-        taken = sorted((a, b) for _, a, b in base)
+        taken = _Taken(base)
         out = []
         for region in regions(text):
             lo, hi = region[0][0], region[-1][1]
             near = text[max(0, lo - 24) : hi]
             if hi - lo < 200:
                 if near not in self._memo:
-                    if len(self._memo) >= 100_000:
+                    if len(self._memo) >= 20_000:  # about 10 MB
                         self._memo.clear()
                     self._memo[near] = [(y, a - lo, b - lo) for y, a, b in self.decode(text, region, least)]
                 got = [(y, a + lo, b + lo) for y, a, b in self._memo[near]]
             else:
                 got = self.decode(text, region, least)
-            out += [(y, a, b) for y, a, b in got if not _overlaps(taken, a, b)]
+            out += [(y, a, b) for y, a, b in got if not taken.meets(a, b)]
         return out
 
 
+def _step(w: list[float], h: list[float], g: list[float], rate: float, decay: float) -> None:
+    for y in range(5):
+        if g[y]:
+            v = g[y] + decay * w[y]
+            h[y] += v * v
+            w[y] -= rate * v / math.sqrt(h[y])
+
+
 def _sum(xs: Iterable[float]) -> float:
     xs = list(xs)
     m = max(xs, default=-math.inf)
     return m if m == -math.inf else m + math.log(sum(math.exp(x - m) for x in xs))
 
 
-def _overlaps(taken: list[tuple[int, int]], a: int, b: int) -> bool:
-    from bisect import bisect_left
+class _Taken:
+    """Whether a stretch overlaps any of the spans: of those that start before its end, the furthest end decides."""
+
+    def __init__(self, spans: Iterable[Span]):
+        ordered = sorted((a, b) for _, a, b in spans)
+        self.starts = [a for a, _ in ordered]
+        self.ends = list(accumulate((b for _, b in ordered), max))
 
-    # Spans of different kinds may overlap each other, few at a place: look a little to both sides.
-    k = bisect_left(taken, (a, a))
-    return any(s < b and a < e for s, e in taken[max(0, k - 8) : k + 8])
+    def meets(self, a: int, b: int) -> bool:
+        k = bisect_left(self.starts, b)
+        return k > 0 and self.ends[k - 1] > a
 
 
 def _rewritten(kind: int, found: str, draw: Random) -> str | None:
@@ -313,7 +347,7 @@ def _gold(text: str, region: list[tuple[int, int]], spans: list[Span]) -> list[t
     return out
 
 
-def train(texts: Iterable[str], epochs: int = 4, seed: int = 3, longest: int = 40) -> SemiMarkov:
+def train(texts: Iterable[str], epochs: int = 4, seed: int = 3) -> SemiMarkov:
     model, draw, data = SemiMarkov(), Random(seed), []
     for text in texts:
         spans = base_spans(text)
@@ -326,30 +360,31 @@ def train(texts: Iterable[str], epochs: int = 4, seed: int = 3, longest: int = 4
     jobs = []
     for text, spans in data:
         for region in regions(text):
-            if len(region) <= longest and (gold := _gold(text, region, spans)):
+            if gold := _gold(text, region, spans):
                 jobs.append((text, region, gold))
     for _ in range(epochs):
         draw.shuffle(jobs)
         for job in jobs:
             model.learn(*job)
-    model.g = {}
+    model.g, model.trans_g = {}, []
     return model
 
 
-def fit(docs: DataFrame, sample_rows: int = 3_000, text_col: str = "text") -> bytes:
-    """A pickled model, trained in one task on at most about ``sample_rows`` texts with a digit or an @ (the
-    documented bound: those whose text's hash is smallest in proportion; all, where there are fewer)."""
+def fit(docs: DataFrame, sample_rows: int = 3_000, sample_chars: int = 32 << 20, text_col: str = "text") -> bytes:
+    """A pickled model, trained in one task on the ``sample_rows`` different texts with a digit or an @ that have the
+    smallest hashes (all, where there are fewer), and of these, in the order of the hash, on the first
+    ``sample_chars`` characters' worth of texts: the documented bounds. Without any such text it knows nothing."""
     d = docs.select(whole_text(text_col).alias("_text")).filter(F.col("_text").rlike("[0-9@]"))
-    n = d.agg(F.count(F.lit(1))).first()[0]
-    if n > sample_rows:
-        d = d.filter(F.pmod(F.xxhash64("_text", F.lit(17)), F.lit(1_000_000)) < int(1_000_000 * sample_rows / n))
 
     def run(batches):
         import pandas as pd
 
-        yield pd.DataFrame({"m": [pickle.dumps(train(dict.fromkeys(t for b in batches for t in b["_text"])))]})
+        texts = [t for b in within_chars(batches, "_text", sample_chars) for t in b["_text"]]
+        if texts:
+            yield pd.DataFrame({"m": [pickle.dumps(train(texts))]})
 
-    made = d.repartition(1).sortWithinPartitions("_text").mapInPandas(run, "m binary").collect() if n else []
+    sample = sampled(d, sample_rows, "_text", 17)
+    made = in_one_task(sample, ["_hash"], run, "m binary", sample, d)
     return bytes(made[0].m) if made else pickle.dumps(SemiMarkov())
 
 

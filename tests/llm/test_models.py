@@ -1,13 +1,15 @@
+import math
 import pickle
 import random
 import re
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from fernweave.llm import decontaminate, language, pii, quality
+from fernweave.llm import common, decontaminate, language, pii, quality
 
 SF = "/root/testdata/sf0.01"
 
@@ -79,6 +81,55 @@ def test_best_cut_by_trying_all(crf):
     assert z == pytest.approx(np.log(sum(np.exp(score(c)) for c in every)))
 
 
+def test_gradient_by_finite_differences():
+    """Of the log-likelihood by weights and by transitions, at random weights."""
+    draw = random.Random(4)
+    text = "x +1 (301) 555-0346 12 a@b.co 7"
+    region = max(pii.regions(text), key=len)
+    gold = pii._gold(text, region, pii.base_spans(text))
+    assert {y for _, _, y in gold} >= {0, 1, 4}
+    m = pii.SemiMarkov()
+    for row in m._scored(text, region):
+        for fs, _ in row:
+            for f in fs:
+                m.w.setdefault(f, [draw.gauss(0, 0.5) for _ in range(5)])
+    m.trans = [[draw.gauss(0, 0.5) for _ in range(5)] for _ in range(5)]
+    _, grads, pairs = m.gradient(text, region, gold)
+    eps = 1e-5
+
+    def slope(at, y):
+        was = at[y]
+        at[y] = was + eps
+        high = m.gradient(text, region, gold)[0]
+        at[y] = was - eps
+        low = m.gradient(text, region, gold)[0]
+        at[y] = was
+        return (high - low) / (2 * eps)
+
+    for x in range(5):
+        for y in range(5):
+            assert pairs[x][y] == pytest.approx(slope(m.trans[x], y), abs=1e-5)
+    for f in draw.sample(sorted(m.w), 12):
+        for y in range(5):
+            assert grads.get(f, [0.0] * 5)[y] == pytest.approx(slope(m.w[f], y), abs=1e-5)
+
+
+def test_transitions_are_learned(crf):
+    model = pickle.loads(crf)
+    assert any(abs(v) > 0.01 for row in model.trans for v in row) and any(v < 0 for row in model.trans for v in row)
+
+
+def test_overlaps_by_trying_all():
+    draw = random.Random(9)
+    for _ in range(300):
+        spans = [(0, a, a + draw.randint(1, 30)) for a in (draw.randrange(100) for _ in range(draw.randint(0, 30)))]
+        taken = pii._Taken(spans)
+        for _ in range(20):
+            a = draw.randrange(110)
+            b = a + draw.randint(1, 10)
+            assert taken.meets(a, b) == any(s < b and a < e for _, s, e in spans)
+
+
 def test_pii_frames(spark, crf):
     d = spark.createDataFrame([(1, "mail a@b.co", 11), (1, "mail a@b.co", 11), (None, None, None), (2, "", 0)], "doc_id long, text string, n_chars long").withColumn("spans", F.lit(1))
     rows = pii.private_spans(d, crf).collect()
@@ -151,6 +202,65 @@ def test_ftrl_learns_what_it_is_shown():
     assert s("good words here") > 0 > s("bad bad bad!!")
 
 
+def plain_ftrl(rows, epochs=3, seed=7, alpha=0.3, beta=1.0, l1=0.02, l2=0.1):
+    """Follow-the-regularised-leader, coordinate by coordinate, as published, in dictionaries and plain numbers."""
+    z, n = {}, {}
+
+    def weight(i):
+        if abs(z.get(i, 0.0)) <= l1:
+            return 0.0
+        sign = 1 if z[i] > 0 else -1
+        return -(z[i] - sign * l1) / ((beta + math.sqrt(n[i])) / alpha + l2)
+
+    order = np.random.default_rng(seed)
+    for _ in range(epochs):
+        for k in order.permutation(len(rows)):
+            x, y = rows[k]
+            w = {i: weight(i) for i in x}
+            p = 1 / (1 + math.exp(-sum(w[i] * v for i, v in x.items())))
+            for i, v in x.items():
+                g = (p - y) * v
+                sigma = (math.sqrt(n.get(i, 0.0) + g * g) - math.sqrt(n.get(i, 0.0))) / alpha
+                z[i] = z.get(i, 0.0) + g - sigma * w[i]
+                n[i] = n.get(i, 0.0) + g * g
+    return {i: weight(i) for i in z}
+
+
+def plain_features(text):
+    """{coordinate: value}, by the description: words and neighbours hashed, repetitions, 1 / sqrt(number) each."""
+    words = re.findall(r"\w+|[^\w\s]+", text)
+    h, m = [zlib.crc32(w.encode()) for w in words], (1 << 64) - 1
+    pairs = [((a * 0x9E3779B97F4A7C15 & m) ^ (b * 0xC2B2AE3D27D4EB4F & m)) >> 40 for a, b in zip(h, h[1:])]
+    ids = [x % quality.BUCKETS for x in h + pairs]
+    ids += [quality.TWICE] * sum(a == b for a, b in zip(h, h[1:])) + [quality.AGAIN] * sum(a == b for a, b in zip(h, h[2:])) + [quality.HAD] * (len(pairs) - len(set(pairs)))
+    return {i: ids.count(i) / math.sqrt(len(ids)) for i in set(ids)} | {quality.BUCKETS: 1.0}
+
+
+def test_training_and_scores_against_plain_python(spark):
+    draw = random.Random(8)
+    texts = [" ".join(draw.choice(["the", "The", "a", "buy", "!!", "now", "élan", "x1", "."]) for _ in range(draw.randint(0, 30))) for _ in range(60)]
+    rows = [(t, int("buy" in t)) for t in texts]
+    w = quality.train(rows)
+    want = plain_ftrl([(plain_features(t), y) for t, y in rows])
+    assert np.count_nonzero(w) == sum(v != 0 for v in want.values()) > 10
+    assert all(w[i] == pytest.approx(v, rel=1e-5, abs=1e-7) for i, v in want.items())
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in quality.score(d, w).collect():
+        p = 1 / (1 + math.exp(-sum(want.get(i, 0.0) * v for i, v in plain_features(texts[r.doc_id]).items())))
+        assert r.score == pytest.approx(p, rel=1e-5) and r.predicted == int(r.score >= 0.5)
+
+
+def test_labels_that_disagree_and_ids_that_repeat(spark):
+    """The greatest label of an id counts, and the least text; 300 copies of a row weigh as much as one."""
+    rows = [(i, f"good words number {i}" if i % 2 else f"bad bad stuff {i} !!") for i in range(0, 60)]
+    labels = [(i, i % 2) for i, _ in rows]
+    once = quality.fit(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int"))
+    more = spark.createDataFrame(rows + [rows[1]] * 300 + [(rows[3][0], "zzz")], "doc_id long, text string")
+    twice = quality.fit(more, spark.createDataFrame(labels * 3 + [(1, 0), (999, 1), (5, None)], "doc_id long, quality int"))
+    assert once.any() and np.array_equal(once, twice)
+    assert not quality.fit(more, spark.createDataFrame([(1, None), (None, 1)], "doc_id long, quality int")).any()
+
+
 def test_quality_edge_cases(spark):
     d = spark.createDataFrame([(1, "a b"), (2, None), (None, ""), (1, "a b")], "doc_id long, text string").withColumn("score", F.lit("x"))
     labels = spark.createDataFrame([(1, None, 0), (2, 1, 0), (None, 1, 0), (2, 1, 1)], "doc_id long, quality int, toxic int")
@@ -160,6 +270,39 @@ def test_quality_edge_cases(spark):
     assert quality.score(d.filter(F.lit(False)), quality.fit(d, labels)).count() == 0
 
 
+# --- samples to learn from ------------------------------------------------------------------------------------------------
+
+
+def test_shares_of_huge_tables_do_not_round_to_nothing():
+    for n in (10, 8_000, 200_000_000, 5_000_000_000, 10**13):
+        share = common.hash_bound(200, n) / common.LAST_HASH
+        assert share == 1.0 if n < 200 else share * n > 200
+        assert 0 < common.hash_bound(200, n) <= common.LAST_HASH
+    assert common.hash_bound(200, 5_000_000_000) * 5_000_000_000 / common.LAST_HASH == pytest.approx(1.3 * 200 + 10 * 200**0.5 + 20, rel=1e-6)
+
+
+def test_samples_are_bounded_and_count_copies_once(spark):
+    many = spark.range(20_000).selectExpr("concat('t', id) AS t", "CASE WHEN id % 10 = 0 THEN 'b' ELSE 'a' END AS g")
+    d = many.unionByName(spark.range(20_000).selectExpr("'copy' AS t", "'a' AS g")).unionByName(spark.createDataFrame([("only", "c")], "t string, g string"))
+    rows = common.sampled(d, 50, "t", 1, "g").collect()
+    assert {g: sum(r.g == g for r in rows) for g in "abc"} == {"a": 50, "b": 50, "c": 1} and len({r.t for r in rows}) == 101
+    assert common.sampled(d, 50, "t", 1).count() == 50 and common.sampled(d, 10**6, "t", 1).count() == 20_002
+    assert common.sampled(d.filter(F.lit(False)), 50, "t", 1).count() == common.sampled(d.filter(F.lit(False)), 50, "t", 1, "g").count() == 0
+    assert [len(b) for b in common.within_chars(iter([pd.DataFrame({"x": ["abcd", "e"]}), pd.DataFrame({"x": ["fg", "h"]})]), "x", 6)] == [2, 0]
+    assert [len(b) for b in common.within_chars(iter([pd.DataFrame({"x": ["abcdefgh", "e"]})]), "x", 6)] == [1]
+
+
+def test_an_empty_sample_of_rows_raises(spark, monkeypatch):
+    d = spark.createDataFrame([(1, "der die und", "de"), (2, "the and 1 of", "en")], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 1)], "doc_id long, quality int")
+    monkeypatch.setattr(common, "hash_bound", lambda rows, n: 0)
+    for learn in (lambda: language.fit(d), lambda: pii.fit(d)):
+        with pytest.raises(ValueError, match="sample"):
+            learn()
+    with pytest.raises(ValueError, match="sample"):
+        quality.fit(d, labels)
+
+
 # --- decontamination ------------------------------------------------------------------------------------------------------
 
 
