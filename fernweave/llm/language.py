@@ -11,6 +11,7 @@ from __future__ import annotations
 import pickle
 import re
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -18,33 +19,75 @@ from pyspark.sql import functions as F
 
 from .common import fold, in_one_task, sampled, within_chars
 
-_WORDS = re.compile(r"[^\W\d_]+").findall
+#: A word is a run of letters with their combining marks. Python's own letters leave marks out, so texts with any
+#: sign from U+0300 on go the other way; for all others both give the same.
+_HIGH = re.compile("[\u0300-\U0010ffff]").search
+_PLAIN = re.compile(r"[^\W\d_]+").findall
 BUCKETS = 1 << 17
-#: Word types whose scores a worker keeps; words of texts that are labelled at a time.
-MEMO, AT_ONCE = 600_000, 400_000
+#: Bytes that a worker keeps of word types and their scores; numbers (words by labels) that are worked on at a time.
+MEMO_BYTES, AT_ONCE = 48 << 20, 1_600_000
 UNKNOWN = "und"
 
 
-def features_of(word: str) -> list[int]:
-    """The word, its affixes of one to four letters, and its inner pairs and triples, hashed."""
-    crc, m = zlib.crc32, BUCKETS - 1
-    w = word.encode("utf-8", "replace")
-    out = [crc(b"w" + w) & m]
+def words_of(text: str) -> list[str]:
+    if not _HIGH(text):
+        return _PLAIN(text)
+    import regex
+
+    return regex.findall(r"(?:[\p{L}\p{Nl}\p{No}]\p{M}*)+", text)
+
+
+def _mixed(code: np.ndarray, kind: int) -> np.ndarray:
+    x = (code + np.uint64(kind)) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return ((x >> np.uint64(40)) & np.uint64(BUCKETS - 1)).astype(np.int64)
+
+
+def hashed_features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(features of all words one behind the other, each word's number of them): the word, its affixes of one to
+    four bytes of UTF-8, its pairs and triples of bytes, hashed."""
+    raw = [w.encode("utf-8", "replace") for w in words]
+    size = np.fromiter(map(len, raw), np.int64, len(raw))
+    end = np.cumsum(size)
+    start = end - size
+    b = np.frombuffer(b"".join(raw) + b"\0\0", np.uint8).astype(np.uint64)
+    n2, n3 = np.maximum(size - 1, 0), np.maximum(size - 2, 0)
+    sizes = 9 + n2 + n3
+    at = np.cumsum(sizes) - sizes
+    out = np.zeros(int(sizes.sum()), np.int64)
+    out[at] = _mixed(np.fromiter(map(zlib.crc32, raw), np.uint64, len(raw)), 1 << 40)
+    head = tail = np.ones(len(raw), np.uint64)
     for n in range(1, 5):
-        out.append(crc(b"p" + w[:n]) & m)
-        out.append(crc(b"s" + w[-n:]) & m)
-    out += [crc(w[i : i + 2]) & m for i in range(len(w) - 1)]
-    out += [crc(w[i : i + 3]) & m for i in range(len(w) - 2)]
-    return out
+        has = size >= n
+        head = np.where(has, (head << np.uint64(8)) | b[np.minimum(start + n - 1, len(b) - 1)], head)
+        tail = np.where(has, (tail << np.uint64(8)) | b[np.maximum(end - n, 0)], tail)
+        out[at + 2 * n - 1] = _mixed(head, 2 << 40)
+        out[at + 2 * n] = _mixed(tail, 3 << 40)
+    of = np.repeat(np.arange(len(raw)), size)
+    place = np.arange(int(size.sum())) - start[of]
+    two = (b[:-2] << np.uint64(8)) | b[1:-1]
+    inside = place < n2[of]
+    out[(at[of] + 9 + place)[inside]] = _mixed(two[inside], 4 << 40)
+    three = (two << np.uint64(8)) | b[2:]
+    inside = place < n3[of]
+    out[(at[of] + 9 + n2[of] + place)[inside]] = _mixed(three[inside], 5 << 40)
+    return out, sizes
 
 
 def emissions(words: list[str], weights: np.ndarray) -> np.ndarray:
     """A row of scores for each word type."""
-    each = [features_of(w) for w in words]
-    sizes = np.fromiter(map(len, each), np.int64, len(each))
-    flat = np.fromiter((f for fs in each for f in fs), np.int64, int(sizes.sum()))
-    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    return np.add.reduceat(weights[flat], starts, axis=0) / np.sqrt(sizes)[:, None].astype(np.float32) if len(words) else np.zeros((0, weights.shape[1]), np.float32)
+    out = np.zeros((len(words), weights.shape[1]), np.float32)
+    lo = 0
+    while lo < len(words):
+        # So many words that their features' weights are some 32 MB; a longer word by itself.
+        hi, room = lo, max(1, (8 << 20) // max(1, weights.shape[1]))
+        while hi < len(words) and (hi == lo or room > 0):
+            room -= 9 + 8 * len(words[hi])
+            hi += 1
+        flat, sizes = hashed_features(words[lo:hi])
+        out[lo:hi] = np.add.reduceat(weights[flat], np.cumsum(sizes) - sizes, axis=0) / np.sqrt(sizes)[:, None].astype(np.float32)
+        lo = hi
+    return out
 
 
 def forward_backward(scores: np.ndarray, lengths: np.ndarray, transitions: np.ndarray, pairs: bool = False):
@@ -88,7 +131,7 @@ def forward_backward(scores: np.ndarray, lengths: np.ndarray, transitions: np.nd
 
 def chains_of(text: str) -> list[list[str]]:
     """The words of each line, lower-cased."""
-    return [w for line in text.lower().split("\n") if (w := _WORDS(line))]
+    return [w for line in text.lower().split("\n") if (w := words_of(line))]
 
 
 def train(rows, labels: list[str], epochs: int = 4, at_once: int = 400, rate: float = 0.5, decay: float = 1e-4, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -103,9 +146,7 @@ def train(rows, labels: list[str], epochs: int = 4, at_once: int = 400, rate: fl
     k = len(labels)
     weights, transitions = np.zeros((BUCKETS, k), np.float32), np.zeros((k, k))
     seen, seen_t = np.full((BUCKETS, k), 1e-2, np.float32), np.full((k, k), 1.0)
-    each = [features_of(w) for w in types]
-    sizes = np.fromiter(map(len, each), np.int64, len(each))
-    flat = np.fromiter((f for fs in each for f in fs), np.int64, int(sizes.sum()))
+    flat, sizes = hashed_features(list(types))
     ends = np.cumsum(sizes)
     draw = np.random.default_rng(seed)
     for _ in range(epochs):
@@ -140,52 +181,72 @@ def train(rows, labels: list[str], epochs: int = 4, at_once: int = 400, rate: fl
 class Model:
     def __init__(self, labels: list[str], weights: np.ndarray, transitions: np.ndarray):
         self.labels, self.weights, self.transitions = labels, weights, transitions
+        self.at_once = max(2_000, AT_ONCE // max(1, len(labels)))
+        self._forget()
+
+    def _forget(self) -> None:
         self.row_of: dict[str, int] = {}
-        self.rows = np.zeros((0, len(labels)), np.float32)
+        self.rows, self.held = np.zeros((1024, len(self.labels)), np.float32), 0
 
     def _rows(self, words: list[str]) -> np.ndarray:
-        if len(self.row_of) > MEMO:
-            self.row_of, self.rows = {}, np.zeros((0, len(self.labels)), np.float32)
+        if self.held > MEMO_BYTES:
+            self._forget()
         new = [w for w in dict.fromkeys(words) if w not in self.row_of]
         if new:
             base = len(self.row_of)
             self.row_of.update((w, base + i) for i, w in enumerate(new))
-            self.rows = np.concatenate([self.rows[:base], emissions(new, self.weights)])
+            if base + len(new) > len(self.rows):
+                self.rows = np.concatenate([self.rows[:base], np.zeros((base + 2 * len(new), len(self.labels)), np.float32)])
+            self.rows[base : base + len(new)] = emissions(new, self.weights)
+            self.held += sum(map(len, new)) * 2 + len(new) * (150 + 8 * len(self.labels))
         return self.rows[np.fromiter(map(self.row_of.__getitem__, words), np.int64, len(words))]
 
-    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        out: list[tuple[str, float]] = []
-        held: list[list[list[str]]] = []
-        n = 0
-        for text in texts:
-            chains = chains_of(text) if text else []
+    def shares(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, float, float]]:
+        """For each text: the letters of each language by the words' probabilities, the letters by each word's most
+        probable language alone, and all letters (0 if there is none). Lines are labelled a number of words at a time,
+        so that only a single line's words are ever held together."""
+        n = len(texts)
+        total, sure, letters = np.zeros((n, len(self.labels))), np.zeros(n), np.zeros(n)
+        held: list[list[str]] = []
+        owner: list[int] = []
+        count = 0
+
+        def label() -> None:
+            words = [w for c in held for w in c]
+            lengths = np.array([len(c) for c in held], np.int64)
+            weight = np.fromiter(map(len, words), np.float64, len(words))
+            p = forward_backward(self._rows(words).astype(np.float64), lengths, self.transitions) * weight[:, None]
+            of = np.repeat(np.array(owner), lengths)
+            np.add.at(total, of, p)
+            np.add.at(sure, of, p.max(axis=1))
+            np.add.at(letters, of, weight)
+
+        for i, text in enumerate(texts):
+            chains = chains_of(text) if text and self.labels else []
             # Signs for numbers (², Ⅷ) count as word characters; a text of such alone has no letter.
-            held.append(chains if any(c.isalpha() for chain in chains for w in chain for c in w) else [])
-            n += sum(map(len, held[-1]))
-            if n >= AT_ONCE:
-                out += self._label(held)
-                held, n = [], 0
-        return out + self._label(held)
-
-    def _label(self, docs: list[list[list[str]]]) -> list[tuple[str, float]]:
-        if not self.labels:
-            return [(UNKNOWN, 0.0)] * len(docs)
-        words = [w for d in docs for c in d for w in c]
-        lengths = np.array([len(c) for d in docs for c in d], np.int64)
-        p = forward_backward(self._rows(words).astype(np.float64), lengths, self.transitions)
-        p *= np.fromiter(map(len, words), np.float64, len(words))[:, None]
-        ends = np.concatenate([[0], np.cumsum([sum(map(len, d)) for d in docs])]).astype(np.int64)
-        total = np.concatenate([np.zeros((1, len(self.labels))), np.cumsum(p, axis=0)])
-        share = total[ends[1:]] - total[ends[:-1]]
-        out = []
-        for d, s in zip(docs, share):
-            if not d:
-                out.append((UNKNOWN, 0.0))
+            if not any(c.isalpha() for chain in chains for w in chain for c in w):
                 continue
-            best = int(np.argmax(s))
-            out.append((self.labels[best], min(1.0, max(0.0, float(s[best] / s.sum())))))
+            for chain in chains:
+                held.append(chain)
+                owner.append(i)
+                count += len(chain)
+                if count >= self.at_once:
+                    label()
+                    held, owner, count = [], [], 0
+        if held:
+            label()
+        yield from zip(total, sure, letters)
+
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        out = []
+        for share, _, letters in self.shares(texts):
+            best = int(np.argmax(share)) if letters else -1
+            out.append((self.labels[best], min(1.0, max(0.0, float(share[best] / share.sum())))) if letters else (UNKNOWN, 0.0))
         return out
 
+    def knows(self, texts: list[str | None], least: float) -> list[bool]:
+        return [bool(letters) and sure >= least * letters for _, sure, letters in self.shares(texts)]
+
 
 def fit(docs: DataFrame, sample_rows: int = 200, sample_chars: int = 32 << 20, held_out: tuple[int, int] = (4, 2), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> bytes:
     """A pickled (labels, weights, transitions), learned from text and non-null language of documents whose
@@ -231,9 +292,10 @@ def identify(docs: DataFrame, model: bytes, held_out: tuple[int, int] = (4, 2),
     return d.mapInArrow(run, f"`{id_col}` {kind}, held_out boolean, lang_pred string, score double")
 
 
-def known_language(docs: DataFrame, model: bytes, least: float = 0.34, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns as they are, with a language that holds at least ``least`` of the
-    letters: those without letters, and those without a prevailing language, go."""
+def known_language(docs: DataFrame, model: bytes, least: float = 0.4, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns as they are, whose words are of known languages: those without letters go, and
+    those whose words' most probable languages have a probability of less than ``least`` on average over the letters.
+    How many languages a text is in doesn't matter: each word counts for its own."""
     import pyarrow as pa
 
     sent = docs.sparkSession.sparkContext.broadcast(model)
@@ -242,7 +304,6 @@ def known_language(docs: DataFrame, model: bytes, least: float = 0.34, text_col:
     def run(batches):
         of = Model(*pickle.loads(sent.value))
         for batch in batches:
-            got = of.predict(batch.column(at).to_pylist())
-            yield batch.filter(pa.array([lang != UNKNOWN and p >= least for lang, p in got], pa.bool_()))
+            yield batch.filter(pa.array(of.knows(batch.column(at).to_pylist(), least), pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

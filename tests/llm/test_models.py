@@ -339,6 +339,38 @@ def test_windows_by_brute_force(spark, block):
 
 
 def test_long_words_are_read_as_a_whole():
+    features = lambda w: set(language.hashed_features([w])[0].tolist())
     a, b = "x" * 20 + "kolmar" * 9 + "y" * 20, "x" * 20 + "tavini" * 9 + "y" * 20
-    assert set(language.features_of(a)) - set(language.features_of("x" * 20 + "y" * 20)) and set(language.features_of(a)[1:]) != set(language.features_of(b)[1:])
-    assert len(language.features_of(a)) == 1 + 8 + 93 + 92
+    assert features(a) - features("x" * 20 + "y" * 20) and features(a) != features(b)
+    words = ["a", "ab", "abc", "Straße", "漢字", a, "abcde"]
+    flat, sizes = language.hashed_features(words)
+    assert sizes.tolist() == [9 + max(0, n - 1) + max(0, n - 2) for n in (len(w.encode()) for w in words)]
+    ends = np.cumsum(sizes)
+    for w, lo, hi in zip(words, ends - sizes, ends):
+        assert np.array_equal(flat[lo:hi], language.hashed_features([w])[0])
+    shared = features("abcde") & features("xbcdy")
+    assert len(shared) == 3  # bc, cd, bcd
+
+
+def test_marks_belong_to_their_letters():
+    assert language.words_of("हिन्दी भाषा 12 é x²y_z") == ["हिन्दी", "भाषा", "é", "x²y", "z"]
+    assert language.words_of("der_die 1und ab2cd") == ["der", "die", "und", "ab", "cd"] == language.words_of("der_die 1und ab2cd \u2019")
+
+
+def test_lines_in_groups_give_what_they_give_together(monkeypatch):
+    rows = [("der hund und die katze", "de"), ("the dog and the cat", "en"), ("le chien et le chat", "fr")] * 5
+    m = language.Model(["de", "en", "fr"], *language.train(rows, ["de", "en", "fr"]))
+    texts = ["der hund\nthe dog\nle chat et le chien", None, "", "die katze " * 50, "²", "the cat\n" * 30]
+    want = m.predict(texts)
+    m.at_once = 3
+    monkeypatch.setattr(language, "MEMO_BYTES", 10)
+    got = m.predict(texts)
+    assert [x[0] for x in got] == [x[0] for x in want] and [x[1] for x in got] == pytest.approx([x[1] for x in want])
+    assert m.knows(texts, 0.6) == [True, False, False, True, False, True]
+
+
+def test_more_languages_than_two_hundred(spark):
+    rows = [(i, f"wort{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}{'uvwxyz'[i // 100]} " * 6, f"l{i:03d}") for i in range(300)]
+    d = spark.createDataFrame([(10_000 + 7 * k + i * 100, t, x) for i, t, x in rows for k in range(6)], "doc_id long, text string, lang string")
+    labels = pickle.loads(language.fit(d))[0]
+    assert len(labels) == d.filter(common.fold("doc_id", 4) != 2).select("lang").distinct().count() > 250
