@@ -12,17 +12,18 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+import os
 import re
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable
+from itertools import accumulate
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from .common import whole_text
 
-#: Entries of each memo (of chunks, of pieces); it is emptied when full.
-MEMO = 600_000
+#: Bytes of each memo in a worker (of chunks, of pieces, of compatible pairs); it is emptied when full.
+MEMO_BYTES = 32 << 20
 
 
 def pattern() -> str:
@@ -31,10 +32,17 @@ def pattern() -> str:
     return public_tokenizers.PATTERN
 
 
-def read_ranks(path: str) -> list[bytes]:
+def read_file(spark: SparkSession, path: str) -> bytes:
+    """A vocabulary file, on the driver: from its own disk, or from any store that Spark reads."""
+    if os.path.exists(path):
+        with open(path, "rb") as f:
+            return f.read()
+    return bytes(spark.read.format("binaryFile").load(path).first().content)
+
+
+def read_ranks(data: bytes) -> list[bytes]:
     """A rank file (base64, rank) as byte strings in rank order. Gaps are left empty."""
-    with open(path, "rb") as f:
-        found = {int(rank): base64.b64decode(text) for text, rank in (line.split() for line in f if line.strip())}
+    found = {int(rank): base64.b64decode(text) for text, rank in (line.split() for line in data.splitlines() if line.strip())}
     return [found.get(i, b"") for i in range(max(found) + 1)]
 
 
@@ -50,7 +58,10 @@ class Vocabulary:
     """Byte strings, the rank at which a pair is merged, and the pair that each string is merged from.
 
     ``merges`` are pairs of ids with the id made, in the order of merging; None derives them from the order
-    of ``words`` (rank files, where any two neighbours whose bytes are a word merge at the word's rank).
+    of ``words`` (rank files, where any two neighbours whose bytes are a word merge at the word's rank, and a
+    piece that is a word is that one token, whether merges lead to it or not).
+
+    Built on the driver and sent; a worker adds its automaton and memos, which are not sent back.
     """
 
     def __init__(self, words: list[bytes], merges: list[tuple[int, int, int]] | None = None):
@@ -74,10 +85,23 @@ class Vocabulary:
                     if len(parts) == 2:
                         self.made[parts[0], parts[1]] = i
                         self.halves[i] = (parts[0], parts[1])
+        self.pieces_are_words = merges is None
+        #: Entries that merges don't lead to are never part of a longer piece's tokens.
+        self.reached = [len(w) == 1 or (len(w) > 1 and self.halves[i][0] != i) for i, w in enumerate(words)]
+        self.sizes = [len(w) for w in words]
+        self._forget()
+
+    def _forget(self) -> None:
         self._trie = None
         self._fits: dict[tuple[int, int], bool] = {}
         self._shorter: dict[int, int] = {}
-        self.sizes = [len(w) for w in words]
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("_trie", "_fits", "_shorter")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self._forget()
 
     def merge(self, piece: bytes, below: int | None = None) -> list[int]:
         """Merges step by step, as the definition has it; quadratic, for short strings and proofs.
@@ -105,7 +129,7 @@ class Vocabulary:
 
             self._trie = ahocorasick.Automaton()
             for i, w in enumerate(self.words):
-                if w:
+                if self.reached[i]:
                     self._trie.add_word(w.decode("latin-1"), i)
             self._trie.make_automaton()
         return self._trie
@@ -115,7 +139,7 @@ class Vocabulary:
         made the parts at the border. Undoes the later of the two last merges step by step."""
         got = self._fits.get((a, b))
         if got is None:
-            if len(self._fits) > 2_000_000:
+            if len(self._fits) * 150 > MEMO_BYTES:
                 self._fits.clear()
             got = self._fits[a, b] = self._border(a, b)
         return got
@@ -140,7 +164,7 @@ class Vocabulary:
     def encode(self, piece: bytes) -> list[int]:
         """The ids of one piece (what the pattern matched)."""
         one = self.id_of.get(piece)
-        if one is not None and (len(piece) == 1 or self.halves[one][0] != one):
+        if one is not None and (self.pieces_are_words or self.reached[one]):
             return [one]
         text = piece.decode("latin-1")
         n = len(text)
@@ -174,26 +198,17 @@ class Vocabulary:
         if got is None:
             w, got = self.words[token], -1
             for n in range(len(w) - 1, 0, -1):
-                if w[:n] in self.id_of:
-                    got = self.id_of[w[:n]]
+                i = self.id_of.get(w[:n])
+                if i is not None and self.reached[i]:
+                    got = i
                     break
             self._shorter[token] = got
         return got
 
 
-_LOADED: dict[tuple[str, str], Vocabulary] = {}
-
-
-def rank_vocabulary(path: str) -> Vocabulary:
-    if ("ranks", path) not in _LOADED:
-        _LOADED["ranks", path] = Vocabulary(read_ranks(path))
-    return _LOADED["ranks", path]
-
-
-def json_vocabulary(path: str) -> tuple[Vocabulary, list[str]]:
+def json_vocabulary(data: bytes) -> tuple[Vocabulary, list[str]]:
     """The vocabulary of a byte-level tokenizers file, and the strings of its added tokens."""
-    with open(path, encoding="utf-8") as f:
-        spec = json.load(f)
+    spec = json.loads(data)
     if spec["model"]["type"] != "BPE" or (spec.get("pre_tokenizer") or {}).get("type") != "ByteLevel" or spec.get("normalizer"):
         raise ValueError("only byte-level BPE files without a normalizer")
     added = spec.get("added_tokens") or []
@@ -207,27 +222,26 @@ def json_vocabulary(path: str) -> tuple[Vocabulary, list[str]]:
         if text not in special:
             words[i] = bytes(to_byte[c] for c in text)
     pairs = [m.split(" ", 1) if isinstance(m, str) else m for m in spec["model"]["merges"]]
-    key = ("json", path)
-    if key not in _LOADED:
-        _LOADED[key] = Vocabulary(words, [(ids[a], ids[b], ids[a + b]) for a, b in pairs])
-    return _LOADED[key], sorted(special, key=len, reverse=True)
+    return Vocabulary(words, [(ids[a], ids[b], ids[a + b]) for a, b in pairs]), sorted(special, key=len, reverse=True)
 
 
 _RUNS = re.compile(r"\s\s").search
 
 
 class _Memo(dict):
-    """What ``make`` gives for a key; forgets all when full, and keeps no long keys."""
+    """What ``make`` gives for a key. Forgets all when it holds MEMO_BYTES, and keeps no long keys."""
 
     def __init__(self, make):
         super().__init__()
-        self.make = make
+        self.make, self.held = make, 0
 
     def __missing__(self, key: str):
         got = self.make(key)
         if len(key) <= 64:
-            if len(self) >= MEMO:
+            self.held += 200 + len(key) + (len(got) if isinstance(got, bytes) else 0)
+            if self.held > MEMO_BYTES:
                 self.clear()
+                self.held = 0
             self[key] = got
         return got
 
@@ -236,14 +250,15 @@ class Chunks:
     """Cuts a text where the pattern must cut it anyway, with str.split: before a space or line feed that
     has no other white space beside it, as only runs of white space and the single character in front of a
     word take any. What a chunk gives is remembered. A chunk without a leading line feed stands for itself
-    behind a space. Texts with runs of white space go through the pattern as a whole."""
+    behind a space. Texts with runs of white space go through the pattern as a whole, and so do all texts if
+    the pattern is another than pattern()'s (``exact`` false)."""
 
-    def __init__(self, split: str, of_piece):
+    def __init__(self, split: str, exact: bool, of_piece):
         import regex
 
         self.pieces = regex.compile(split).findall
         self.of_piece = of_piece
-        self.exact = split == pattern()
+        self.exact = exact
         self.behind = _Memo(lambda chunk: self.whole(chunk if chunk[:1] == "\n" else " " + chunk))
 
     def whole(self, text: str):
@@ -268,12 +283,30 @@ class _CountChunks(Chunks):
         return sum(map(self.of_piece.__getitem__, self.pieces(text)))
 
 
-class Codec:
+class _Sent:
+    """Made on the driver and broadcast whole, so that no executor needs the vocabulary's file; what is remembered
+    stays in the worker, and goes when Spark takes the broadcast from it."""
+
+    _chunks = None
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "_chunks"}
+
+    @property
+    def chunks(self) -> Chunks:
+        if self._chunks is None:
+            self._chunks = self._make_chunks()
+        return self._chunks
+
+
+class Codec(_Sent):
     """Texts to ids and back, each match of the pattern by itself."""
 
-    def __init__(self, path: str, split: str):
-        self.vocabulary = rank_vocabulary(path)
-        self.chunks = _IdChunks(split, _Memo(lambda piece: array("I", self.vocabulary.encode(piece.encode("utf-8"))).tobytes()))
+    def __init__(self, data: bytes, split: str | None = None):
+        self.vocabulary, self.split, self.exact = Vocabulary(read_ranks(data)), split or pattern(), split in (None, pattern())
+
+    def _make_chunks(self) -> Chunks:
+        return _IdChunks(self.split, self.exact, _Memo(lambda piece: array("I", self.vocabulary.encode(piece.encode("utf-8"))).tobytes()))
 
     def encode(self, text: str) -> array:
         out = array("I")
@@ -284,52 +317,53 @@ class Codec:
         return b"".join(map(self.vocabulary.words.__getitem__, ids))
 
 
-def encode_documents(docs: DataFrame, path: str, split: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Adds nothing, returns per row: the id, ``ids`` (array of ints), ``decoded`` (bytes of the ids decoded).
+def encode_documents(docs: DataFrame, path: str, split: str | None = None, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
+    """Per row: its id, ``n_tokens``, ``ids`` (array of ints; only with ``with_ids``), ``ids_sha256`` (of the ids as
+    little-endian unsigned 32-bit integers) and ``decoded_sha256`` (of the bytes that the ids decode to).
 
-    A null text counts as empty and has no ids. Repeated rows and null ids stay as they are; other columns
-    are not read. An empty table gives an empty result. Texts of any length are encoded whole.
+    A null text counts as empty and has no ids. Repeated rows and null ids stay as they are; other columns are not
+    read. An empty table gives an empty result. Texts of any length are encoded whole. ``path`` is read on the driver.
     """
-    split = split or pattern()
-
-    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        codec = Codec(path, split)
-        for batch in batches:
-            ids = [codec.encode(t) for t in batch["_text"]]
-            yield pd.DataFrame({id_col: batch[id_col], "ids": [list(i) for i in ids], "decoded": [codec.decode(i) for i in ids]})
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, whole_text(text_col).alias("_text")).mapInPandas(run, f"`{id_col}` {kind}, ids array<int>, decoded binary")
-
-
-def encoding_digests(docs: DataFrame, path: str, split: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """encode_documents, with only counts and digests of what it makes: ``n_tokens``, ``ids_sha256`` (ids as
-    little-endian unsigned 32-bit integers) and ``decoded_sha256``. Nulls and the rest as there."""
     import pyarrow as pa
 
-    split = split or pattern()
+    spark = docs.sparkSession
+    sent = spark.sparkContext.broadcast(Codec(read_file(spark, path), split))
     sha = lambda x: hashlib.sha256(x).hexdigest()
+    names = [id_col, "n_tokens", *(["ids"] if with_ids else []), "ids_sha256", "decoded_sha256"]
 
     def run(batches):
-        codec = Codec(path, split)
+        codec = sent.value
         for batch in batches:
-            n, ids_sha, decoded_sha = [], [], []
+            n, raw, ids_sha, decoded_sha = [], [], [], []
             for text in batch.column("_text"):
                 ids = codec.encode(text.as_py())
                 n.append(len(ids))
-                ids_sha.append(sha(ids.tobytes()))
+                data = ids.tobytes()
+                if with_ids:
+                    raw.append(data)
+                ids_sha.append(sha(data))
                 decoded_sha.append(sha(codec.decode(ids)))
-            yield pa.RecordBatch.from_arrays([batch.column(id_col), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(decoded_sha, pa.string())], names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
+            columns = [batch.column(id_col), pa.array(n, pa.int64())]
+            if with_ids:
+                ends = pa.array([0, *accumulate(n)], pa.int32())
+                columns.append(pa.ListArray.from_arrays(ends, pa.Array.from_buffers(pa.int32(), sum(n), [None, pa.py_buffer(b"".join(raw))])))
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(ids_sha, pa.string()), pa.array(decoded_sha, pa.string())], names=names)
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, whole_text(text_col).alias("_text")).mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    schema = f"`{id_col}` {kind}, n_tokens long{', ids array<int>' if with_ids else ''}, ids_sha256 string, decoded_sha256 string"
+    return docs.select(id_col, whole_text(text_col).alias("_text")).mapInArrow(run, schema)
+
+
+def encoding_digests(docs: DataFrame, path: str, split: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """encode_documents() without the ids."""
+    return encode_documents(docs, path, split, id_col, text_col, with_ids=False)
 
 
 class _CountOf(dict):
     """From a piece to its number of tokens: holds the pieces proved to be one token, merges the rest."""
 
-    def __init__(self, vocabulary: Vocabulary):
-        super().__init__(dict.fromkeys(whole_tokens(vocabulary), 1))
+    def __init__(self, vocabulary: Vocabulary, single: list[str]):
+        super().__init__(dict.fromkeys(single, 1))
         self.merged = _Memo(lambda piece: len(vocabulary.encode(piece.encode("utf-8"))))
 
     def __missing__(self, piece: str) -> int:
@@ -349,17 +383,17 @@ def whole_tokens(vocabulary: Vocabulary) -> list[str]:
     return out
 
 
-_COUNTS: dict[str, tuple[_CountOf, list[str]]] = {}
-
+class Counter(_Sent):
+    """Counts a text's tokens. The strings that are one token are proved here, on the driver, and sent as a list."""
 
-class Counter:
-    def __init__(self, path: str, split: str):
-        if path not in _COUNTS:
-            vocabulary, special = json_vocabulary(path)
-            _COUNTS[path] = (_CountOf(vocabulary), special)
-        self.counts, special = _COUNTS[path]
+    def __init__(self, data: bytes, split: str | None = None):
+        self.vocabulary, special = json_vocabulary(data)
+        self.single = whole_tokens(self.vocabulary)
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
-        self.chunks = _CountChunks(split, self.counts)
+        self.split, self.exact = split or pattern(), split in (None, pattern())
+
+    def _make_chunks(self) -> Chunks:
+        return _CountChunks(self.split, self.exact, _CountOf(self.vocabulary, self.single))
 
     def count(self, text: str) -> int:
         parts = self.special.split(text) if self.special else [text]
@@ -371,14 +405,15 @@ def token_counts(docs: DataFrame, path: str, limit: int = 1024, split: str | Non
     tokenizers library counts them for a byte-level BPE file: an added token's string inside a text is one token.
 
     A null text counts as empty: no bytes, no tokens. Repeated rows and null ids stay as they are; other
-    columns are not read; an empty table gives an empty result.
+    columns are not read; an empty table gives an empty result. ``path`` is read on the driver.
     """
     import pyarrow as pa
 
-    split = split or pattern()
+    spark = docs.sparkSession
+    sent = spark.sparkContext.broadcast(Counter(read_file(spark, path), split))
 
     def run(batches):
-        counter = Counter(path, split)
+        counter = sent.value
         for batch in batches:
             n_bytes, n = [], []
             for text in batch.column("_text"):
