@@ -10,14 +10,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from fernweave.llm import bpe, decontaminate, language, pii, similarity
-from fernweave.llm.common import table, written
+from fernweave.llm.common import dropped, table, written
 from fernweave.llm.queries import tokenizer_path
 from fernweave.shipping import shipped
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or without a language that holds a third of the letters, go; texts in two
-    languages stay."""
+    """Documents without a letter, or whose words are of no known language, go; texts in several known ones stay."""
     return language.known_language(docs, language.fit(docs))
 
 
@@ -37,8 +36,8 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document's number of tokens and digests of its ids and of what they decode to."""
-    return bpe.encoding_digests(docs, tokenizer_path("byte_bpe_50k.tiktoken"))
+    """Each document's token ids, their number, and digests of the ids and of what they decode to."""
+    return bpe.encode_documents(docs, tokenizer_path("byte_bpe_50k.tiktoken"))
 
 
 STAGES = [
@@ -54,9 +53,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = written(docs)
+    """The last stage's rows, from the table that it was written to; what the stages before it wrote is removed."""
+    docs, held = table(spark, sf_dir, "documents"), None
+    for _, stage in STAGES:
+        docs = written(stage(spark, docs, sf_dir))
+        if held is not None:
+            dropped(spark, held)
+        held = docs
     return docs
