@@ -109,6 +109,20 @@ def dropped(spark: SparkSession, *frames: DataFrame) -> None:
                 path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: What is broadcast has at most so many bytes; beyond, a key's rows go to so many places.
+BROADCAST_BYTES, SALTS = 16 << 20, 16
+
+
+def looked_up(rows: DataFrame, found: DataFrame, keys: list[str], size: int, how: str) -> DataFrame:
+    """``rows`` joined (inner, left or left_anti) with ``found``, which has ``size`` bytes, or fewer. A small one is
+    broadcast. Otherwise rows of one key, of which there may be very many, are dealt over SALTS places, to each of
+    which all of ``found`` goes."""
+    if size <= BROADCAST_BYTES:
+        return rows.join(F.broadcast(found), keys, how)
+    everywhere = found.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("_salt", F.floor(F.rand(7) * SALTS).cast("int")).join(everywhere, [*keys, "_salt"], how).drop("_salt")
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -1,31 +1,30 @@
 """Benchmark decontamination by a prefix-filtered set join over windows of an item's words.
 
-A window (ten consecutive words of an item, or all of a shorter one) is contained in a text only if its
-rarest word is, so one word is the whole necessary prefix at containment 1. Words are ordered by the number
-of documents that hold them, counted over the whole corpus. Each occurrence of a prefix word in a text gives
-one candidate start for each place that the word has in a window; starts outside the text fall to the bounds
-on position and length; what is left is verified word by word.
+A window (ten consecutive words of an item, or all of a shorter one) is a set of tokens: its shingles of five words,
+each with its place. A text holds the window only if it holds all of them, so the rarest one alone is the whole
+necessary prefix at containment 1: tokens are ordered by the number of documents that hold them, counted over the
+whole corpus. One pass over the texts finds the tokens that any window has, by a bit table of bounded size, and
+keeps stretches of neighbouring tokens that are as long as the shortest window needs (the bound on length). The
+rest is joins: tokens with their counts, the rarest of each window with the places in texts, and there the bounds
+on position (the window must lie inside its stretch) and the comparison word by word.
 """
 
 from __future__ import annotations
 
-import hashlib
-from collections import Counter, defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Lower-cases A-Z, keeps 0-9, a-z and all bytes of other characters; anything else ends a word.
-_FOLD = bytes(b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
+from .common import dropped, looked_up, written
+from .words import Hashes, shingles, words_of
 
-#: Benchmark texts are held against the documents in blocks of about so many bytes; a block is what is sent to
-#: the executors at once. Larger benchmarks take more passes, never larger blocks.
-BLOCK_BYTES = 16 << 20
-
-
-def words_of(text: bytes) -> list[bytes]:
-    return text.translate(_FOLD).split()
+#: Words of a token (fewer in a shorter window); tokens' places that are passed on together.
+SHINGLE, PIECE = 5, 256
+#: Bits of the table for a token, and of the table at most (32 MB: what is sent to the executors). A fuller table lets
+#: more places through to the join, which drops them.
+BITS_EACH, MOST_BITS = 16, 1 << 28
 
 
 def windows_of(words: list[bytes], size: int) -> list[tuple[bytes, ...]]:
@@ -34,114 +33,165 @@ def windows_of(words: list[bytes], size: int) -> list[tuple[bytes, ...]]:
     return [tuple(words[i : i + size]) for i in range(max(1, len(words) - size + 1))]
 
 
-class Index:
-    """Windows by their rarest word; under it by the word's place in the window and the window's length."""
-
-    def __init__(self, items: list[tuple[str, bytes]], df: dict[bytes, int], size: int):
-        of: dict[tuple[bytes, ...], set[str]] = defaultdict(set)
-        for item, text in items:
-            for w in windows_of(words_of(text), size):
-                of[w].add(item)
-        self.by_word: dict[bytes, dict[tuple[int, int], dict[tuple[bytes, ...], tuple[str, ...]]]] = {}
-        for w, ids in of.items():
-            at = min(range(len(w)), key=lambda i: (df.get(w[i], 0), w[i], i))
-            self.by_word.setdefault(w[at], {}).setdefault((at, len(w)), {})[w] = tuple(sorted(ids))
-
-    def occurrences(self, words: list[bytes]) -> Iterator[tuple[int, int, tuple[str, ...]]]:
-        """(start, length, items) of each window that occurs."""
-        by_word, n = self.by_word, len(words)
-        for p in [i for i, w in enumerate(words) if w in by_word]:
-            for (at, length), exact in by_word[words[p]].items():
-                start = p - at
-                if start >= 0 and start + length <= n:
-                    found = exact.get(tuple(words[start : start + length]))
-                    if found:
-                        yield start, length, found
-
-
-def _items(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
-    return benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.col(text_col).cast("string").cast("binary").alias("text")).filter("text is not null")
-
-
-def _document_frequency(docs: DataFrame, text_col: str, vocabulary: set[bytes]) -> dict[bytes, int]:
-    """Of the vocabulary's words only, so that it is no larger than the block of the benchmark."""
+def _windows(benchmark: DataFrame, size: int, item_col: str, text_col: str) -> DataFrame:
+    """(item, win: words joined by spaces, len, k: words of a token, hashes of the tokens), a row an occurrence."""
     import pyarrow as pa
 
-    sent = docs.sparkSession.sparkContext.broadcast(frozenset(vocabulary))
+    schema = pa.schema([("item", pa.string()), ("win", pa.string()), ("len", pa.int32()), ("k", pa.int32()), ("hashes", pa.list_(pa.int64()))])
 
-    def run(batches):
-        held, count = sent.value, Counter()
+    def rows(batches) -> Iterator[tuple]:
+        known = Hashes()
         for batch in batches:
-            for text in batch.column(0):
-                count.update(held.intersection(words_of(text.as_py() or b"")))
-        yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.binary()), pa.array(list(count.values()), pa.int64())], names=["word", "n"])
-
-    counted = docs.select(F.col(text_col).cast("string").cast("binary")).mapInArrow(run, "word binary, n long")
-    return {bytes(r.word): r.n for r in counted.groupBy("word").agg(F.sum("n").alias("n")).collect()}
-
-
-def _indexes(docs: DataFrame, benchmark: DataFrame, size: int, text_col: str, item_col: str, item_text: str, block_bytes: int) -> list:
-    items = _items(benchmark, item_col, item_text)
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-total // block_bytes))
-    out = []
-    for k in range(blocks):
-        block = [(r.item, bytes(r.text)) for r in (items if blocks == 1 else items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k)).collect()]
-        vocabulary = {w for _, text in block for w in words_of(text)}
-        df = _document_frequency(docs, text_col, vocabulary) if vocabulary else {}
-        out.append(docs.sparkSession.sparkContext.broadcast(Index(block, df, size)))
-    return out
-
-
-def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Per row of ``docs``: its id, ``n_words``, ``n_hit`` (words inside any occurrence of a window), ``n_items``,
-    ``items`` (ids as text, sorted, comma-joined), ``items_sha256`` of that, ``contaminated`` (n_hit > 0).
+            for item, text in zip(batch.column("item").to_pylist(), batch.column("text").to_pylist()):
+                words = words_of(text)
+                if words:
+                    n, shown = min(size, len(words)), [w.decode("utf-8", "replace") for w in words]
+                    k = min(SHINGLE, n)
+                    h = shingles(known.of(words), k).view(np.int64)
+                    for i in range(len(words) - n + 1):
+                        yield item, " ".join(shown[i : i + n]), n, k, h[i : i + n - k + 1]
 
-    A null or empty text has no words and isn't hit; an item without words has no window; a null item id is
-    named by the empty text, and rows of one item id count as one item. Repeated rows of ``docs`` each get
-    their row. Other columns aren't read. Either table may be empty.
-    """
+    def run(batches):
+        held = []
+        for row in rows(batches):
+            held.append(row)
+            if len(held) == 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), schema.types)], schema=schema)
+                held = []
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), schema.types)], schema=schema)
+
+    items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.col(text_col).cast("string").cast("binary").alias("text")).filter("text IS NOT NULL")
+    return items.mapInArrow(run, "item string, win string, len int, k int, hashes array<long>")
+
+
+def _bit_table(windows: DataFrame, tokens: int) -> np.ndarray:
+    """A bit for each token, at its hash's last bits: 64-bit words, at most MOST_BITS bits whatever the benchmark."""
+    bits = 1 << 16
+    while bits < min(MOST_BITS, BITS_EACH * tokens):
+        bits *= 2
+    at = windows.select(F.explode("hashes").alias("h")).select(F.pmod("h", F.lit(bits)).alias("b"))
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("b", F.lit(64)).cast("int"))
+    words = at.groupBy(F.shiftright("b", 6).alias("i")).agg(F.bit_or(one).alias("w")).toArrow()
+    table = np.zeros(bits // 64, np.uint64)
+    table[words.column("i").to_numpy()] = words.column("w").to_numpy().view(np.uint64)
+    return table
+
+
+def _stretches(places: np.ndarray, least: int) -> Iterator[tuple[int, int]]:
+    """(first, last) of each run of at least ``least`` neighbouring places."""
+    cut = np.flatnonzero(np.diff(places) != 1)
+    firsts, lasts = np.concatenate([places[:1], places[cut + 1]]), np.concatenate([places[cut], places[-1:]])
+    for a, b in zip(firsts.tolist(), lasts.tolist()):
+        if b - a + 1 >= least:
+            yield a, b
+
+
+def _scanned(docs: DataFrame, table: np.ndarray, least: dict[int, int], size: int, id_col: str, text_col: str) -> DataFrame:
+    """The pass over the texts: _row, _id, _h1 and _h2 (of the text), n_words, seen (its different tokens that the table
+    knows), and pieces of stretches: k, first (the place of its first word), lo (of its first token), hashes of the
+    tokens, words (of all windows that these tokens may belong to). ``least``: by k the tokens that the shortest
+    window has."""
     import pyarrow as pa
 
-    indexes = _indexes(docs, benchmark, size, text_col, item_col, item_text, block_bytes)
+    sent = docs.sparkSession.sparkContext.broadcast(table)
+    piece = pa.struct([("k", pa.int32()), ("first", pa.int32()), ("lo", pa.int32()), ("hashes", pa.list_(pa.int64())), ("words", pa.list_(pa.string()))])
 
     def run(batches):
+        bits, known = sent.value, Hashes()
+        last = np.uint64(len(bits) * 64 - 1)
         for batch in batches:
-            n_words, n_hit, n_items, items = [], [], [], []
+            n_words, seen, pieces = [], [], []
             for text in batch.column("_text"):
                 words = words_of(text.as_py() or b"")
-                hit, ids = bytearray(len(words)), set()
-                for index in indexes:
-                    for start, length, found in index.value.occurrences(words):
-                        hit[start : start + length] = b"\1" * length
-                        ids.update(found)
+                h = known.of(words)
+                own_seen, own = [], []
+                for k, needed in least.items():
+                    s = shingles(h, k)
+                    b = s & last
+                    places = np.flatnonzero((bits[(b >> np.uint64(6)).astype(np.int64)] >> (b & np.uint64(63))) & np.uint64(1))
+                    if not len(places):
+                        continue
+                    own_seen += np.unique(s[places]).view(np.int64).tolist()
+                    for a, z in _stretches(places, needed):
+                        for lo in range(a, z + 1, PIECE):
+                            hi = min(z, lo + PIECE - 1)
+                            first = max(a, lo - (size - k))
+                            shown = [w.decode("utf-8", "replace") for w in words[first : min(z + k, hi + size)]]
+                            own.append({"k": k, "first": first, "lo": lo, "hashes": s[lo : hi + 1].view(np.int64), "words": shown})
                 n_words.append(len(words))
-                n_hit.append(hit.count(1))
-                n_items.append(len(ids))
-                items.append(",".join(sorted(ids)))
-            sha = [hashlib.sha256(x.encode()).hexdigest() for x in items]
-            yield pa.RecordBatch.from_arrays([batch.column(id_col), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(n_items, pa.int64()), pa.array(items, pa.string()), pa.array(sha, pa.string()), pa.array([x > 0 for x in n_hit], pa.bool_())], names=[id_col, "n_words", "n_hit", "n_items", "items", "items_sha256", "contaminated"])
+                seen.append(own_seen)
+                pieces.append(own)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("_row", "_id", "_h1", "_h2")), pa.array(n_words, pa.int64()), pa.array(seen, pa.list_(pa.int64())), pa.array(pieces, pa.list_(piece))], names=["_row", "_id", "_h1", "_h2", "n_words", "seen", "pieces"])
 
+    text = F.col(text_col).cast("string")
+    d = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("_id"), F.xxhash64(text).alias("_h1"), F.xxhash64(F.lit(1), text).alias("_h2"), text.cast("binary").alias("_text"))
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, F.col(text_col).cast("string").cast("binary").alias("_text")).mapInArrow(run, f"`{id_col}` {kind}, n_words long, n_hit long, n_items long, items string, items_sha256 string, contaminated boolean")
-
-
-def clean_documents(docs: DataFrame, benchmark: DataFrame, size: int = 10, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of ``docs``, all columns as they are, in whose text no window of any item occurs."""
-    import pyarrow as pa
+    return d.mapInArrow(run, f"_row long, _id {kind}, _h1 long, _h2 long, n_words long, seen array<long>, pieces array<struct<k:int,first:int,lo:int,hashes:array<long>,words:array<string>>>")
+
+
+def _occurrences(docs: DataFrame, benchmark: DataFrame, size: int, id_col: str, text_col: str, item_col: str, item_text: str) -> tuple[DataFrame, DataFrame, DataFrame, list[DataFrame]]:
+    """(scanned texts, occurrences: _row, start, len, win; items: win, item; the written tables behind them)."""
+    raw = written(_windows(benchmark, size, item_col, item_text))
+    windows = written(raw.select("win", "len", "k", "hashes").dropDuplicates(["win"]))
+    items = written(raw.select("win", "item").distinct())
+    dropped(docs.sparkSession, raw)
+    least = {r.k: r.n for r in windows.groupBy("k").agg(F.min(F.col("len") - F.col("k") + 1).alias("n")).collect()}  # SHINGLE rows at most
+    tokens = windows.agg(F.sum(F.size("hashes"))).first()[0] or 0
+    scanned = written(_scanned(docs, _bit_table(windows, tokens), least, size, id_col, text_col))
+    counts = scanned.select(F.explode("seen").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("df"))
+    each = windows.select("win", "len", F.posexplode("hashes").alias("at", "h"))
+    rated = looked_up(each, counts, ["h"], 12 * tokens, "left")
+    # A window's rarest token; one that no text holds ends the window's part.
+    rarest = rated.groupBy("win", "len").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "h", "at")).alias("x")).filter("x.df > 0")
+    prefixes = written(rarest.select("win", "len", "x.h", "x.at"))
+    places = scanned.select("_row", F.explode("pieces").alias("s")).select("_row", "s", F.posexplode("s.hashes").alias("i", "h"))
+    off = F.col("s.lo") + F.col("i") - F.col("s.first")
+    before = F.least(off, F.lit(size) - F.col("s.k"))
+    near = F.slice("s.words", off - before + 1, F.lit(2 * size) - F.col("s.k"))
+    places = places.select("_row", "h", (F.col("s.lo") + F.col("i")).alias("p"), before.alias("before"), near.alias("near"))
+    met = looked_up(places, prefixes, ["h"], 150 * prefixes.count(), "inner")
+    lo = F.col("before") - F.col("at")
+    inside = (lo >= 0) & (lo + F.col("len") <= F.size("near"))
+    same = F.when(inside, F.array_join(F.slice("near", F.greatest(lo, F.lit(0)) + 1, F.col("len")), " ") == F.col("win")).otherwise(False)
+    found = written(met.filter(same).select("_row", (F.col("p") - F.col("at")).alias("start"), "len", "win"))
+    dropped(docs.sparkSession, windows, prefixes)
+    return scanned, found, items, [scanned, found, items]
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """Per row of ``docs``: its id, ``n_words``, ``n_hit`` (words inside any occurrence of a window), ``n_items``,
+    ``items`` (ids as text, sorted, comma-joined), ``items_sha256`` of that, ``contaminated`` (n_hit > 0).
 
-    indexes = _indexes(docs, benchmark, size, text_col, item_col, item_text, block_bytes)
-    at = docs.columns.index(text_col)
+    A null or empty text has no words and isn't hit; an item without words has no window; a null item id is
+    named by the empty text, and rows of one item id count as one item. Repeated rows of ``docs`` each get
+    their row. Other columns aren't read. Either table may be empty.
+    """
+    scanned, found, items, held = _occurrences(docs, benchmark, size, id_col, text_col, item_col, item_text)
+    spans = F.array_sort(F.collect_set(F.struct("start", (F.col("start") + F.col("len")).alias("end"))))
+    # Words up to the furthest end so far count once.
+    zero = F.struct(F.lit(0).alias("n"), F.lit(0).alias("upto"))
+    covered = F.aggregate("x", zero, lambda a, s: F.struct((a["n"] + F.greatest(F.lit(0), s["end"] - F.greatest(s["start"], a["upto"]))).alias("n"), F.greatest(a["upto"], s["end"]).alias("upto")), lambda a: a["n"])
+    hit = found.groupBy("_row").agg(spans.alias("x")).select("_row", covered.cast("long").alias("n_hit"))
+    named = looked_up(found.select("_row", "win").distinct(), items, ["win"], 120 * items.count(), "inner")
+    of_row = named.groupBy("_row").agg(F.array_sort(F.collect_set("item")).alias("_items"))
+    out = scanned.select("_row", "_id", "n_words").join(hit, "_row", "left").join(of_row, "_row", "left")
+    n_hit, listed = F.coalesce("n_hit", F.lit(0)).cast("long"), F.coalesce(F.array_join("_items", ","), F.lit(""))
+    n_items = F.coalesce(F.size("_items"), F.lit(0))
+    out = written(out.select(F.col("_id").alias(id_col), "n_words", n_hit.alias("n_hit"), F.when(F.col("_items").isNull(), 0).otherwise(n_items).cast("long").alias("n_items"), listed.alias("items"), F.sha2(listed.cast("binary"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated")))
+    dropped(docs.sparkSession, *held)
+    return out
 
-    def run(batches):
-        for batch in batches:
-            clean = []
-            for text in batch.column(at):
-                words = words_of((text.as_py() or "").encode("utf-8"))
-                clean.append(not any(True for index in indexes for _ in index.value.occurrences(words)))
-            yield batch.filter(pa.array(clean, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+def clean_documents(docs: DataFrame, benchmark: DataFrame, size: int = 10, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns as they are, in whose text no window of any item occurs. A text is known
+    again by 128 bits of hashes."""
+    scanned, found, items, held = _occurrences(docs, benchmark, size, text_col, text_col, item_col, item_text)
+    bad = written(scanned.join(found.select("_row").distinct(), "_row", "left_semi").select("_h1", "_h2").distinct())
+    dropped(docs.sparkSession, *held)
+    text = F.col(f"`{text_col}`").cast("string")
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.xxhash64(text).alias("_h1"), F.xxhash64(F.lit(1), text).alias("_h2"))
+    return looked_up(whole, bad, ["_h1", "_h2"], 16 * bad.count(), "left_anti").select("_doc.*")
 
 
 def oracle_sql(size: int = 10) -> str:

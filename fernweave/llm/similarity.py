@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import by_whole_groups, dropped, written
-from .decontaminate import words_of
+from .words import Hashes, mixed, shingles, words_of
 
 COORDINATES = 64
 #: Coordinates drawn at a node: one, or with this probability two.
@@ -32,35 +32,11 @@ FIRST_DEPTH, STEP, LAST_DEPTH = 3, 2, 7
 LEAF, TILE = 100, 256
 #: Up to so many candidates' numbers (8 bytes each) are broadcast to sift their sets before a shuffle.
 BROADCAST_ROWS = 2_000_000
-_M = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) >= 600_000:
-            self.clear()
-        got = self[word] = xxhash.xxh64_intdigest(word)
-        return got
-
-
-def shingle_set(words: list[bytes], size: int, hashes: dict) -> np.ndarray:
+def shingle_set(words: list[bytes], size: int, hashes: Hashes) -> np.ndarray:
     """The distinct shingles' 64-bit hashes, in order. All words are one shingle where there are fewer."""
-    if not words:
-        return np.zeros(0, np.uint64)
-    h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-    k = min(size, len(words))
-    s = np.full(len(words) - k + 1, np.uint64(k))
-    for i in range(k):
-        s = s * np.uint64(0x9E3779B97F4A7C15) + h[i : i + len(s)]
-    return np.unique(_mix(s))
+    return np.unique(shingles(hashes.of(words), min(size, len(words)))) if words else np.zeros(0, np.uint64)
 
 
 _FACTORS = (np.random.default_rng(42).integers(0, 1 << 32, COORDINATES, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)[:, None]
@@ -127,7 +103,7 @@ def runs_for(similarity: float, recall: float, depth: int = LAST_DEPTH) -> int:
 
 def children(at: np.ndarray, node: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """One level down: (record, child) for the records ``at`` at ``node``; values: minimum hashes by record."""
-    r = _mix(node + np.uint64(0x9E3779B97F4A7C15))
+    r = mixed(node + np.uint64(0x9E3779B97F4A7C15))
     one = (r & np.uint64(COORDINATES - 1)).astype(np.int64)
     other = ((r >> np.uint64(16)) & np.uint64(COORDINATES - 1)).astype(np.int64)
     other = np.where(other == one, (one + 1) % COORDINATES, other)
@@ -135,7 +111,7 @@ def children(at: np.ndarray, node: np.ndarray, values: np.ndarray) -> tuple[np.n
     at2, node2 = np.concatenate([at, at[two]]), np.concatenate([node, node[two]])
     c = np.concatenate([one, other[two]])
     v = values[at2, c].astype(np.uint64)
-    return at2, _mix(node2 * np.uint64(31) + (c.astype(np.uint64) << np.uint64(16)) + v + np.uint64(1))
+    return at2, mixed(node2 * np.uint64(31) + (c.astype(np.uint64) << np.uint64(16)) + v + np.uint64(1))
 
 
 def _sketched(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
@@ -143,7 +119,7 @@ def _sketched(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFra
     import pyarrow as pa
 
     def run(batches):
-        hashes = _Hashes()
+        hashes = Hashes()
         for batch in batches:
             sig, n, mh, sets = [], [], [], []
             for text in batch.column("_text"):
@@ -178,7 +154,7 @@ def _rooted(classes: DataFrame, runs: int) -> DataFrame:
             if len(b):
                 values, rows = _values(b["_mh"]), b["_row"].to_numpy()
                 at = np.tile(np.arange(len(b)), runs)
-                node = np.repeat(_mix(np.arange(1, runs + 1, dtype=np.uint64)), len(b))
+                node = np.repeat(mixed(np.arange(1, runs + 1, dtype=np.uint64)), len(b))
                 for _ in range(FIRST_DEPTH):
                     at, node = children(at, node, values)
                 yield pd.DataFrame({"_path": _signed(node), "_row": rows[at]})

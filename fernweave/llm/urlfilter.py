@@ -4,7 +4,7 @@ behind it. DataFrame operations only.
 The list's canonical URLs set ``BITS`` bits each in one 256-bit block of the filter; blocks are rows
 (block, four words), made by one aggregation. A page's URL looks at one block. Only possible hits go on to
 the exact hash join with the list, which removes the false positives. What is broadcast is counted first;
-beyond the bound both joins are shuffled, with rows of one key dealt over SALTS places.
+beyond the bound both joins are shuffled, with rows of one key dealt over several places.
 """
 
 from __future__ import annotations
@@ -12,6 +12,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import common
+from .common import looked_up
+
 # Fixed values of the contract: host, path prefix, verdict.
 RULES: list[tuple[str, str, str]] = [
     ("net", "/", "block"),
@@ -23,9 +26,6 @@ RULES: list[tuple[str, str, str]] = [
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Bits set for a URL in its block, and URLs for a block of 256 bits: about 25 bits a URL, false hits under 1 in 1000.
 BITS, PER_BLOCK = 6, 10
-#: A filter of up to so many blocks (40 bytes each) is broadcast, and a list of up to so many bytes; larger ones
-#: are joined by a shuffle, where a key's rows go to as many places as there are salts.
-BROADCAST_BLOCKS, BROADCAST_BYTES, SALTS = 100_000, 16 << 20, 16
 
 
 def host_of(url: Column) -> Column:
@@ -68,15 +68,6 @@ def _maybe(key: Column) -> Column:
     return out
 
 
-def _looked_up(rows: DataFrame, found: DataFrame, key: str, small: bool) -> DataFrame:
-    """All rows with the row of ``found`` (one a key) for their key, if any. A small one is broadcast. Otherwise a
-    key's rows, and those without a key, are dealt over SALTS places, to each of which ``found`` goes."""
-    if small:
-        return rows.join(F.broadcast(found), key, "left")
-    everywhere = found.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return rows.withColumn("_salt", F.floor(F.rand(7) * SALTS).cast("int")).join(everywhere, [key, "_salt"], "left").drop("_salt")
-
-
 def listed_urls(urls: DataFrame, url_col: str = "url") -> DataFrame:
     """The distinct canonical URLs of a list; null URLs and such without a host name nothing."""
     u = F.col(url_col)
@@ -106,15 +97,15 @@ def judge_urls(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str,
     if n:
         blocks = -(-n // PER_BLOCK)
         place = F.when(host != "", F.pmod(F.xxhash64("url_key"), F.lit(blocks)))
-        looked = _looked_up(base.withColumn("block", place), bloom_blocks(listed, blocks), "block", blocks <= BROADCAST_BLOCKS)
+        looked = looked_up(base.withColumn("block", place), bloom_blocks(listed, blocks), ["block"], 40 * blocks, "left")
         looked = looked.withColumn("_maybe", F.coalesce(_maybe(F.col("url_key")), F.lit(False))).drop("block", "w0", "w1", "w2", "w3")
         exact = listed.select(F.col("url_key").alias("_key"), F.lit(True).alias("_in"))
         keyed = looked.withColumn("_key", F.when(F.col("_maybe"), F.col("url_key")))
-        if size <= BROADCAST_BYTES:
-            hits = _looked_up(keyed, exact, "_key", True)
+        if size <= common.BROADCAST_BYTES:
+            hits = looked_up(keyed, exact, ["_key"], size, "left")
         else:
             # Only possible hits are shuffled; the others stay where they are.
-            hits = _looked_up(keyed.filter("_maybe"), exact, "_key", False).unionByName(keyed.filter(~F.col("_maybe")).withColumn("_in", F.lit(False)))
+            hits = looked_up(keyed.filter("_maybe"), exact, ["_key"], size, "left").unionByName(keyed.filter(~F.col("_maybe")).withColumn("_in", F.lit(False)))
         base = hits.select("_id", "host", "path", F.coalesce("_in", F.lit(False)).alias("listed"))
     else:
         base = base.select("_id", "host", "path", F.lit(False).alias("listed"))

@@ -319,23 +319,28 @@ def brute_hits(text, items, size=10):
     return len(words), len(hit), ",".join(sorted(ids))
 
 
-@pytest.mark.parametrize("block", [1 << 20, 40])
-def test_windows_by_brute_force(spark, block):
+@pytest.mark.parametrize("broadcast, bits, piece", [(16 << 20, 1 << 28, 256), (0, 64, 3), (0, 1 << 28, 1)])
+def test_windows_by_brute_force(spark, monkeypatch, broadcast, bits, piece):
+    """Also with salted joins, with a bit table that lets everything through, and with stretches cut to pieces."""
+    monkeypatch.setattr(common, "BROADCAST_BYTES", broadcast)
+    monkeypatch.setattr(decontaminate, "MOST_BITS", bits)
+    monkeypatch.setattr(decontaminate, "PIECE", piece)
     draw = random.Random(2)
     text = lambda n: " ".join(draw.choice(["Ab", "b", "c,", "é", "d-d", "1"]) for _ in range(n))
-    items = [(1, text(14)), (2, text(3)), (3, ""), (None, text(11)), (4, None), (1, text(10)), (10, text(12))]
-    texts = [text(draw.randint(0, 40)) for _ in range(40)] + [None, "", f"x {items[0][1]} y", items[6][1] * 2]
-    d = spark.createDataFrame(list(enumerate(texts)) + [(0, texts[0])], "doc_id long, text string").withColumn("n_hit", F.lit("x"))
-    b = spark.createDataFrame(items, "item_id long, text string")
-    rows = decontaminate.contamination(d, b, block_bytes=block).collect()
-    assert len(rows) == len(texts) + 1
+    items = [(1, text(14)), (2, text(3)), (3, ""), (None, text(11)), (4, None), (1, text(10)), (10, text(12)), (11, text(6)), (12, "zz b zz b zz b zz b zz b zz b zz b"), (13, "only")]
+    texts = [text(draw.randint(0, 40)) for _ in range(40)] + [None, "", f"x {items[0][1]} y", items[6][1] * 2, f"{items[3][1]} {items[6][1]} only", "zz b " * 40, text(400), "only"]
+    d = spark.createDataFrame(list(enumerate(texts)) + [(0, texts[0])] + [(None, texts[42])] * 3, "doc_id long, text string").withColumns({"n_hit": F.lit("x"), "_h1": F.lit(1), "_row": F.lit(2)})
+    b = spark.createDataFrame(items, "item_id long, text string").withColumn("win", F.lit(0))
+    rows = decontaminate.contamination(d, b).collect()
+    assert len(rows) == len(texts) + 4
     for r in rows:
-        assert (r.n_words, r.n_hit, r["items"]) == brute_hits(texts[r.doc_id], items)
+        assert (r.n_words, r.n_hit, r["items"]) == brute_hits(texts[42 if r.doc_id is None else r.doc_id], items)
         assert r.contaminated == (r.n_hit > 0) and r.n_items == len({x for x in r["items"].split(",")} if r["items"] or r.n_hit else ())
-    clean = decontaminate.clean_documents(d, b, block_bytes=block)
+    clean = decontaminate.clean_documents(d, b)
     assert clean.columns == d.columns and sorted(r.doc_id for r in clean.collect()) == sorted(r.doc_id for r in rows if not r.contaminated)
     none = b.filter(F.lit(False))
     assert decontaminate.contamination(d, none).filter("contaminated").count() == 0 and decontaminate.contamination(d.filter(F.lit(False)), b).count() == 0
+    assert decontaminate.clean_documents(d, none).count() == d.count() and decontaminate.clean_documents(d.filter(F.lit(False)), b).count() == 0
 
 
 def test_long_words_are_read_as_a_whole():

@@ -6,7 +6,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from fernweave.llm import fingerprints, licenses, queries, urlfilter
+from fernweave.llm import common, fingerprints, licenses, queries, urlfilter
 
 SF = "/root/testdata/sf0.001"
 
@@ -69,10 +69,9 @@ def brute(url, listed):
     return host, path, None, "block" if inside else "allow", inside
 
 
-@pytest.mark.parametrize("blocks, size", [(100_000, 1 << 20), (0, 1 << 20), (0, 0)])
-def test_urls_by_hand(spark, monkeypatch, blocks, size):
-    monkeypatch.setattr(urlfilter, "BROADCAST_BLOCKS", blocks)
-    monkeypatch.setattr(urlfilter, "BROADCAST_BYTES", size)
+@pytest.mark.parametrize("size", [1 << 20, 2500, 0])
+def test_urls_by_hand(spark, monkeypatch, size):
+    monkeypatch.setattr(common, "BROADCAST_BYTES", size)
     d = spark.createDataFrame([(i, u, "x") for i, u in enumerate(URLS)] + [(3, URLS[3], "x"), (None, "http://q.io/a/", "x")], "page_id long, url string, host string")
     keys = ["q.io/a", "a.net/x"] + [f"other{i}.io/p" for i in range(500)]
     listed = spark.createDataFrame([(k,) for k in keys], "url_key string")

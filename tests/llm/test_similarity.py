@@ -5,11 +5,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from fernweave.llm import similarity
-from fernweave.llm.decontaminate import words_of
+from fernweave.llm.words import Hashes, mixed, words_of
 
 
 def sets_of(texts):
-    h = similarity._Hashes()
+    h = Hashes()
     return [frozenset(similarity.shingle_set(words_of((t or "").lower().encode()), 5, h).tolist()) for t in texts]
 
 
@@ -95,7 +95,7 @@ def test_pairs_at_the_threshold_meet_at_the_last_depth():
     for run in range(1, similarity.runs_for(0.8, 0.99) + 1):
         nodes = []
         for values in (a, b):
-            at, node = np.arange(pairs), np.full(pairs, similarity._mix(np.array([run], np.uint64))[0])
+            at, node = np.arange(pairs), np.full(pairs, mixed(np.array([run], np.uint64))[0])
             for _ in range(similarity.LAST_DEPTH):
                 at, node = similarity.children(at, node, values)
             nodes.append(set(zip(at.tolist(), node.tolist())))
