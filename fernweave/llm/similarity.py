@@ -22,14 +22,17 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_whole_groups, dropped, written
+from .common import by_whole_groups, dropped, looked_up, written
 from .words import Hashes, mixed, shingles, words_of
 
 COORDINATES = 64
 #: Coordinates drawn at a node: one, or with this probability two.
 TWO = 0.25
 FIRST_DEPTH, STEP, LAST_DEPTH = 3, 2, 7
-LEAF, TILE = 100, 256
+LEAF = 100
+#: A component's classes are compared in tiles of two chunks. A chunk has about TILE rows, as long as that makes no more
+#: than CHUNKS chunks; then chunks grow, up to TILE_ROWS rows or TILE_BYTES of sets, and only beyond that their number.
+TILE, CHUNKS, TILE_ROWS, TILE_BYTES = 256, 32, 8192, 16 << 20
 #: Up to so many candidates' numbers (8 bytes each) are broadcast to sift their sets before a shuffle.
 BROADCAST_ROWS = 2_000_000
 
@@ -248,18 +251,15 @@ def _candidates(classes: DataFrame, similarity: float, recall: float) -> tuple[D
     return edges.distinct(), held
 
 
-def components(edges: DataFrame, most: int = 50) -> DataFrame:
-    """(_a, _b): each node of the edges (_a > _b) but the roots, with its component's least node."""
+def components(edges: DataFrame, most: int = 100) -> DataFrame:
+    """(_a, _b): each node of the edges (_a > _b) but the roots, with its component's least node. Rounds go on until
+    no edge changes; a graph that isn't done after ``most`` rounds (they grow with the logarithm of its size) raises."""
     spark = edges.sparkSession
     e = written(edges)
-
-    def state(x):
-        return tuple(x.agg(F.count(F.lit(1)), F.sum(F.xxhash64("_a", "_b") % 1_000_000_007)).first())
-
-    now = state(e)
+    n = e.count()
     for _ in range(most):
-        if not now[0]:
-            break
+        if not n:
+            return e
         # Large star: every greater neighbour goes to the least one.
         both = e.unionByName(e.select(F.col("_b").alias("_a"), F.col("_a").alias("_b")))
         m = both.groupBy("_a").agg(F.least(F.min("_b"), F.first("_a")).alias("_m"))
@@ -269,11 +269,13 @@ def components(edges: DataFrame, most: int = 50) -> DataFrame:
         near = large.join(m, "_a")
         small = near.select(F.explode(F.array(F.struct(F.col("_a"), F.col("_m").alias("_b")), F.struct(F.col("_b").alias("_a"), F.col("_m").alias("_b")))).alias("x")).select("x.*").filter("_a > _b").distinct()
         new = written(small)
+        now = new.count()
+        done = now == n and new.join(e, ["_a", "_b"], "left_anti").isEmpty()
         dropped(spark, e)
-        e, before, now = new, now, state(new)
-        if now == before:
-            break
-    return e
+        e, n = new, now
+        if done:
+            return e
+    raise RuntimeError(f"components aren't complete after {most} rounds; {n} edges are left")
 
 
 def _grouped(e: DataFrame) -> DataFrame:
@@ -283,7 +285,7 @@ def _grouped(e: DataFrame) -> DataFrame:
 
 def _linked(members: DataFrame, similarity: float) -> DataFrame:
     """Verified links in tiles (_root, _i, _j; _side 0 or 1; _row, _weight, _n, _set): for each row the weight of
-    its partners, and the least row of its group here."""
+    its partners, and one row that stands for its group here (``_hub``)."""
     import pandas as pd
 
     def tile(rows, weight, side, sets, crossing) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -325,14 +327,28 @@ def _linked(members: DataFrame, similarity: float) -> DataFrame:
     return by_whole_groups(members, ["_root", "_i", "_j"], run, "_row long, _links long, _hub long", rows=512)
 
 
-def _tiled(members: DataFrame) -> DataFrame:
-    """Deals the members (_row, _root, ...) of a component to tiles of about TILE rows, or twice that: each pair
-    of chunks is a tile, a component of one chunk is one tile. A row goes to as many tiles as there are chunks."""
-    sizes = members.groupBy("_root").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("_chunks"))
-    d = members.join(sizes, "_root")
-    own = F.pmod(F.xxhash64("_row"), F.col("_chunks").cast("long")).cast("int")
-    d = d.withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)))
-    return d.select("_row", "_root", "_weight", F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"), (F.col("_own") > F.col("_other")).cast("int").alias("_side"))
+def _tiled(members: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """Deals the members (_row, _root, _weight, _n) of a component to tiles (_i, _j) of bounded size.
+
+    A component that fits a chunk is one tile. A larger one is cut by the sets' sizes into bands, each from a size to
+    1 / similarity times that: two sets that are similar enough lie in one band or in neighbouring ones, so others
+    are never brought together. A band is cut into chunks, and each two chunks that may hold similar sets are a tile:
+    a row goes to as many tiles as its own band and the two beside it have chunks. Also returns a table behind it."""
+    band = F.floor(F.log("_n") / -math.log(similarity) + 1e-9).cast("int") if similarity < 1 else F.col("_n")
+    d = members.withColumn("_band", band)
+    per = written(d.groupBy("_root", "_band").agg(F.count(F.lit(1)).alias("_c"), F.sum(4 * F.col("_n").cast("long")).alias("_s")))
+    chunks = F.greatest(F.least(F.ceil(F.col("_c") / TILE), F.lit(CHUNKS)), F.ceil(F.col("_c") / TILE_ROWS), F.ceil(F.col("_s") / TILE_BYTES)).cast("int")
+    # A component has as many bands as the logarithm of its largest set's size has steps: a map of tens of entries.
+    roots = per.groupBy("_root").agg(((F.sum("_c") <= TILE) & (F.sum("_s") <= TILE_BYTES)).alias("_small"), F.map_from_entries(F.collect_list(F.struct("_band", chunks))).alias("_bands"))
+    d = looked_up(d, roots, ["_root"], 64 * per.count(), "inner")
+    of = lambda b: F.coalesce(F.element_at("_bands", b), F.lit(0))
+    name = lambda b, k: b.cast("long") * F.lit(1 << 32) + k
+    here = F.col("_band")
+    own = F.when(F.col("_small"), F.lit(0)).otherwise(name(here, F.pmod(F.xxhash64("_row"), of(here).cast("long"))))
+    several = lambda b: F.when(of(b) > 0, F.transform(F.sequence(F.lit(0), of(b) - 1), lambda k: name(b, k))).otherwise(F.array().cast("array<bigint>"))
+    others = F.when(F.col("_small"), F.array(F.lit(0).cast("long"))).otherwise(F.concat(several(here - 1), several(here), several(here + 1)))
+    d = d.select("_row", "_root", "_weight", own.alias("_own"), F.explode(others).alias("_other"))
+    return d.select("_row", "_root", "_weight", F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"), (F.col("_own") > F.col("_other")).cast("int").alias("_side")), per
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, recall: float = 0.99, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -340,8 +356,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, rec
     other rows' shingle sets have a Jaccard similarity to its own of at least ``similarity``, copies included),
     and ``text_hash`` (xxhash64 of the text).
 
-    Words are what decontaminate.words_of() finds in the lower-cased text. Texts without a word (null and empty
-    ones too) link to nothing. Repeated rows are copies of each other. A group without any id has a null
+    Words are what words.words_of() finds in the lower-cased text. Texts without a word (null and empty
+    ones too) link to nothing. A set holds 32 bits of each shingle's hash: at a similarity of just the threshold two
+    different shingles with equal bits (one in 2^32 for any two) can decide. Repeated rows are copies of each other. A group without any id has a null
     class_id. Other columns aren't read. A pair at the threshold is found with at least the probability
     ``recall``, a more similar one with a higher; what is found is verified on the sets.
     """
@@ -349,18 +366,19 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, rec
     base = _sketched(docs, id_col, text_col, size)
     worded = base.filter("_sig IS NOT NULL")
     copies = written(worded.groupBy("_sig").agg(F.min("_row").alias("_row"), F.count(F.lit(1)).alias("_weight"), F.min("_id").alias("_least")))
-    classes = written(base.select("_row", "_mh").join(copies.select("_row", "_weight"), "_row"))
+    classes = written(base.select("_row", "_mh", "_n").join(copies.select("_row", "_weight"), "_row"))
     edges, held = _candidates(classes, similarity, recall)
     maybe = components(edges)
     dropped(spark, *held)
-    members = written(_grouped(maybe).join(classes.select("_row", "_weight"), "_row"))
+    members = written(_grouped(maybe).join(classes.select("_row", "_weight", "_n"), "_row"))
     sets = base.select("_row", "_set")
     if members.count() <= BROADCAST_ROWS:
         # Only members' sets go into the shuffle; beyond the bound the join itself drops the others.
         sets = sets.join(F.broadcast(members.select("_row")), "_row", "left_semi")
-    with_sets = _tiled(members).join(sets.hint("merge"), "_row")
+    tiles, sizes = _tiled(members, similarity)
+    with_sets = tiles.join(sets.hint("merge"), "_row")
     linked = written(_linked(with_sets, similarity))
-    final = components(linked.filter("_hub < _row").select(F.col("_row").alias("_a"), F.col("_hub").alias("_b")).distinct())
+    final = components(linked.filter("_hub <> _row").select(F.greatest("_row", "_hub").alias("_a"), F.least("_row", "_hub").alias("_b")).distinct())
     links = linked.groupBy("_row").agg(F.sum("_links").alias("_links"))
     per_class = copies.join(_grouped(final), "_row", "left").join(links, "_row", "left").withColumn("_root", F.coalesce("_root", "_row"))
     least = per_class.groupBy("_root").agg(F.min("_least").alias("_class"))
@@ -368,7 +386,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, rec
     rows = worded.select("_id", "_th", "_sig").join(per_class, "_sig").select("_id", "_th", "_class", "_links")
     alone = base.filter("_sig IS NULL").select("_id", "_th", F.col("_id").alias("_class"), F.lit(0).cast("long").alias("_links"))
     out = written(rows.unionByName(alone))
-    dropped(spark, base, copies, classes, maybe, members, linked, final)
+    dropped(spark, base, copies, classes, maybe, members, sizes, linked, final)
     return out.select(F.col("_id").alias(id_col), F.col("_class").alias("class_id"), F.col("_links").alias("n_links"), F.col("_th").alias("text_hash"))
 
 
@@ -376,9 +394,12 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``docs``, all columns as they are, with one row of each group of near-duplicates: that of the least id (of
     its rows the one whose text's digest is least). Rows without a word stay, each text once for an id. Groups
     without any id can't be told apart by it: of them each text stays once."""
-    found = near_duplicates(docs, id_col=id_col, text_col=text_col, **how).select("class_id", F.col(id_col).alias("_id"), F.col("text_hash").alias("_th"))
-    first = found.filter("_id IS NOT NULL").groupBy("class_id").agg(F.min(F.struct("_id", "_th")).alias("_x")).select("_x.*")
-    keep = written(first.unionByName(found.filter("_id IS NULL AND class_id IS NULL").select("_id", "_th").distinct()))
-    named = docs.withColumn("_th", F.xxhash64(F.col(text_col).cast("string")))
-    on: Column = named[id_col].eqNullSafe(keep["_id"]) & (named["_th"] == keep["_th"])
-    return named.join(keep, on, "left_semi").dropDuplicates([id_col, "_th"]).drop("_th")
+    found = near_duplicates(docs, id_col=id_col, text_col=text_col, **how)
+    rows = found.select("class_id", F.col(id_col).alias("_id"), F.col("text_hash").alias("_th"))
+    first = rows.filter("_id IS NOT NULL").groupBy("class_id").agg(F.min(F.struct("_id", "_th")).alias("_x")).select("_x.*")
+    keep = written(first.unionByName(rows.filter("_id IS NULL AND class_id IS NULL").select("_id", "_th").distinct()))
+    dropped(docs.sparkSession, found)
+    # The row as one column: its columns may have any names.
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.col(id_col).alias("_own"), F.xxhash64(F.col(text_col).cast("string")).alias("_hash"))
+    on: Column = whole["_own"].eqNullSafe(keep["_id"]) & (whole["_hash"] == keep["_th"])
+    return whole.join(keep, on, "left_semi").dropDuplicates(["_own", "_hash"]).select("_doc.*")

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fernweave.llm import similarity
+from fernweave.llm import common, similarity
 from fernweave.llm.words import Hashes, mixed, words_of
 
 
@@ -56,8 +56,12 @@ def corpus(seed=4):
     return out + [(2001, ""), (2002, None), (2003, "!!"), (2004, "Two words"), (2005, "two  WORDS"), (None, "two words"), (2001, "")]
 
 
-@pytest.mark.parametrize("leaf, tile, sifted", [(100, 256, 1000), (2, 7, 0)])
-def test_links_and_classes_by_brute_force(spark, monkeypatch, leaf, tile, sifted):
+@pytest.mark.parametrize("leaf, tile, sifted, chunks, size", [(100, 256, 1000, 32, 1 << 20), (2, 7, 0, 32, 1 << 20), (100, 3, 1000, 2, 900)])
+def test_links_and_classes_by_brute_force(spark, monkeypatch, leaf, tile, sifted, chunks, size):
+    """Also with small buckets, small tiles, components cut to bands and chunks by rows and by bytes, salted joins."""
+    monkeypatch.setattr(similarity, "CHUNKS", chunks)
+    monkeypatch.setattr(similarity, "TILE_BYTES", size)
+    monkeypatch.setattr(common, "BROADCAST_BYTES", sifted)
     monkeypatch.setattr(similarity, "BROADCAST_ROWS", sifted)
     monkeypatch.setattr(similarity, "LEAF", leaf)
     monkeypatch.setattr(similarity, "TILE", tile)
@@ -76,6 +80,9 @@ def test_one_of_each_group_stays(spark):
     assert kept.columns == d.columns
     want = sorted({c for i, c, _ in brute(rows) if c is not None})
     assert sorted(r.doc_id for r in kept.collect()) == want
+    clash = d.withColumns({"_th": F.lit("x"), "_doc": F.lit(1), "_id": F.lit(2), "class_id": F.lit(3), "a.b": F.lit(4)})
+    again = similarity.one_of_each(clash, recall=0.9999)
+    assert again.columns == clash.columns and sorted(r.doc_id for r in again.collect()) == want and again.filter("_th = 'x'").count() == len(want)
     nameless = d.filter("doc_id IS NULL").unionByName(d.filter("doc_id IS NULL"))
     assert similarity.one_of_each(nameless).count() == 1
     assert similarity.one_of_each(d.filter(F.lit(False))).count() == 0
@@ -109,3 +116,28 @@ def test_components_of_a_long_chain(spark):
     e = spark.createDataFrame([(i + 1, i) for i in range(n)] + [(1001, 1000)], "_a long, _b long")
     got = {r._a: r._b for r in similarity.components(e).collect()}
     assert got == {i: 0 for i in range(1, n + 1)} | {1001: 1000}
+
+
+def test_components_that_are_not_done_raise(spark):
+    e = spark.createDataFrame([(i + 1, i) for i in range(300)], "_a long, _b long")
+    with pytest.raises(RuntimeError, match="complete"):
+        similarity.components(e, most=1)
+    assert similarity.components(e.filter("_a < 0")).count() == 0
+
+
+def test_recall_at_the_registered_rate(spark):
+    """1500 pairs with a similarity of just 0.8 and a little above, by the parameters of the registered query."""
+    draw = random.Random(11)
+    rows, n = [], 0
+    for k in range(1500):
+        base = [f"w{draw.randrange(10**6)}" for _ in range(140)]
+        other = list(base)
+        for at in draw.sample(range(10, 130, 11), 3):  # each takes five of 136 shingles
+            other[at] = f"w{draw.randrange(10**6)}"
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(other))]
+    sets = sets_of([t for _, t in rows])
+    alike = [k for k in range(1500) if len(sets[2 * k] & sets[2 * k + 1]) >= 0.8 * len(sets[2 * k] | sets[2 * k + 1])]
+    got = {r.doc_id: r.class_id for r in similarity.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    found = sum(got[2 * k + 1] == 2 * k for k in alike)
+    assert len(alike) > 1400 and found >= 0.985 * len(alike)
+    assert all(got[i] == i or i % 2 for i in got)
