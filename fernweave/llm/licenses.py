@@ -3,6 +3,8 @@ sentences, and the sequence of names is matched against ordered licence rules. O
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,24 +34,82 @@ SENTENCES: dict[str, str] = {
     "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version": "Gpl2Later",
     "this source code form is subject to the terms of the mozilla public license v 2 0": "Mpl2",
     "all rights reserved": "AllRights",
+    "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement": "MitAsIs",
+    "in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software": "MitLiability",
+    "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied": "ApacheAsIs",
+    "see the license for the specific language governing permissions and limitations under the license": "ApacheSee",
+    "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed": "BsdAsIs",
+    "in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage": "BsdLiability",
+    "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose": "GnuUseful",
+    "this library is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose": "GnuUseful",
+    "see the gnu general public license for more details": "GnuSee",
+    "see the gnu lesser general public license for more details": "GnuSee",
+    "see the gnu affero general public license for more details": "GnuSee",
+    "you should have received a copy of the gnu general public license along with this program": "GnuCopy",
+    "you should have received a copy of the gnu lesser general public license along with this library": "GnuCopy",
+    "you should have received a copy of the gnu affero general public license along with this program": "GnuCopy",
+    "if not see https www gnu org licenses": "GnuUrl",
+    "if not see http www gnu org licenses": "GnuUrl",
+    "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version": "Lgpl21Later",
+    "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version": "Lgpl3Later",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version": "Agpl3Later",
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "IscGrant",
+    "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "IscGrant",
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted": "ZeroBsdGrant",
+    "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness": "IscAsIs",
+    "in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software": "IscLiability",
+    "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at https www eclipse org legal epl 2 0": "Epl2",
+    "this program and the accompanying materials are made available under the terms of the eclipse public license v2 0": "Epl2",
+    "this is free and unencumbered software released into the public domain": "UnlicenseFree",
+    "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means": "UnlicenseAnyone",
+    "this software is provided as is without any express or implied warranty": "ZlibAsIs",
+    "in no event will the authors be held liable for any damages arising from the use of this software": "ZlibLiability",
+    "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions": "ZlibGrant",
+    "the origin of this software must not be misrepresented you must not claim that you wrote the original software": "ZlibOrigin",
+    "altered source versions must be plainly marked as such and must not be misrepresented as being the original software": "ZlibAltered",
+    "this notice may not be removed or altered from any source distribution": "ZlibNotice",
+    "if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0": "MplCopy",
+    "if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0": "MplCopy",
+    "licensed under cc0 1 0": "Cc0",
+    "licensed under the isc license": "IscReleased",
+    "licensed under the bsd 2 clause license": "Bsd2Released",
+    "licensed under the bsd 3 clause license": "Bsd3Released",
 }
 
+# Identifiers that a line "SPDX-License-Identifier: ..." may name.
+IDENTIFIERS = ["0BSD", "AGPL-3.0-only", "AGPL-3.0-or-later", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "CC-BY-4.0", "CC-BY-NC-4.0", "CC-BY-SA-4.0", "CC0-1.0", "EPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "ISC", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "MIT", "MPL-2.0", "Unlicense", "Zlib"]
+SENTENCES |= {"spdx license identifier " + re.sub("[^a-z0-9]+", " ", i.lower()): "Spdx " + i for i in IDENTIFIERS}
+
 # In this order, a run of sentence names (a regular expression over "<Name><Name>") and the licence
 # that it means. Where a rule fits, its names are taken and later rules don't see them.
+_GNU = "(?:<GnuUseful>)?(?:<GnuSee>)?(?:<GnuCopy>)?(?:<GnuUrl>)?"
 RULES: list[tuple[str, str]] = [
-    ("<MitGrant><MitNotice>", "MIT"),
-    ("<BsdGrant><BsdSource><BsdBinary><BsdEndorse>", "BSD-3-Clause"),
-    ("<BsdGrant><BsdSource><BsdBinary>", "BSD-2-Clause"),
-    ("<Apache2>(?:<ApacheCompliance>)?(?:<ApacheCopy>)?", "Apache-2.0"),
-    ("<Gpl3Later>", "GPL-3.0-or-later"),
-    ("<Gpl2Later>", "GPL-2.0-or-later"),
+    ("<MitGrant><MitNotice>(?:<MitAsIs>)?(?:<MitLiability>)?", "MIT"),
+    ("<BsdGrant><BsdSource><BsdBinary><BsdEndorse>(?:<BsdAsIs>)?(?:<BsdLiability>)?", "BSD-3-Clause"),
+    ("<BsdGrant><BsdSource><BsdBinary>(?:<BsdAsIs>)?(?:<BsdLiability>)?", "BSD-2-Clause"),
+    ("<Apache2>(?:<ApacheCompliance>)?(?:<ApacheCopy>)?(?:<ApacheAsIs>)?(?:<ApacheSee>)?", "Apache-2.0"),
+    ("<Gpl3Later>" + _GNU, "GPL-3.0-or-later"),
+    ("<Gpl2Later>" + _GNU, "GPL-2.0-or-later"),
+    ("<Lgpl21Later>" + _GNU, "LGPL-2.1-or-later"),
+    ("<Lgpl3Later>" + _GNU, "LGPL-3.0-or-later"),
+    ("<Agpl3Later>" + _GNU, "AGPL-3.0-or-later"),
+    ("<IscGrant>(?:<IscAsIs>)?(?:<IscLiability>)?", "ISC"),
+    ("<ZeroBsdGrant>(?:<IscAsIs>)?(?:<IscLiability>)?", "0BSD"),
+    ("<Epl2>", "EPL-2.0"),
+    ("<UnlicenseFree>(?:<UnlicenseAnyone>)?", "Unlicense"),
+    ("(?:<ZlibAsIs>)?(?:<ZlibLiability>)?<ZlibGrant>(?:<ZlibOrigin>)?(?:<ZlibAltered>)?(?:<ZlibNotice>)?", "Zlib"),
     ("<GplWork3>", "GPL-3.0"),
     ("<GplWork2>", "GPL-2.0"),
     ("<CcByNc4>", "CC-BY-NC-4.0"),
     ("<CcBySa4>", "CC-BY-SA-4.0"),
     ("<CcBy4>", "CC-BY-4.0"),
-    ("<Mpl2>", "MPL-2.0"),
+    ("<Mpl2>(?:<MplCopy>)?", "MPL-2.0"),
     ("<MitReleased>", "MIT"),
+    ("<Cc0>", "CC0-1.0"),
+    ("<IscReleased>", "ISC"),
+    ("<Bsd2Released>", "BSD-2-Clause"),
+    ("<Bsd3Released>", "BSD-3-Clause"),
+    *[(f"<Spdx {re.escape(i)}>", i) for i in IDENTIFIERS],
     ("<MitGrant>", "MIT-incomplete"),
     ("<BsdGrant>", "BSD-incomplete"),
     ("<AllRights>", "Proprietary"),
@@ -118,27 +178,22 @@ def license_scan(docs: DataFrame, sentences: dict[str, str] | None = None, rules
 
 
 def oracle_sql() -> str:
-    """The same over the table documents, in DuckDB's SQL, for known sentences that stand on one line."""
-    q = lambda s: "'" + s.replace("'", "''") + "'"
-    cells = ", ".join(f"({q(s)}, {q(n)})" for s, n in SENTENCES.items())
-    steps, fits, rest = [], [], "ids"
-    for k, (pattern, name) in enumerate(RULES):
-        fits.append(f"CASE WHEN regexp_matches({rest}, {q(pattern)}) THEN {q(name)} END")
-        rest = f"r{k}"
-        steps.append(f"regexp_replace({'ids' if not k else f'r{k - 1}'}, {q(pattern)}, '', 'g') AS r{k}")
-    chain = "named"
-    sql = f"""WITH parts AS (SELECT doc_id, row_number() OVER () AS rid, regexp_split_to_array(coalesce(text, ''), '{SPLIT}') AS p FROM documents),
+    """The registered query in DuckDB's SQL, written out by hand for the known sentences that the given tables hold (on
+    a line of their own, each a licence by itself): it shares no table with the code above."""
+    return """WITH parts AS (SELECT doc_id, row_number() OVER () AS rid, regexp_split_to_array(coalesce(text, ''), '\\n|[.!?]+(?:[ \\t\\r]+|$)') AS p FROM documents),
     each_one AS (SELECT rid, unnest(p) AS s, generate_subscripts(p, 1) AS pos FROM parts),
-    normal AS (SELECT rid, pos, trim(regexp_replace(translate(s, '{UPPER}', '{LOWER}'), '[^a-z0-9]+', ' ', 'g')) AS s FROM each_one),
-    known(s, name) AS (VALUES {cells}),
-    named AS (SELECT rid, count(*) FILTER (n.s <> '') AS n_sentences, count(name) AS n_known, coalesce(string_agg('<' || name || '>', '' ORDER BY pos) FILTER (name IS NOT NULL), '') AS ids FROM normal n LEFT JOIN known k ON n.s = k.s GROUP BY rid)"""
-    for k, step in enumerate(steps):
-        sql += f",\n    s{k} AS (SELECT *, {step} FROM {chain})"
-        chain = f"s{k}"
-    listed = ", ".join(dict.fromkeys(q(n) for _, n in RULES))
-    got = ", ".join(fits)
-    return sql + f"""
-    SELECT doc_id, n_sentences, n_known, ids AS sentence_ids,
-      array_to_string(list_filter([{listed}], lambda x: list_contains([{got}], x)), ',') AS licenses,
-      {rest} AS unmatched
-    FROM {chain} JOIN parts USING (rid)"""
+    normal AS (SELECT rid, pos, trim(regexp_replace(translate(s, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', ' ', 'g')) AS s FROM each_one),
+    known(s, name, licence, place) AS (VALUES
+      ('licensed under the apache license version 2 0', 'Apache2', 'Apache-2.0', 1),
+      ('this work is licensed under the gnu general public license version 3', 'GplWork3', 'GPL-3.0', 2),
+      ('this work is licensed under the gnu general public license version 2', 'GplWork2', 'GPL-2.0', 3),
+      ('licensed under cc by nc 4 0', 'CcByNc4', 'CC-BY-NC-4.0', 4),
+      ('licensed under cc by sa 4 0', 'CcBySa4', 'CC-BY-SA-4.0', 5),
+      ('licensed under cc by 4 0', 'CcBy4', 'CC-BY-4.0', 6),
+      ('released under the mit license', 'MitReleased', 'MIT', 7),
+      ('licensed under the mit license', 'MitReleased', 'MIT', 7),
+      ('all rights reserved', 'AllRights', 'Proprietary', 8)),
+    found AS (SELECT rid, count(*) FILTER (n.s <> '') AS n_sentences, count(name) AS n_known, coalesce(string_agg('<' || name || '>', '' ORDER BY pos) FILTER (name IS NOT NULL), '') AS sentence_ids FROM normal n LEFT JOIN known k ON n.s = k.s GROUP BY rid),
+    named AS (SELECT rid, string_agg(licence, ',' ORDER BY place) AS licenses FROM (SELECT DISTINCT rid, licence, place FROM normal n JOIN known k ON n.s = k.s) GROUP BY rid)
+    SELECT doc_id, n_sentences, n_known, sentence_ids, coalesce(licenses, '') AS licenses, '' AS unmatched
+    FROM found JOIN parts USING (rid) LEFT JOIN named USING (rid)"""

@@ -113,7 +113,13 @@ furnished to do so, subject to the following conditions:
 The above copyright notice and this permission notice shall be included in all
 copies or substantial portions of the Software.
 
-THE SOFTWARE IS PROVIDED "AS IS".""",
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.""",
     "BSD-3-Clause": """Redistribution and use in source and binary forms, with or without
 modification, are permitted provided that the following conditions are met:
 1. Redistributions of source code must retain the above copyright notice, this
@@ -151,12 +157,64 @@ file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
 }
 
 
+WRAPPED_TEXTS |= {
+    "LGPL-2.1-or-later": """# This library is free software; you can redistribute it and/or
+# modify it under the terms of the GNU Lesser General Public
+# License as published by the Free Software Foundation; either
+# version 2.1 of the License, or (at your option) any later version.
+#
+# This library is distributed in the hope that it will be useful,
+# but WITHOUT ANY WARRANTY; without even the implied warranty of
+# MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU
+# Lesser General Public License for more details.""",
+    "AGPL-3.0-or-later": """    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU Affero General Public License as published
+    by the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version.
+
+    You should have received a copy of the GNU Affero General Public License
+    along with this program.  If not, see <https://www.gnu.org/licenses/>.""",
+    "ISC": """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH
+REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY
+AND FITNESS.""",
+    "Unlicense": """// This is free and unencumbered software released into the public domain.
+//
+// Anyone is free to copy, modify, publish, use, compile, sell, or
+// distribute this software, either in source code form or as a compiled
+// binary, for any purpose, commercial or non-commercial, and by any
+// means.""",
+    "Zlib": """This software is provided 'as-is', without any express or implied
+warranty.  In no event will the authors be held liable for any damages
+arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose,
+including commercial applications, and to alter it and redistribute it
+freely, subject to the following restrictions:
+
+1. The origin of this software must not be misrepresented; you must not
+   claim that you wrote the original software. If you use this software
+   in a product, an acknowledgment would be appreciated but is not required.""",
+    "GPL-2.0-only": "// SPDX-License-Identifier: GPL-2.0-only",
+    "EPL-2.0": "/* This program and the accompanying materials are made available under the\n * terms of the Eclipse Public License 2.0 which is available at\n * https://www.eclipse.org/legal/epl-2.0/\n */",
+}
+
+
 def test_licences_as_published(spark):
     rows = [(name, t) for name, t in WRAPPED_TEXTS.items()] + [(name, t.replace("\n", "\r\n")) for name, t in WRAPPED_TEXTS.items()]
     rows += [("MPL-2.0", WRAPPED_TEXTS["MPL-2.0"].replace("\n", " ")), ("MIT-incomplete,Proprietary", "All rights reserved\n" + WRAPPED_TEXTS["MIT"].split("\n\n")[1]), ("", "released under\n\nthe mit license"), ("", "\x01\x02MIT\x01\n;<Mpl2>")]
     got = licenses.license_scan(spark.createDataFrame(rows, "doc_id string, text string")).collect()
     assert [(r.doc_id, r.unmatched) for r in got] == [(r.licenses, "") for r in got]
-    assert [r.n_known for r in got if r.doc_id == "Apache-2.0"] == [3, 3]
+    assert [r.n_known for r in got if r.doc_id == "Apache-2.0"] == [3, 3] and [r.n_known for r in got if r.doc_id == "MIT"] == [4, 4]
+
+
+def test_licence_rows_that_repeat_or_have_no_id(spark):
+    rows = [(1, "All rights reserved"), (1, "All rights reserved"), (None, "Released under the MIT License."), (None, None), (2, "x " * 300_000 + "\nLicensed under CC0 1.0")]
+    got = sorted(((r.doc_id or 0, r.licenses) for r in licenses.license_scan(spark.createDataFrame(rows, "doc_id long, text string").withColumn("_names", F.lit(1))).collect()))
+    assert got == [(0, ""), (0, "MIT"), (1, "Proprietary"), (1, "Proprietary"), (2, "CC0-1.0")]
 
 
 def pieces(t):
