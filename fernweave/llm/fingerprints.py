@@ -15,7 +15,7 @@ All of it is array arithmetic within a row: the work grows with the text's lengt
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: A paragraph ends at a line feed, or behind . ! ? with white space after them (texts here rarely have more
@@ -25,7 +25,7 @@ PARAGRAPH = r"\n|(?<=[.!?])\s+"
 PART, BLOCK_PARTS, IN_BLOCK = 4, (8, 16, 32), 6
 ROUNDS = 10
 #: Rows in a bucket of neighbours, and buckets at most.
-BUCKET_ROWS, MAX_BUCKETS = 512, 65_536
+BUCKET_ROWS, MAX_BUCKETS = 512, 1 << 18
 
 _CELL0 = "named_struct('n', 0, 'k', 0L, 'c', 0L)"
 
@@ -102,51 +102,45 @@ def shown(sketch: str) -> str:
     return f"array_join(transform({sketch}, c -> concat(lpad(lower(hex(c.n)), 4, '0'), lpad(lower(hex(c.k)), 16, '0'), lpad(lower(hex(c.c)), 8, '0'))), '')"
 
 
-def _array(spark: SparkSession, values: list, kind: str) -> Column:
-    return F.array(*[F.lit(v) for v in values]).cast(f"array<{kind}>")
-
-
 def with_next(docs: DataFrame, id_col: str, extra: dict[str, Column]) -> DataFrame:
     """Rows (``_id``, ``_text``, those of ``extra``, and ``next_...`` of each but the id): the next row in
     descending order of the id, after the last the first. Rows without an id come last, rows of one id in the
-    order of their texts' digests.
+    order of their texts' digests; ids may be of any type that has an order.
 
-    One shuffle of the texts: buckets of neighbouring ids from the ids' quantiles, and beside a bucket's own
-    rows a copy of the row that follows its last one. What goes to the driver are the buckets' bounds.
+    One shuffle of the texts, to buckets of neighbours: a bucket begins at each row whose hash lies below a bound,
+    which is one row in BUCKET_ROWS. Rows of one id, or of none, are spread by their texts' digests; only rows
+    that repeat id and text meet in one bucket, where sorting spills. Beside a bucket's own rows goes a copy of the
+    row that follows its last one. The buckets' beginnings and first rows stay frames, and are broadcast: at most
+    some MAX_BUCKETS rows of an id and a number. To the driver goes the number of rows.
     """
-    spark = docs.sparkSession
-    d = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    # Descending order of the key is the order of rows: no id is less than any.
+    key = F.struct(F.col("_id"), F.bitwise_not(F.xxhash64("_text")).alias("t"))
+    d = docs.select(F.col(id_col).alias("_id"), text.alias("_text")).withColumn("_key", key)
     n = d.agg(F.count(F.lit(1))).first()[0]
-    buckets = min(MAX_BUCKETS, max(1, -(-n // BUCKET_ROWS)))
-    cuts: list[int] = []
+    buckets = min(MAX_BUCKETS, n // BUCKET_ROWS)
     if buckets > 1:
-        at = F.percentile_approx("_id", [i / buckets for i in range(1, buckets)], max(10_000, 10 * buckets))
-        cuts = sorted(set(d.agg(at.alias("q")).first()[0] or []))
-    if cuts:
-        steps = [1 << k for k in reversed(range(len(cuts).bit_length()))]
-        known = F.array(*[F.lit(c) for c in cuts]).cast("array<bigint>")
-        step = lambda acc, s: acc + F.when((acc + s <= len(cuts)) & (F.get(known, acc + s - 1) <= F.col("_id")), s).otherwise(0)
-        bucket = F.when(F.col("_id").isNull(), 0).otherwise(F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), step))
+        below = F.shiftrightunsigned(F.xxhash64("_key", F.lit(5)), 1) <= F.lit(int(((1 << 63) - 1) * buckets // n))
+        known = d.filter(below).agg(F.array_sort(F.collect_set("_key")).alias("_known"))  # one row
+        steps = F.array(*[F.lit(1 << k) for k in reversed(range((2 * MAX_BUCKETS).bit_length()))])
+        step = lambda acc, s: acc + F.when((acc + s <= F.size("_known")) & (F.get("_known", acc + s - 1) <= F.col("_key")), s).otherwise(0)
+        d = d.crossJoin(F.broadcast(known)).withColumn("_bucket", F.aggregate(steps, F.lit(0), step)).drop("_known")
     else:
-        bucket = F.lit(0)
-    d = d.withColumn("_bucket", bucket)
-    bounds = sorted((r._bucket, r.last) for r in d.groupBy("_bucket").agg(F.max("_id").alias("last")).collect())
-    # Where a row is needed besides its own bucket: the largest id of each bucket in the next one above, the
-    # largest of all behind the end of the lowest.
-    more = [(low[1], high[0], 0) for low, high in zip(bounds, bounds[1:])] + ([(bounds[-1][1], bounds[0][0], 1)] if bounds else [])
-    kind = docs.schema[id_col].dataType.simpleString()
+        d = d.withColumn("_bucket", F.lit(0))
+    # The first row of each bucket that has any is needed in the next one above too, the first of all at the end of the lowest.
+    firsts = d.groupBy("_bucket").agg(F.max("_key").alias("_first"))
+    above = F.lead("_bucket").over(Window.orderBy("_bucket"))
+    lowest = F.first("_bucket").over(Window.orderBy("_bucket"))
+    copies = firsts.select(F.col("_first._id").alias("_i"), F.col("_first.t").alias("_t"), F.struct(F.coalesce(above, lowest).alias("bucket"), F.when(above.isNull(), 1).otherwise(0).alias("wrap"), F.lit(True).alias("copy")).alias("_to"))
+    copies = copies.groupBy("_i", "_t").agg(F.collect_list("_to").alias("_to"))  # a row begins one bucket: a single entry
+    d = d.join(F.broadcast(copies), F.col("_key._id").eqNullSafe(F.col("_i")) & (F.col("_key.t") == F.col("_t")), "left")
     own = F.array(F.struct(F.col("_bucket").alias("bucket"), F.lit(0).alias("wrap"), F.lit(False).alias("copy")))
-    if more:
-        zipped = F.arrays_zip(_array(spark, [m[0] for m in more], kind).alias("i"), _array(spark, [m[1] for m in more], "int").alias("bucket"), _array(spark, [m[2] for m in more], "int").alias("wrap"))
-        copies = spark.range(1).select(F.explode(zipped).alias("m")).select(F.col("m.i").alias("_i"), F.struct(F.col("m.bucket").alias("bucket"), F.col("m.wrap").alias("wrap"), F.lit(True).alias("copy")).alias("to"))
-        copies = copies.groupBy("_i").agg(F.collect_list("to").alias("_to"))  # two for an id at most; as many rows as buckets
-        d = d.join(F.broadcast(copies), F.col("_id").eqNullSafe(F.col("_i")), "left")
-        own = F.concat(own, F.coalesce("_to", F.array().cast("array<struct<bucket:int,wrap:int,copy:boolean>>")))
-    d = d.select("_id", "_text", F.explode(own).alias("_at")).select("_id", "_text", F.col("_at.bucket").alias("_bucket"), F.col("_at.wrap").alias("_wrap"), F.col("_at.copy").alias("_copy"))
-    d = d.repartition("_bucket").withColumns({"_tie": F.xxhash64("_text")} | extra)
-    follows = "PARTITION BY _bucket ORDER BY _wrap, _id DESC NULLS LAST, _tie"
-    d = d.select("*", *[F.expr(f"lead(`{c}`) OVER ({follows})").alias(f"next_{c.lstrip('_')}") for c in ["_text", *extra]])
-    return d.filter("NOT _copy").drop("_bucket", "_wrap", "_copy", "_tie")
+    own = F.concat(own, F.coalesce("_to", F.array().cast("array<struct<bucket:int,wrap:int,copy:boolean>>")))
+    d = d.select("_id", "_text", "_key", F.explode(own).alias("_at")).select("_id", "_text", "_key", F.col("_at.bucket").alias("_bucket"), F.col("_at.wrap").alias("_wrap"), F.col("_at.copy").alias("_copy"))
+    d = d.repartition("_bucket").withColumns(extra)
+    follows = Window.partitionBy("_bucket").orderBy("_wrap", F.desc("_key"), "_copy")
+    d = d.select("*", *[F.lead(c).over(follows).alias(f"next_{c.lstrip('_')}") for c in ["_text", *extra]])
+    return d.filter("NOT _copy").drop("_bucket", "_wrap", "_copy", "_key")
 
 
 def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:

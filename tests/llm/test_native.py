@@ -247,6 +247,23 @@ def test_fingerprints_by_brute_force(spark, monkeypatch, bucket_rows):
     assert same[0] == same[1]
 
 
+@pytest.mark.parametrize("bucket_rows", [1, 2, 4, 512])
+def test_next_rows_by_sorting(spark, monkeypatch, bucket_rows):
+    """Ids of texts and of numbers, repeated, missing, and one that a third of the rows have, in many small buckets."""
+    monkeypatch.setattr(fingerprints, "BUCKET_ROWS", bucket_rows)
+    ids = [f"k{i:02d}" for i in range(25)] + ["hot"] * 20 + [None] * 10 + ["k03"] * 3
+    for kind, make in (("string", lambda x: x), ("bigint", lambda x: None if x is None else -5 if x == "hot" else int(x[1:]))):
+        rows = [(make(x), f"text {k}. two" if k % 4 else "same") for k, x in enumerate(ids)]
+        d = spark.createDataFrame(rows, f"doc_id {kind}, text string")
+        hashes = {r.text: r.h for r in d.select("text", F.xxhash64("text").alias("h")).distinct().collect()}
+        order = sorted([r for r in rows if r[0] is not None], key=lambda r: hashes[r[1]])
+        order = sorted(order, key=lambda r: r[0], reverse=True) + sorted([r for r in rows if r[0] is None], key=lambda r: hashes[r[1]])
+        want = sorted([(*r, order[(k + 1) % len(order)][1]) for k, r in enumerate(order)], key=str)
+        got = sorted([(r._id, r._text, r.next_text) for r in fingerprints.with_next(d, "doc_id", {}).collect()], key=str)
+        assert got == want
+    assert fingerprints.fingerprint_edits(d.select(F.col("doc_id").cast("string"), "text")).count() == len(ids)
+
+
 def test_fingerprints_of_odd_tables(spark):
     d = spark.createDataFrame([(5, "a\nb")], "doc_id long, text string")
     assert fingerprints.fingerprint_edits(d).first().near_next == 1.0
