@@ -123,6 +123,12 @@ def looked_up(rows: DataFrame, found: DataFrame, keys: list[str], size: int, how
     return rows.withColumn("_salt", F.floor(F.rand(7) * SALTS).cast("int")).join(everywhere, [*keys, "_salt"], how).drop("_salt")
 
 
+def over_batches(docs: DataFrame, run) -> DataFrame:
+    """mapInArrow() that keeps the schema; columns are told by their places, so that they may have any names."""
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, in_one_task, sampled, within_chars
+from .common import fold, in_one_task, over_batches, sampled, within_chars
 
 #: A word is a run of letters with their combining marks. Python's own letters leave marks out, so texts with any
 #: sign from U+0300 on go the other way; for all others both give the same.
@@ -306,4 +306,4 @@ def known_language(docs: DataFrame, model: bytes, least: float = 0.4, text_col:
         for batch in batches:
             yield batch.filter(pa.array(of.knows(batch.column(at).to_pylist(), least), pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return over_batches(docs, run)

@@ -21,7 +21,7 @@ from random import Random
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_one_task, sampled, whole_text, within_chars
+from .common import in_one_task, over_batches, sampled, whole_text, within_chars
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[int, int, int]  # kind's place in KINDS, start, end
@@ -448,7 +448,7 @@ def redacted(docs: DataFrame, model: bytes, least: float = 0.95, text_col: str =
             columns[at] = pa.array(out, pa.string())
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
-    made = docs.mapInArrow(run, docs.schema)
+    made = over_batches(docs, run)
     return made.withColumn(chars_col, F.length(text_col).cast(docs.schema[chars_col].dataType)) if chars_col in docs.columns else made
 
 

@@ -43,3 +43,35 @@ def test_odd_tables(spark):
     for d in (odd, docs.limit(0)):
         for _, stage in corpus_pipeline.STAGES:
             stage(spark, d, SF).count()
+
+
+def test_further_columns_with_clashing_names(spark):
+    """Stages keep columns that are named as the operators' own, and their order."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(40)
+    more = docs.selectExpr("1 AS _row", "2 AS _th", "*", "3 AS _id", "4 AS _h1", "5 AS class_id", "6 AS _doc", "7 AS ids", "8 AS _text", "9 AS `a.b`")
+    for name, stage in corpus_pipeline.STAGES:
+        want, got = stage(spark, docs, SF), stage(spark, more, SF)
+        assert sorted(r.doc_id for r in got.select("doc_id").collect()) == sorted(r.doc_id for r in want.select("doc_id").collect())
+        if name != "token_ids":
+            assert got.columns == more.columns and got.selectExpr("sum(_row + _th + _id + _h1 + class_id + _doc + ids + _text + `a.b`)").first()[0] == 45 * got.count()
+
+
+def test_texts_in_many_known_languages_stay_and_unknown_ones_go(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    parts = {r.lang: r.text for r in docs.groupBy("lang").agg({"text": "max"}).withColumnRenamed("max(text)", "text").collect()}
+    mixed = "\n".join(" ".join(t.split()[:60]) for t in parts.values())
+    odd = docs.limit(1).selectExpr("-1L AS doc_id", f"'{mixed.replace(chr(39), ' ')}' AS text", "'en' AS lang", "'s' AS source", "1L AS n_chars")
+    cyrillic = odd.selectExpr("-2L AS doc_id", "'Это русский текст, которого модель не знает' AS text", "lang", "source", "n_chars")
+    kept = {r.doc_id for r in corpus_pipeline.language_id(spark, docs.unionByName(odd).unionByName(cyrillic), SF).select("doc_id").collect()}
+    assert len(parts) >= 4 and -1 in kept and -2 not in kept and len(kept) == docs.count() + 1
+
+
+def test_run_leaves_one_table_behind(spark, tmp_path):
+    import os
+
+    folder = spark.conf.get("spark.checkpoint.dir")
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    out = corpus_pipeline.run(spark, SF)
+    assert {"doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"} == set(out.columns) and out.filter("size(ids) <> n_tokens").count() == 0
+    left = set(os.listdir(folder)) - before
+    assert len(left) <= 4, left
