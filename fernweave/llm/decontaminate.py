@@ -22,9 +22,9 @@ from .words import Hashes, shingles, words_of
 
 #: Words of a token (fewer in a shorter window); tokens' places that are passed on together.
 SHINGLE, PIECE = 5, 256
-#: Bits of the table for a token, and of the table at most (32 MB: what is sent to the executors). A fuller table lets
-#: more places through to the join, which drops them.
-BITS_EACH, MOST_BITS = 16, 1 << 28
+#: Bits of the table for a token (which sets two), and of the table at most (32 MB: what is sent to the executors). A
+#: fuller table lets more places through to the joins, which drop them.
+BITS_EACH, MOST_BITS = 32, 1 << 28
 
 
 def windows_of(words: list[bytes], size: int) -> list[tuple[bytes, ...]]:
@@ -66,11 +66,12 @@ def _windows(benchmark: DataFrame, size: int, item_col: str, text_col: str) -> D
 
 
 def _bit_table(windows: DataFrame, tokens: int) -> np.ndarray:
-    """A bit for each token, at its hash's last bits: 64-bit words, at most MOST_BITS bits whatever the benchmark."""
+    """Two bits for each token, at its hash's last bits and at others: 64-bit words, at most MOST_BITS bits whatever the
+    benchmark."""
     bits = 1 << 16
     while bits < min(MOST_BITS, BITS_EACH * tokens):
         bits *= 2
-    at = windows.select(F.explode("hashes").alias("h")).select(F.pmod("h", F.lit(bits)).alias("b"))
+    at = windows.select(F.explode("hashes").alias("h")).select(F.explode(F.array(F.pmod("h", F.lit(bits)), F.pmod(F.shiftright("h", 32), F.lit(bits)))).alias("b"))
     one = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("b", F.lit(64)).cast("int"))
     words = at.groupBy(F.shiftright("b", 6).alias("i")).agg(F.bit_or(one).alias("w")).toArrow()
     table = np.zeros(bits // 64, np.uint64)
@@ -100,6 +101,10 @@ def _scanned(docs: DataFrame, table: np.ndarray, least: dict[int, int], size: in
     def run(batches):
         bits, known = sent.value, Hashes()
         last = np.uint64(len(bits) * 64 - 1)
+
+        def marked(b: np.ndarray) -> np.ndarray:
+            return (bits[(b >> np.uint64(6)).astype(np.int64)] >> (b & np.uint64(63))) & np.uint64(1) == 1
+
         for batch in batches:
             n_words, seen, pieces = [], [], []
             for text in batch.column("_text"):
@@ -108,8 +113,8 @@ def _scanned(docs: DataFrame, table: np.ndarray, least: dict[int, int], size: in
                 own_seen, own = [], []
                 for k, needed in least.items():
                     s = shingles(h, k)
-                    b = s & last
-                    places = np.flatnonzero((bits[(b >> np.uint64(6)).astype(np.int64)] >> (b & np.uint64(63))) & np.uint64(1))
+                    places = np.flatnonzero(marked(s & last))
+                    places = places[marked((s[places] >> np.uint64(32)) & last)]
                     if not len(places):
                         continue
                     own_seen += np.unique(s[places]).view(np.int64).tolist()
@@ -139,8 +144,10 @@ def _occurrences(docs: DataFrame, benchmark: DataFrame, size: int, id_col: str,
     least = {r.k: r.n for r in windows.groupBy("k").agg(F.min(F.col("len") - F.col("k") + 1).alias("n")).collect()}  # SHINGLE rows at most
     tokens = windows.agg(F.sum(F.size("hashes"))).first()[0] or 0
     scanned = written(_scanned(docs, _bit_table(windows, tokens), least, size, id_col, text_col))
-    counts = scanned.select(F.explode("seen").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("df"))
     each = windows.select("win", "len", F.posexplode("hashes").alias("at", "h"))
+    # Of the tokens seen, those that are the benchmark's: the table alone can't tell.
+    own = looked_up(scanned.select(F.explode("seen").alias("h")), each.select("h").distinct(), ["h"], 12 * tokens, "inner")
+    counts = own.groupBy("h").agg(F.count(F.lit(1)).alias("df"))
     rated = looked_up(each, counts, ["h"], 12 * tokens, "left")
     # A window's rarest token; one that no text holds ends the window's part.
     rarest = rated.groupBy("win", "len").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "h", "at")).alias("x")).filter("x.df > 0")

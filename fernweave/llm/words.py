@@ -7,7 +7,7 @@ import numpy as np
 #: Lower-cases A-Z, keeps 0-9, a-z and all bytes of other characters; anything else ends a word.
 _FOLD = bytes(b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
 #: Bytes that a worker keeps of words and their hashes.
-MEMO_BYTES = 48 << 20
+MEMO_BYTES = 96 << 20
 
 
 def words_of(text: bytes) -> list[bytes]:
