@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import whole_text
 
 #: Bytes of each memo in a worker (of chunks, of pieces, of compatible pairs); it is emptied when full.
-MEMO_BYTES = 32 << 20
+MEMO_BYTES = 64 << 20
 
 
 def pattern() -> str:
