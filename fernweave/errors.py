@@ -35,3 +35,35 @@ class SourceNotFoundError(EngineError):
 
 class MemoryNotFoundError(EngineError):
     pass
+
+
+class EmbeddingError(IngestionError):
+    pass
+
+
+class IngestionInterruptedError(IngestionError):
+    pass
+
+
+class EnrichmentSkipped(IngestionError):
+    """A step that was left out, and why; noted, not raised to the caller of an ingest."""
+
+    def __init__(self, step: str, reason: str):
+        super().__init__(f"{step}: {reason}")
+        self.step, self.reason = step, reason
+
+
+class GenerationError(EngineError):
+    pass
+
+
+class RetrievalError(EngineError):
+    pass
+
+
+class StoreError(EngineError):
+    pass
+
+
+class MemoryExtractionError(EngineError):
+    pass

@@ -116,3 +116,24 @@ def dot(a: Column, b: Column) -> Column:
 def cosine(a: Column, b: Column) -> Column:
     """In double; null for a vector without length."""
     return dot(a, b) / F.nullif(F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)), F.lit(0.0))
+
+
+def folded(*parts: Column) -> Column:
+    """The parts that aren't empty, a blank line between them: context, what situates a passage, the passage."""
+    return F.concat_ws("\n\n", *[F.nullif(p, F.lit("")) for p in parts])
+
+
+def pages_text(pages: Column) -> Column:
+    """An array of (page_number, content) as one text, in page order, each under "[Page n]"."""
+    return F.array_join(F.transform(F.array_sort(pages), lambda p: F.concat(F.lit("[Page "), p["page_number"].cast("string"), F.lit("]\n"), p["content"])), "\n\n")
+
+
+def known_memories(texts: Column) -> Column:
+    """An array of texts as JSON; "(none)" for an empty one."""
+    return F.when(F.size(F.coalesce(texts, F.array().cast("array<string>"))) > 0, F.to_json(texts)).otherwise("(none)")
+
+
+def fenced_prompt(context: Column, question: Column) -> Column:
+    """Context and question, each between lines that name it, so that neither passes for the other."""
+    block = lambda name, c: F.concat(F.lit(f"<{name}>\n"), c, F.lit(f"\n</{name}>"))
+    return F.concat_ws("\n\n", block("context", F.coalesce(context, F.lit(""))), block("question", question))

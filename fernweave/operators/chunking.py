@@ -12,7 +12,8 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 SEPARATORS = ("\n\n", "\n", ". ", " ", "")
 Length = Callable[[str], int]
@@ -133,6 +134,13 @@ def chunk_id(source: object, *parts: object) -> str:
 _SCHEMA = "chunk_id string, source_id {kind}, page_number int, chunk_index long, chunk_type string, parent_id string, section string, content string, hard_split boolean"
 
 
+def numbered(rows: DataFrame, source: str = "source_id", page: str = "page_number") -> DataFrame:
+    """Chunks with ``chunk_index`` counted over all pages of their source, from 0. A source's chunks are sorted in one
+    task, which spills."""
+    w = Window.partitionBy(source).orderBy(page, "chunk_index")
+    return rows.withColumn("chunk_index", (F.row_number().over(w) - 1).cast("long"))
+
+
 def chunks(pages: DataFrame, size: int = 375, overlap: int = 40, parent_size: int = 0, length: Length = word_count, source: str = "source_id", page: str = "page_number", text: str = "content") -> DataFrame:
     """Chunks of each page row. ``parent_size`` 0: flat; -1: parents of three times ``size``; each parent comes
     before its children and is their parent_id. A flat chunk's section is that at its last character, a

@@ -47,3 +47,32 @@ def report(cases: DataFrame, threshold: float = 0.5) -> DataFrame:
 def score_gate(hits: DataFrame, threshold: float, key: str = "query_id") -> DataFrame:
     """Whether the best score reaches the threshold."""
     return hits.groupBy(key).agg(F.max("score").alias("best")).withColumn("passed", F.col("best") >= threshold)
+
+
+def token_f1_best(cases: DataFrame, case: str = "case_id", prediction: str = "prediction", references: str = "references") -> DataFrame:
+    """(case, f1): the best token F1 over several reference answers; 0 without any."""
+    each = cases.select(case, prediction, F.posexplode_outer(references).alias("_i", "reference"))
+    keyed = each.withColumn("_case", F.struct(case, "_i"))
+    scored = token_f1(keyed.fillna("", ["reference"]), "_case", prediction, "reference")
+    return scored.groupBy(F.col(f"_case.{case}").alias(case)).agg(F.max("f1").alias("f1"))
+
+
+def judged(cases: DataFrame, judge, prediction: str = "prediction", reference: str = "reference") -> DataFrame:
+    """Adds ``judgment`` (from 0 to 1) by a plug-in that gets prediction and reference; what fails is null, with ``error``."""
+    import json
+
+    from ..plugins import mapped
+
+    asked = cases.withColumn("_asked", F.to_json(F.struct(F.col(prediction).alias("p"), F.col(reference).alias("r"))))
+    out = mapped(asked, lambda x: str(float(judge(json.loads(x).get("p"), json.loads(x).get("r")))), "_asked")
+    value = F.col("value").cast("double")
+    return out.withColumn("judgment", F.when(value.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), value)))).drop("value", "_asked")
+
+
+def relevance_gate(contexts: DataFrame, relevant, best: str = "best", threshold: float = 0.5, text: str = "context") -> DataFrame:
+    """Adds ``passed``: what a plug-in says of each query's context; where it fails, whether the best score reaches the
+    threshold."""
+    from ..plugins import mapped
+
+    out = mapped(contexts, lambda x: str(bool(relevant(x))).lower(), text)
+    return out.withColumn("passed", F.coalesce(F.col("value").cast("boolean"), F.col(best) >= threshold, F.lit(False))).drop("value")

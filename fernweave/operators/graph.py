@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import entity_id
+from ..functions.text import entity_id, first_keyword_relation
+from .search import bm25_scores, top_k
 
 # Relation types that may be stored, and those that trails follow.
 RELATION_TYPES = ["CONNECTS_TO", "POWERED_BY", "CONTROLLED_BY", "FEEDS", "FLOWS_TO", "MENTIONS", "REFERENCES"]
@@ -89,3 +90,56 @@ def neighbours(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """Both directions: each page with the sorted set of its neighbours."""
     both = pairs.select(F.col(a).alias("page"), F.col(b).alias("other")).unionByName(pairs.select(F.col(b).alias("page"), F.col(a).alias("other")))
     return both.groupBy("page").agg(F.array_sort(F.collect_set("other")).alias("others"))
+
+
+CONNECTED_SHOWN, PATHS_SHOWN = 5, 50
+
+
+def seeds(entities: DataFrame, queries: DataFrame, k: int, types: list[str] | None = None, knowledge_id=None) -> DataFrame:
+    """(query_id, entity_id, score, rank): the entities whose name and value answer the queries best by BM25, of the given
+    types and knowledge base, if any."""
+    e = entities.filter(F.col("entity_type").isin(types)) if types is not None else entities
+    e = e.filter(F.col("knowledge_id") == knowledge_id) if knowledge_id is not None else e
+    named = e.select("entity_id", F.concat_ws(" ", "name", "value").alias("text"))
+    return top_k(bm25_scores(named, queries, "entity_id", "text"), k, "entity_id")
+
+
+def entity_results(entities: DataFrame, relations: DataFrame, found: DataFrame, hops: int = 2, types: list[str] | None = None) -> DataFrame:
+    """Seeds (query_id, entity_id, score, rank) as chunks: (query_id, chunk_id, score, rank, content, connected_count).
+
+    The content: the entity, its value, the PATHS_SHOWN shortest trails from it that end in its own knowledge base (or in
+    none), and the CONNECTED_SHOWN nearest entities on them. ``types``: only trails whose every relation is among these.
+    """
+    name = entities.select("entity_id", "name", "entity_type", "value", "knowledge_id")
+    edges = relations.filter(F.col("relation_type").isin(TRAVERSED)).select(F.xxhash64("from_id", "relation_type", "to_id", "source_id").alias("edge_id"), F.col("from_id").alias("src"), F.col("to_id").alias("dst"), F.col("relation_type").alias("rel"))
+    start = found.select(F.col("entity_id").alias("seed")).distinct()
+    paths = trails(edges, start, hops)
+    paths = only_relations(paths, types) if types is not None else paths
+    ends = paths.join(name.select(F.col("entity_id").alias("node"), F.col("name").alias("end_name"), F.col("entity_type").alias("end_type"), F.col("knowledge_id").alias("end_kb")), "node")
+    ends = ends.join(name.select(F.col("entity_id").alias("seed"), F.col("knowledge_id").alias("kb")), "seed").filter("end_kb IS NULL OR end_kb <=> kb")
+    w = Window.partitionBy("seed").orderBy("hops", F.array_join(F.transform("edge_ids", lambda x: x.cast("string")), ","))
+    few = ends.withColumn("pos", F.row_number().over(w)).filter(F.col("pos") <= PATHS_SHOWN)
+    steps = few.select("seed", "pos", F.posexplode("nodes").alias("i", "entity_id"), "rels").join(name.select("entity_id", "name"), "entity_id")
+    line = F.concat(F.when(F.col("i") > 0, F.concat(F.lit("-["), F.get("rels", F.col("i") - 1), F.lit("]-> "))).otherwise(F.lit("")), F.col("name"))
+    lines = steps.groupBy("seed", "pos").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", line.alias("t")))), lambda x: x["t"]), " ").alias("t"))
+    shown = lines.groupBy("seed").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "t"))), lambda x: F.concat(F.lit("  Path: "), x["t"])).alias("paths"))
+    near = few.groupBy("seed", "end_name", "end_type").agg(F.min("pos").alias("pos"))
+    near = near.groupBy("seed").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.concat("end_name", F.lit(" ("), "end_type", F.lit(")")).alias("t")))), lambda x: F.concat(F.lit("  Connected: "), x["t"])).alias("near"))
+    e = found.join(name, "entity_id").join(shown.withColumnRenamed("seed", "entity_id"), "entity_id", "left").join(near.withColumnRenamed("seed", "entity_id"), "entity_id", "left")
+    none = F.array().cast("array<string>")
+    head = F.array(F.concat("name", F.lit(" ("), "entity_type", F.lit(")")))
+    value = F.when(F.coalesce("value", F.lit("")) != "", F.array(F.concat(F.lit("  Specifications: "), "value"))).otherwise(none)
+    content = F.array_join(F.concat(head, value, F.coalesce("paths", none), F.slice(F.coalesce("near", none), 1, CONNECTED_SHOWN)), "\n")
+    return e.select("query_id", F.concat(F.lit("entity:"), "name", F.lit(":"), "entity_type").alias("chunk_id"), "score", "rank", content.alias("content"), F.size(F.coalesce("near", none)).alias("connected_count"))
+
+
+def cross_relations(pairs: DataFrame, entities: DataFrame, keywords: list[tuple[str, str]], default: str | None = "MENTIONS") -> DataFrame:
+    """Cross references (source_page, target_page, relationship, shared_entities: array) as relations between the entities
+    that two pages share: each two of at least two, in their order, both known by name; the type by the first keyword in
+    the relationship, else the default; without any the pair is dropped."""
+    several = pairs.filter(F.size("shared_entities") >= 2).withColumn("relation_type", first_keyword_relation(F.col("relationship"), keywords, default)).filter("relation_type IS NOT NULL")
+    a = several.select("*", F.posexplode("shared_entities").alias("i", "from_name"))
+    b = a.select("source_page", "target_page", "relation_type", "i", "from_name", F.posexplode("shared_entities").alias("j", "to_name")).filter("i < j")
+    known = entities.select("name", "entity_type").dropDuplicates(["name"])
+    b = b.join(known.select(F.col("name").alias("from_name"), F.col("entity_type").alias("from_type")), "from_name").join(known.select(F.col("name").alias("to_name"), F.col("entity_type").alias("to_type")), "to_name")
+    return b.select("from_name", "from_type", "to_name", "to_type", "relation_type", "source_page", "target_page")

@@ -88,3 +88,15 @@ def embedding_migration(sources: DataFrame, current_model: str) -> DataFrame:
 def without_credentials(uri):
     """A URI without its user information, for logs."""
     return F.regexp_replace(uri, "//[^@/]*@", "//")
+
+
+def batch_stats(outcomes: DataFrame, outcome: str = "outcome") -> DataFrame:
+    """One row of an ingest's records: total, succeeded, failed, skipped."""
+    n = lambda x: F.count_if(F.col(outcome) == x).alias(x)
+    return outcomes.agg(F.count(F.lit(1)).alias("total"), n("succeeded"), n("failed"), n("skipped"))
+
+
+def merged_usage(rows: DataFrame, by: list[str], order: str, counters: list[str]) -> DataFrame:
+    """Token counters summed (nulls count nothing), with the first provider and model that are named."""
+    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(c)
+    return rows.groupBy(*by).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in counters], first("provider"), first("model"))

@@ -61,9 +61,11 @@ def bm25_scores(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", tex
 
 
 def top_k(scored: DataFrame, k: int, id_col: str, score_col: str = "score", digits: int = 6) -> DataFrame:
-    """The k best of each query with their ranks from 1; scores rounded, ties by id."""
+    """The k best of each query with their ranks from 1; scores rounded; ties by first appearance where fused() says
+    it, then by id."""
     s = scored.withColumn(score_col, F.round(score_col, digits))
-    w = Window.partitionBy("query_id").orderBy(F.desc(score_col), F.asc(id_col))
+    seen = [F.asc("first_seen")] if "first_seen" in s.columns else []
+    w = Window.partitionBy("query_id").orderBy(F.desc(score_col), *seen, F.asc(id_col))
     return s.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
@@ -130,10 +132,33 @@ def exact_hits(docs: DataFrame, query: str, text_col: str = "text") -> DataFrame
 
 
 def all_terms_hits(docs: DataFrame, query: str, text_col: str = "text") -> DataFrame:
-    """Texts that hold every term of the query."""
-    terms = list(dict.fromkeys(query.lower().split()))
-    held = tokens(F.col(text_col))
-    return docs.filter(reduce(lambda a, b: a & b, [F.array_contains(held, t) for t in terms], F.lit(True)))
+    """Texts that hold every term of the query, cut to terms as the texts are; a query without a term finds nothing."""
+    asked, held = tokens(F.lit(query)), tokens(F.col(text_col))
+    return docs.filter((F.size(asked) > 0) & (F.size(F.array_except(asked, held)) == 0))
+
+
+def exact_over_bm25(docs: DataFrame, query: str, k: int, id_col: str, text_col: str = "text") -> DataFrame:
+    """(id, score, match_type): texts that hold the query literally, with score 1, and BM25 hits among the others, best
+    first by raw score, so that a BM25 hit above 1 comes before an exact one. A blank query finds nothing here."""
+    if not query.strip():
+        return docs.select(id_col, F.lit(0.0).alias("score"), F.lit("").alias("match_type")).limit(0)
+    asked = docs.sparkSession.createDataFrame([(1, query)], "query_id int, query string")
+    exact = exact_hits(docs, query, text_col).select(id_col, F.lit(1.0).alias("score"), F.lit("exact").alias("match_type"))
+    ranked = bm25_scores(docs, asked, id_col, text_col).select(id_col, "score", F.lit("bm25").alias("match_type"))
+    first = exact.unionByName(ranked).groupBy(id_col).agg(F.max_by(F.struct("score", "match_type"), F.col("match_type") == "exact").alias("x"))
+    out = first.select(id_col, F.round("x.score", 6).alias("score"), F.col("x.match_type").alias("match_type"))
+    return out.orderBy(F.desc("score"), F.asc(id_col)).limit(k)
+
+
+def hybrid_top_k(dense: DataFrame, sparse: DataFrame, k: int, id_col: str) -> DataFrame:
+    """Dense and sparse scores of the same vectors, fused by the ranks of the OVER_FETCH * k best of each."""
+    lists = [(top_k(s, k * OVER_FETCH, id_col), 1.0) for s in (dense, sparse)]
+    return top_k(fused(lists, id_col), k, id_col).drop("first_seen")
+
+
+def fulltext_chunks(hits: DataFrame, query: str, source: str = "source_id", text_col: str = "content", window: int = 800) -> DataFrame:
+    """Hits among whole documents in the shape of chunks: id "fulltext:<source>", and an excerpt as the content."""
+    return hits.withColumns({"chunk_id": F.concat(F.lit("fulltext:"), F.col(source).cast("string")), text_col: excerpt_window(F.col(text_col), query, window)})
 
 
 def topped_up(ranked: DataFrame, fallback: DataFrame, k: int, id_col: str) -> DataFrame:
@@ -149,8 +174,20 @@ def with_excerpts(hits: DataFrame, query: str, text_col: str = "text", window: i
 
 def expanded_parents(children: DataFrame, parents: DataFrame) -> DataFrame:
     """Hits with a parent are merged into it: the sum of their scores, how many, and their ids by rank. Unknown
-    parents drop out; hits without a parent stay in front. ``children``: point_id, score, rank, parent_id."""
-    plain = children.filter("parent_id IS NULL").select("point_id", "score", "rank", F.lit(1).cast("long").alias("child_hits"), F.array("point_id").alias("expanded_from"), F.lit(0).alias("tier"))
-    hit = children.filter("parent_id IS NOT NULL").groupBy("parent_id").agg(F.sum("score").alias("score"), F.min("rank").alias("rank"), F.count(F.lit(1)).alias("child_hits"), F.transform(F.array_sort(F.collect_list(F.struct("rank", "point_id"))), lambda x: x["point_id"]).alias("expanded_from"))
-    merged = hit.join(parents.select(F.col("point_id").alias("parent_id")), "parent_id").select(F.element_at("expanded_from", 1).alias("point_id"), "score", "rank", "child_hits", "expanded_from", F.lit(1).alias("tier"))
+    parents drop out; hits without a parent stay in front. ``children``: point_id, score, rank, parent_id, and query_id
+    where there are several queries. A merged hit keeps its parent's id as ``parent_id``."""
+    by = ["query_id"] if "query_id" in children.columns else []
+    plain = children.filter("parent_id IS NULL").select(*by, "point_id", "score", "rank", F.lit(1).cast("long").alias("child_hits"), F.array("point_id").alias("expanded_from"), F.lit(0).alias("tier"), "parent_id")
+    hit = children.filter("parent_id IS NOT NULL").groupBy(*by, "parent_id").agg(F.sum("score").alias("score"), F.min("rank").alias("rank"), F.count(F.lit(1)).alias("child_hits"), F.transform(F.array_sort(F.collect_list(F.struct("rank", "point_id"))), lambda x: x["point_id"]).alias("expanded_from"))
+    merged = hit.join(parents.select(F.col("point_id").alias("parent_id")), "parent_id").select(*by, F.element_at("expanded_from", 1).alias("point_id"), "score", "rank", "child_hits", "expanded_from", F.lit(1).alias("tier"), "parent_id")
     return plain.unionByName(merged)
+
+
+def fused_or_raw(lists: list[tuple[DataFrame, float]], id_col: str, k: int = RRF_K) -> DataFrame:
+    """(query_id, id, score, first_seen): of a query that several lists answer the fused scores, of one that a single
+    list answers that list's own. Lists: query_id, id, rank, score, source_weight, which multiplies either."""
+    parts = [df.select("query_id", id_col, "rank", "score", "source_weight", F.lit(float(w)).alias("_w"), F.lit(i).alias("_list")) for i, (df, w) in enumerate(lists)]
+    every = reduce(DataFrame.unionByName, parts)
+    answered = every.withColumn("_n", F.size(F.collect_set("_list").over(Window.partitionBy("query_id"))))
+    share = F.when(F.col("_n") > 1, F.col("_w") / (F.lit(k) + F.col("rank"))).otherwise(F.col("score")) * F.col("source_weight")
+    return answered.groupBy("query_id", id_col).agg(F.sum(share).alias("score"), F.min(F.struct("_list", "rank")).alias("first_seen"))

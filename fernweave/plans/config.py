@@ -26,11 +26,14 @@ class RetrievalConfig:
     dense_weight: float = 1.0
     keyword_weight: float = 0.8
     entity_weight: float = 0.7
+    expand_parents: bool = False
+    entity_hops: int = 2
     source_weights: dict[str, float] = field(default_factory=dict)
 
     def __post_init__(self):
         _within("top_k", self.top_k, TOP_K)
         _within("history_window", self.history_window, HISTORY)
+        _within("entity_hops", self.entity_hops, (1, 5))
         for name, w in self.source_weights.items():
             if not 0 < w <= 10:
                 raise ConfigurationError(f"the weight of {name} must be above 0 and at most 10, not {w}")
@@ -70,3 +73,42 @@ def checked_metadata(metadata: dict[str, str]) -> dict[str, str]:
     if len(metadata) > METADATA_KEYS or any(len(str(v)) > METADATA_CHARS for v in metadata.values()):
         raise InputError(f"at most {METADATA_KEYS} keys and {METADATA_CHARS} characters a value")
     return metadata
+
+
+@dataclass(frozen=True)
+class MemoryConfig:
+    """Weights of the three searches over memories; 0 turns one off. How many turns before are looked at."""
+
+    semantic_weight: float = 0.5
+    keyword_weight: float = 0.3
+    entity_weight: float = 0.2
+    top_k: int = 8
+
+    def __post_init__(self):
+        _within("top_k", self.top_k, TOP_K)
+        for name in ("semantic_weight", "keyword_weight", "entity_weight"):
+            _within(name, getattr(self, name), (0, 10))
+        if not self.semantic_weight + self.keyword_weight + self.entity_weight:
+            raise ConfigurationError("at least one search must be on")
+
+
+@dataclass(frozen=True)
+class GenerationConfig:
+    grounding: bool = False
+    threshold: float = 0.5
+    relevance_gate: bool = False
+
+    def __post_init__(self):
+        _within("threshold", self.threshold, (0, 1))
+        if self.relevance_gate and not self.grounding:
+            raise ConfigurationError("the relevance gate needs grounding")
+
+
+@dataclass(frozen=True)
+class BatchConfig:
+    size: int = 100
+    concurrent: int = 5
+
+    def __post_init__(self):
+        _within("size", self.size, (1, 10_000))
+        _within("concurrent", self.concurrent, (1, 100))

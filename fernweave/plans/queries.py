@@ -56,6 +56,11 @@ def ranked_sql(source: str, k: int, id_col: str = "doc_id") -> str:
     return f"SELECT query_id, {id_col}, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, {id_col}) AS rank FROM {source} QUALIFY rank <= {k}"
 
 
+def fused_sql(k: int, weight: str = "w") -> str:
+    """Of lists (query_id, doc_id, rank, w, l: the list's place): fused, ties by first appearance, then by id."""
+    return f"SELECT query_id, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, seen, doc_id) AS rank FROM (SELECT query_id, doc_id, sum({weight} / (60 + rank)) AS score, min(l * 100000 + rank) AS seen FROM lists GROUP BY ALL) QUALIFY rank <= {k}"
+
+
 def one_query(spark: SparkSession) -> DataFrame:
     return few(spark, [(1, QUERY)], "query_id int, query string")
 
@@ -165,13 +170,13 @@ def two_lists(spark, d) -> tuple[DataFrame, DataFrame]:
     return kw, search.top_k(search.dense_scores(vectors, q, "doc_id"), 8 * search.OVER_FETCH, "doc_id")
 
 
-@checked(f"{LISTS_SQL}, f AS (SELECT query_id, doc_id, sum(1.0 / (60 + rank)) AS score FROM (SELECT * FROM kw UNION ALL SELECT * FROM dn) GROUP BY ALL) {ranked_sql('f', 8)}")
+@checked(f"{LISTS_SQL}, lists AS (SELECT *, 1.0 AS w, 0 AS l FROM kw UNION ALL SELECT *, 1.0, 1 FROM dn) {fused_sql(8)}")
 def rrf_fusion(spark, d):
     kw, dn = two_lists(spark, d)
     return search.top_k(search.fused([(kw, 1.0), (dn, 1.0)], "doc_id"), 8, "doc_id").select("query_id", "doc_id", "score", "rank")
 
 
-@checked(f"{LISTS_SQL}, f AS (SELECT query_id, doc_id, sum(w / (60 + rank)) AS score FROM (SELECT *, 1.0 AS w FROM dn UNION ALL SELECT *, 0.8 FROM kw) GROUP BY ALL) SELECT r.*, lang, source FROM ({ranked_sql('f', 8)}) r JOIN documents USING (doc_id)")
+@checked(f"{LISTS_SQL}, lists AS (SELECT *, 1.0 AS w, 0 AS l FROM dn UNION ALL SELECT *, 0.8, 1 FROM kw) SELECT r.*, lang, source FROM ({fused_sql(8)}) r JOIN documents USING (doc_id)")
 def hybrid_rrf(spark, d):
     """The flagship: dense (1.0) and keyword (0.8) hits fused, with the hits' attributes."""
     kw, dn = two_lists(spark, d)
@@ -179,7 +184,7 @@ def hybrid_rrf(spark, d):
     return t(spark, d, "documents").select("doc_id", "lang", "source").join(F.broadcast(top), "doc_id").select("query_id", "doc_id", "score", "rank", "lang", "source")
 
 
-@checked(f"{LISTS_SQL}, w AS (SELECT doc_id, CASE quality WHEN 1 THEN 2.0 WHEN 0 THEN 0.5 ELSE 1.0 END AS sw FROM documents LEFT JOIN labels USING (doc_id)), f AS (SELECT query_id, doc_id, sum(coalesce(sw, 1.0) / (60 + rank)) AS score FROM (SELECT * FROM kw UNION ALL SELECT * FROM dn) LEFT JOIN w USING (doc_id) GROUP BY ALL) {ranked_sql('f', 8)}")
+@checked(f"{LISTS_SQL}, w AS (SELECT doc_id, CASE quality WHEN 1 THEN 2.0 WHEN 0 THEN 0.5 ELSE 1.0 END AS sw FROM documents LEFT JOIN labels USING (doc_id)), lists AS (SELECT query_id, doc_id, rank, coalesce(sw, 1.0) AS w, l FROM (SELECT *, 0 AS l FROM kw UNION ALL SELECT *, 1 FROM dn) LEFT JOIN w USING (doc_id)) {fused_sql(8)}")
 def rrf_weighted_source(spark, d):
     labels = t(spark, d, "labels").select("doc_id", "quality")
     weigh = lambda hits: labels.join(F.broadcast(hits), "doc_id", "right")
@@ -196,7 +201,7 @@ def parent_expand_sum(spark, d):
     hits = search.top_k(search.bm25_scores(docs, one_query(spark)), 40, "doc_id")
     parent = F.when(F.col("lang") == "es", None).when(F.col("source") == "src1", "gone").otherwise(F.col("source"))
     children = docs.select("doc_id", "lang", "source").join(F.broadcast(hits), "doc_id").select(F.col("doc_id").cast("string").alias("point_id"), "score", "rank", parent.alias("parent_id"))
-    out = search.expanded_parents(children, docs.select(F.col("source").alias("point_id")).distinct())
+    out = search.expanded_parents(children, docs.select(F.col("source").alias("point_id")).distinct()).drop("parent_id")
     return out.withColumns({"score": F.round("score", 4), "expanded_from": F.array_join("expanded_from", ",")})
 
 
@@ -451,10 +456,10 @@ def domain_vote(spark, d):
     return structured.majority_domain(t(spark, d, "orders").selectExpr("o_custkey AS page", "nullif(o_orderstatus, 'P') AS domain", "o_orderkey AS ord"))
 
 
-TAG_TEXT = "CASE p_partkey % 4 WHEN 0 THEN 'see /A' || p_size || ' OPC-1' WHEN 1 THEN 'line TO SHEET ' || p_size WHEN 2 THEN p_name ELSE 'OPC_' || p_size || ' end' END"
+TAG_TEXT = "CASE p_partkey % 7 WHEN 0 THEN 'see /A' || p_size || ' OPC-1' WHEN 1 THEN 'line TO SHEET ' || p_size WHEN 2 THEN p_name WHEN 3 THEN 'to sheet 3 zone B' || p_size WHEN 4 THEN 'continues on sheet ' || p_size WHEN 5 THEN 'Z3.B' || p_size || ' /AB12' ELSE 'OPC_' || p_size || ' end' END"
 
 
-@checked(f"SELECT p_partkey, coalesce(nullif(regexp_extract({TAG_TEXT}, '/[A-Z]+\\d+'), ''), nullif(regexp_extract({TAG_TEXT}, 'OPC[-_ ]?\\d+'), ''), nullif(regexp_extract({TAG_TEXT}, 'TO SH(?:EET|T)\\.? ?\\d+'), ''), nullif(regexp_extract({TAG_TEXT}, 'FROM SH(?:EET|T)\\.? ?\\d+'), ''), nullif(regexp_extract({TAG_TEXT}, 'SH(?:EET|T)\\.? ?\\d+/\\w+'), '')) AS tag FROM part")
+@checked(f"SELECT p_partkey, coalesce(nullif(regexp_extract({TAG_TEXT}, '/[A-Z][0-9]+'), ''), nullif(regexp_extract({TAG_TEXT}, 'OPC[-_][0-9]+'), ''), nullif(regexp_extract({TAG_TEXT}, '(?i)to[ ]+sheet[ ]+[0-9]+([ ]+zone[ ]+[A-H][0-9]+)?'), ''), nullif(regexp_extract({TAG_TEXT}, '(?i)continues[ ]+(on|at)[ ]+sheet[ ]+[0-9]+'), ''), nullif(regexp_extract({TAG_TEXT}, 'Z[0-9]+[.][A-H][0-9]+'), '')) AS tag FROM part")
 def offpage_tags(spark, d):
     return t(spark, d, "part").select("p_partkey", structured.off_page_tag(F.expr(TAG_TEXT)).alias("tag"))
 
@@ -544,7 +549,7 @@ def memory_recent_turns(spark, d):
     return memory.interaction_text(assemble.last_turns(t(spark, d, "conversations"), 3))
 
 
-@checked(f"{LISTS_SQL}, f AS (SELECT query_id, doc_id, sum(w / (60 + rank)) AS score FROM (SELECT *, 0.5 AS w FROM dn UNION ALL SELECT *, 0.3 FROM kw) GROUP BY ALL), top AS ({ranked_sql('f', 10)}) SELECT top.*, coalesce(dn.score, 0) AS semantic_score, coalesce(kw.score, 0) AS keyword_score FROM top LEFT JOIN dn USING (query_id, doc_id) LEFT JOIN kw USING (query_id, doc_id)")
+@checked(f"{LISTS_SQL}, lists AS (SELECT *, 0.5 AS w, 0 AS l FROM dn UNION ALL SELECT *, 0.3, 1 FROM kw), top AS ({fused_sql(10)}) SELECT top.*, coalesce(dn.score, 0) AS semantic_score, coalesce(kw.score, 0) AS keyword_score FROM top LEFT JOIN dn USING (query_id, doc_id) LEFT JOIN kw USING (query_id, doc_id)")
 def memory_pillar_scores(spark, d):
     kw, dn = two_lists(spark, d)
     top = search.top_k(search.fused([(dn, 0.5), (kw, 0.3)], "doc_id"), 10, "doc_id").select("query_id", "doc_id", "score", "rank")
@@ -689,3 +694,84 @@ def l5x_parse(spark, d):
 @checked("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def windowed_usage(spark, d):
     return ingest.windowed_usage(t(spark, d, "events")).withColumn("total", F.round("total", 4))
+
+
+# --- entity search, hybrid vectors, stores, references ----------------------------------------------------------------
+
+
+@checked("""WITH d AS (SELECT s_suppkey AS doc_id, s_name || ' ' || n_name AS text FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_nationkey % 2 = 0),
+ q AS (SELECT 1 AS query_id, 'FRANCE Supplier#000000007 CHINA' AS query),
+ """ + BM25_CTE.replace("documents", "d") + " " + ranked_sql("bm", 10, "doc_id"))
+def entity_seed_topk(spark, d):
+    """Suppliers as entities, their nation as the value; of one type only."""
+    e = t(spark, d, "supplier").join(t(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    e = e.select(F.col("s_suppkey").alias("entity_id"), F.col("s_name").alias("name"), F.col("n_name").alias("value"), F.when(F.col("s_nationkey") % 2 == 0, "even").otherwise("odd").alias("entity_type"), F.lit("k").alias("knowledge_id"))
+    q = few(spark, [(1, "FRANCE Supplier#000000007 CHINA")], "query_id int, query string")
+    return graph.seeds(e, q, 10, ["even"], "k").withColumnRenamed("entity_id", "doc_id")
+
+
+@checked("""WITH q AS (SELECT n.n_nationkey, n.n_name, n.n_regionkey FROM nation n WHERE n.n_nationkey < 5),
+ p AS (SELECT q.n_nationkey, 1 AS pos, '  Path: ' || q.n_name || ' -[FEEDS]-> ' || r_name AS t FROM q JOIN region ON q.n_regionkey = r_regionkey)
+ SELECT 'entity:' || n_name || ':nation' AS chunk_id, 1 AS query_id, 1.0::DOUBLE AS score, n_nationkey::INT AS rank, 1 AS connected_count,
+ n_name || ' (nation)\n  Specifications: v' || n_nationkey || '\n' || t || '\n  Connected: ' || r_name || ' (region)' AS content FROM q JOIN p USING (n_nationkey) JOIN region ON n_regionkey = r_regionkey""")
+def entity_results(spark, d):
+    """Nations and the region that each feeds, one hop."""
+    n, r = t(spark, d, "nation"), t(spark, d, "region")
+    e = n.select(F.concat(F.lit("n"), "n_nationkey").alias("entity_id"), F.col("n_name").alias("name"), F.lit("nation").alias("entity_type"), F.concat(F.lit("v"), "n_nationkey").alias("value"), F.lit("k").alias("knowledge_id"))
+    e = e.unionByName(r.select(F.concat(F.lit("r"), "r_regionkey").alias("entity_id"), F.col("r_name").alias("name"), F.lit("region").alias("entity_type"), F.lit(None).cast("string").alias("value"), F.lit(None).cast("string").alias("knowledge_id")))
+    rel = n.select(F.concat(F.lit("n"), "n_nationkey").alias("from_id"), F.concat(F.lit("r"), "n_regionkey").alias("to_id"), F.lit("FEEDS").alias("relation_type"), F.lit("s").alias("source_id"))
+    found = n.filter("n_nationkey < 5").select(F.lit(1).alias("query_id"), F.concat(F.lit("n"), "n_nationkey").alias("entity_id"), F.lit(1.0).alias("score"), F.col("n_nationkey").alias("rank"))
+    return graph.entity_results(e, rel, found, 1)
+
+
+@checked(f"""WITH {ONE_Q}, tf AS (SELECT doc_id, term, count(*) AS tf FROM ({TOKS}) GROUP BY ALL), asked AS (SELECT query_id, term, count(*) AS n FROM (SELECT query_id, unnest(regexp_extract_all(lower(query), '[\\p{{L}}\\p{{N}}_]+')) AS term FROM q) GROUP BY ALL),
+ sp AS (SELECT query_id, doc_id, sum(tf * n)::DOUBLE AS score FROM tf JOIN asked USING (term) GROUP BY ALL),
+ ds AS (SELECT 1 AS query_id, e.vec_id AS doc_id, {COS} AS score FROM embeddings e, embeddings q WHERE q.vec_id = 7),
+ lists AS (SELECT *, 1.0 AS w, 0 AS l FROM ({ranked_sql('ds', 32)}) UNION ALL SELECT *, 1.0, 1 FROM ({ranked_sql('sp', 32)})) {fused_sql(8)}""")
+def hybrid_dense_sparse(spark, d):
+    """Dense and sparse vectors of the same rows, fused by rank. vec_id = doc_id is a stand-in for a real link."""
+    dense = search.dense_scores(t(spark, d, "embeddings").withColumnRenamed("vec_id", "doc_id"), query_vectors(spark, d, "vec_id = 7").withColumn("query_id", F.lit(1)), "doc_id")
+    sparse = search.postings(t(spark, d, "documents")).select("doc_id", "term", F.col("tf").cast("double").alias("weight"))
+    asked = one_query(spark).select("query_id", F.explode(T.tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qweight"))
+    return search.hybrid_top_k(dense, search.sparse_scores(sparse, asked), 8, "doc_id")
+
+
+@checked(f"WITH q AS (SELECT 1 AS query_id, 'all rights' AS query), {BM25_CTE}, x AS (SELECT doc_id, 1.0 AS score, 'exact' AS match_type FROM documents WHERE contains(lower(text), 'all rights')) SELECT * FROM (SELECT doc_id, score::DOUBLE AS score, match_type FROM x UNION ALL SELECT doc_id, round(score, 6), 'bm25' FROM bm WHERE doc_id NOT IN (SELECT doc_id FROM x)) ORDER BY score DESC, doc_id LIMIT 25")
+def exact_over_bm25(spark, d):
+    return search.exact_over_bm25(t(spark, d, "documents"), "all rights", 25, "doc_id")
+
+
+@checked("""WITH p AS (SELECT o_custkey AS source_page, o_orderkey AS target_page, ['Customer#' || (o_custkey % 7), 'Customer#' || (o_custkey % 11), 'unknown'][:1 + o_orderkey % 3] AS names, o_orderpriority AS rel FROM orders WHERE o_custkey < 40),
+ e AS (SELECT source_page, target_page, rel, unnest(names) AS name, generate_subscripts(names, 1) AS i FROM p WHERE len(names) >= 2),
+ k AS (SELECT 'Customer#' || i AS name, 't' || i AS entity_type FROM range(11) r(i))
+ SELECT a.source_page, a.target_page, a.name AS from_name, ka.entity_type AS from_type, b.name AS to_name, kb.entity_type AS to_type, CASE WHEN contains(lower(a.rel), 'urgent') THEN 'FEEDS' ELSE 'MENTIONS' END AS relation_type
+ FROM e a JOIN e b ON a.source_page = b.source_page AND a.target_page = b.target_page AND a.i < b.i JOIN k ka ON a.name = ka.name JOIN k kb ON b.name = kb.name""")
+def cross_relations(spark, d):
+    """Pairs of one name are dropped, and names that no entity has."""
+    names = F.slice(F.array(F.concat(F.lit("Customer#"), F.col("o_custkey") % 7), F.concat(F.lit("Customer#"), F.col("o_custkey") % 11), F.lit("unknown")), F.lit(1), (1 + F.col("o_orderkey") % 3).cast("int"))
+    pairs = t(spark, d, "orders").filter("o_custkey < 40").select(F.col("o_custkey").alias("source_page"), F.col("o_orderkey").alias("target_page"), names.alias("shared_entities"), F.col("o_orderpriority").alias("relationship"))
+    e = spark.range(11).select(F.concat(F.lit("Customer#"), "id").alias("name"), F.concat(F.lit("t"), "id").alias("entity_type"))
+    return graph.cross_relations(pairs, e, [("urgent", "FEEDS")])
+
+
+@checked("SELECT count(*) AS total, count(*) FILTER (event_type = 'click') AS succeeded, count(*) FILTER (event_type = 'error') AS failed, count(*) FILTER (event_type = 'view') AS skipped FROM events")
+def batch_stats(spark, d):
+    e = t(spark, d, "events")
+    return manage.batch_stats(e.select(F.when(F.col("event_type") == "click", "succeeded").when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "view", "skipped").alias("outcome")))
+
+
+@checked("SELECT user_id, coalesce(sum(event_id) FILTER (event_type <> 'click'), 0)::BIGINT AS tokens, arg_min(nullif(event_type, 'view'), event_id) FILTER (event_type <> 'view') AS provider, arg_min('m' || event_id, event_id) AS model FROM events GROUP BY 1")
+def usage_merge(spark, d):
+    rows = t(spark, d, "events").select("user_id", "event_id", F.when(F.col("event_type") != "click", F.col("event_id")).alias("tokens"), F.nullif("event_type", F.lit("view")).alias("provider"), F.concat(F.lit("m"), "event_id").alias("model"))
+    return manage.merged_usage(rows, ["user_id"], "event_id", ["tokens"])
+
+
+@checked("SELECT doc_id AS p, concat_ws(chr(10) || chr(10), nullif(lang, 'en'), source, CASE WHEN doc_id % 2 = 0 THEN text END) AS folded FROM documents")
+def folded_context(spark, d):
+    return t(spark, d, "documents").select(F.col("doc_id").alias("p"), T.folded(F.when(F.col("lang") == "en", "").otherwise(F.col("lang")), F.col("source"), F.when(F.col("doc_id") % 2 == 0, F.col("text"))).alias("folded"))
+
+
+@checked("SELECT conv_id, string_agg('[Page ' || turn || ']' || chr(10) || text, chr(10) || chr(10) ORDER BY turn) AS body FROM conversations GROUP BY 1")
+def pages_as_text(spark, d):
+    c = t(spark, d, "conversations").groupBy("conv_id").agg(F.collect_list(F.struct(F.col("turn").alias("page_number"), F.col("text").alias("content"))).alias("pages"))
+    return c.select("conv_id", T.pages_text(F.col("pages")).alias("body"))

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import re
+import time
+from collections import Counter
 from typing import Protocol
 
 import numpy as np
@@ -10,12 +13,21 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .errors import ConfigurationError
+
 
 class Embeddings(Protocol):
     def embed(self, texts: list[str]) -> list[list[float]]: ...
     def dimension(self) -> int: ...
 
 
+class SparseEmbeddings(Protocol):
+    """Texts to (index, value) pairs; queries may have other values than texts."""
+
+    def embed_sparse(self, texts: list[str]) -> list[list[tuple[int, float]]]: ...
+    def embed_sparse_query(self, text: str) -> list[tuple[int, float]]: ...
+
+
 class Reranker(Protocol):
     def rerank(self, query: str, texts: list[str]) -> list[float]: ...
 
@@ -51,6 +63,55 @@ class HashEmbeddings:
         return (out / np.where(norm == 0, 1, norm)).tolist()
 
 
+class WordSparse:
+    """Deterministic: a word's index is its digest, its value how often it occurs; a query's words count once."""
+
+    def embed_sparse(self, texts: list[str]) -> list[list[tuple[int, float]]]:
+        return [sorted((i, float(n)) for i, n in Counter(map(self._index, t.lower().split())).items()) for t in texts]
+
+    def embed_sparse_query(self, text: str) -> list[tuple[int, float]]:
+        return [(i, 1.0) for i, _ in self.embed_sparse([text])[0]]
+
+    @staticmethod
+    def _index(word: str) -> int:
+        return int.from_bytes(hashlib.blake2b(word.encode(), digest_size=4).digest(), "little") >> 1
+
+
+class Retrying:
+    """Calls the first of several plug-ins' method; after ``retries`` more failures of it the next one's. Waits twice as
+    long each time. The last failure is raised."""
+
+    def __init__(self, *models, retries: int = 2, wait: float = 0.2):
+        if not models or not 0 <= retries <= 5:
+            raise ConfigurationError("need at least one model, and 0 to 5 retries")
+        self.models, self.retries, self.wait = models, retries, wait
+
+    def __getattr__(self, name: str):
+        if name.startswith("_"):
+            raise AttributeError(name)
+
+        def call(*args):
+            failure: Exception | None = None
+            for model in self.models:
+                for k in range(self.retries + 1):
+                    try:
+                        return getattr(model, name)(*args)
+                    except Exception as e:
+                        failure = e
+                        if k < self.retries:
+                            time.sleep(self.wait * 2**k)
+            raise failure
+
+        return call
+
+
+def model_name(model: object) -> str:
+    """The class's name without "embeddings", and the model that it says it uses: "openai:small"."""
+    kind = re.sub("embeddings?$", "", type(model).__name__.lower()) or type(model).__name__.lower()
+    own = getattr(model, "model", "")
+    return f"{kind}:{own}" if own else kind
+
+
 class OverlapReranker:
     """The share of the query's words that a text has."""
 
@@ -77,6 +138,20 @@ def embedded(df: DataFrame, model: Embeddings, text: str = "text", out: str = "e
     return df.withColumn(out, vectors(F.col(text)))
 
 
+def sparse_embedded(df: DataFrame, model: SparseEmbeddings, text: str = "text", out: str = "sparse") -> DataFrame:
+    """Adds sparse vectors as arrays of (idx, val); where the model fails an empty one: dense search goes on alone."""
+
+    @F.pandas_udf("array<struct<idx:int,val:double>>")
+    def vectors(texts: pd.Series) -> pd.Series:
+        try:
+            found = model.embed_sparse([x or "" for x in texts])
+        except Exception:
+            found = [[] for _ in texts]
+        return pd.Series([[{"idx": int(i), "val": float(v)} for i, v in row] for row in found])
+
+    return df.withColumn(out, vectors(F.col(text)))
+
+
 def counted(model: TokenCounter, text: Column) -> Column:
     @F.pandas_udf("int")
     def count(texts: pd.Series) -> pd.Series:

@@ -1,5 +1,6 @@
-"""Tables with upsert and delete on plain Parquet: each change writes a new snapshot folder, and a one-line
-pointer file says which one holds. A reader never sees a folder that is being written."""
+"""Tables with upsert and delete on plain Parquet: each change writes a new snapshot folder, and then a pointer, an
+empty file with the folder's name and a growing number, is put in place by a rename. A reader never sees a folder that
+is being written, and never a pointer that is half written. The last KEPT folders stay for readers still at work."""
 
 from __future__ import annotations
 
@@ -9,8 +10,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..errors import StoreError
 from ..operators.manage import last_wins
 
+POINTERS, KEPT = "_pointers", 3
+
 
 def condition(filters: dict) -> Column | None:
     """AND of equalities; a list means any of it; nothing for no filters."""
@@ -19,7 +23,7 @@ def condition(filters: dict) -> Column | None:
 
 
 class SnapshotTable:
-    """One writer at a time, any number of readers. Paths may be in any file system that Spark knows."""
+    """One writer at a time; readers of the last KEPT snapshots keep their files. Any file system that Spark knows."""
 
     def __init__(self, spark: SparkSession, path: str, keys: list[str], partition_by: list[str] | None = None):
         self.spark, self.path, self.keys, self.partition_by = spark, path.rstrip("/"), keys, partition_by or []
@@ -28,23 +32,44 @@ class SnapshotTable:
         path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
         return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
 
-    def _current(self) -> str | None:
-        fs, path = self._fs("CURRENT")
-        return self.spark.read.text(f"{self.path}/CURRENT").first()[0] if fs.exists(path) else None
+    def _pointers(self) -> list[tuple[int, str]]:
+        """(number, folder) of all pointers, the last one last."""
+        fs, path = self._fs(POINTERS)
+        names = [f.getPath().getName() for f in fs.listStatus(path)] if fs.exists(path) else []
+        return sorted((int(n.split("_")[0]), n.split("_")[1]) for n in names if n[0].isdigit())
+
+    def current(self) -> str | None:
+        """The folder that holds, for restore()."""
+        found = self._pointers()
+        return found[-1][1] if found else None
 
     def read(self) -> DataFrame | None:
-        now = self._current()
+        now = self.current()
         return self.spark.read.option("mergeSchema", "true").parquet(f"{self.path}/{now}") if now else None
 
     def _commit(self, df: DataFrame) -> None:
-        old, new = self._current(), f"v-{uuid.uuid4().hex}"
+        new = f"v-{uuid.uuid4().hex}"
         df.write.partitionBy(*self.partition_by).parquet(f"{self.path}/{new}")
-        fs, path = self._fs("CURRENT")
-        out = fs.create(path, True)
-        out.write(bytearray(new.encode()))
-        out.close()
-        if old:
-            fs.delete(self._fs(old)[1], True)
+        self.restore(new)
+
+    def restore(self, folder: str) -> None:
+        """Makes a folder that is still there the one that holds; older ones than the last KEPT go."""
+        before = self._pointers()
+        number = before[-1][0] + 1 if before else 0
+        fs, made = self._fs(f"{POINTERS}/.{folder}")
+        fs.create(made, True).close()
+        if not fs.rename(made, self._fs(f"{POINTERS}/{number:012d}_{folder}")[1]):
+            raise StoreError(f"{self.path}: the new snapshot's pointer couldn't be put in place")
+        kept = [name for _, name in before[-(KEPT - 1) :]] + [folder]
+        for n, old in before[: -(KEPT - 1)]:
+            fs.delete(self._fs(f"{POINTERS}/{n:012d}_{old}")[1], False)
+            if old not in kept:
+                fs.delete(self._fs(old)[1], True)
+
+    def forget(self) -> None:
+        """As if nothing had ever been written."""
+        fs, path = self._fs(POINTERS)
+        fs.delete(path, True)
 
     def upsert(self, rows: DataFrame) -> None:
         """Replaces by key; of rows with one key in ``rows`` any one wins. No rows: nothing changes."""
@@ -54,6 +79,10 @@ class SnapshotTable:
         elif not rows.isEmpty():
             self._commit(last_wins(old.withColumn("_seq", F.lit(0)), rows.select(*old.columns).withColumn("_seq", F.lit(1)), self.keys, "_seq").drop("_seq"))
 
+    def replace(self, rows: DataFrame) -> None:
+        """The rows instead of all that are there."""
+        self._commit(rows)
+
     def delete(self, **filters) -> int:
         """How many rows went; no filter deletes nothing."""
         where, old = condition(filters), self.read()
