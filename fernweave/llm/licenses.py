@@ -160,7 +160,7 @@ def license_scan(docs: DataFrame, sentences: dict[str, str] | None = None, rules
         runs = F.split(F.array_join(F.transform(F.split(raw, SPLIT), line), ""), "\x01")
         cut = lambda r: F.transform(F.split(r, ";"), lambda x: name_of(normalise(x)))
         whole = lambda r: F.when(r.startswith("\x02"), F.substring(r, 2, 1000)).otherwise(name_of(normalise(r)))
-        found = lambda r: F.when(whole(r).isNotNull(), F.array(whole(r))).otherwise(cut(r))
+        found = lambda r: F.element_at(F.transform(F.array(whole(r)), lambda w: F.when(w.isNotNull(), F.array(w)).otherwise(cut(r))), 1)
         return F.flatten(F.transform(runs, found))
 
     # A piece on one line without semicolons is one sentence of SPLIT: it has no parts.
@@ -168,13 +168,15 @@ def license_scan(docs: DataFrame, sentences: dict[str, str] | None = None, rules
     out = out.select("_id", "n_sentences", F.filter(F.flatten(each), lambda n: n.isNotNull()).alias("_names"))
     ids = F.concat_ws("", F.transform("_names", lambda n: F.concat(F.lit("<"), n, F.lit(">"))))
     out = out.select("_id", "n_sentences", F.size("_names").cast("long").alias("n_known"), ids.alias("sentence_ids"))
-    rest, fits = F.col("sentence_ids"), []
-    for pattern, name in rules:
-        fits.append(F.when(rest.rlike(pattern), F.lit(name)))
-        rest = F.regexp_replace(rest, pattern, "")
     some = F.col("n_known") > 0
-    licenses = F.concat_ws(",", F.array_distinct(F.array(*fits))) if fits else F.lit("")
-    return out.select(F.col("_id").alias(id_col), "n_sentences", "n_known", "sentence_ids", F.when(some, licenses).otherwise("").alias("licenses"), F.when(some, rest).otherwise("").alias("unmatched"))
+    if not rules:
+        return out.select(F.col("_id").alias(id_col), "n_sentences", "n_known", "sentence_ids", F.lit("").alias("licenses"), F.col("sentence_ids").alias("unmatched"))
+    # One rule after the other, as a fold: rules written out one within the other would make a plan of their square.
+    table = F.array(*[F.struct(F.lit(pattern).alias("pattern"), F.lit(name).alias("name")) for pattern, name in rules])
+    zero = F.struct(F.col("sentence_ids").alias("rest"), F.array().cast("array<string>").alias("fits"))
+    taken = lambda a, r: F.struct(F.regexp_replace(a["rest"], r["pattern"], F.lit("")).alias("rest"), F.concat(a["fits"], F.array(r["name"])).alias("fits"))
+    out = out.withColumn("_x", F.when(some, F.aggregate(table, zero, lambda a, r: F.when(F.rlike(a["rest"], r["pattern"]), taken(a, r)).otherwise(a))))
+    return out.select(F.col("_id").alias(id_col), "n_sentences", "n_known", "sentence_ids", F.when(some, F.concat_ws(",", F.array_distinct("_x.fits"))).otherwise("").alias("licenses"), F.when(some, F.col("_x.rest")).otherwise("").alias("unmatched"))
 
 
 def oracle_sql() -> str:
