@@ -54,20 +54,22 @@ def source_weight(source_type: Column, weights: dict[str, float]) -> Column:
     return F.coalesce(known[source_type], F.raise_error(F.concat(F.lit("no weight for source type "), F.coalesce(source_type, F.lit("null")))).cast("double"))
 
 
-def drawing_entities(components: DataFrame) -> DataFrame:
-    """Components (component_id, label, symbol_class, domain, page) as entities; an id that comes again is one."""
-    last = components.groupBy("component_id").agg(F.max_by(F.struct("label", "symbol_class", "domain", "page"), "page").alias("x"))
-    return last.select(F.coalesce(F.nullif("x.label", F.lit("")), F.col("component_id")).alias("name"), F.coalesce("x.symbol_class", F.lit("component")).alias("entity_type"), F.col("x.domain").alias("category"), "component_id")
+def drawing_entities(components: DataFrame, within: tuple[str, ...] = ()) -> DataFrame:
+    """Components (component_id, label, symbol_class, domain, page) as entities by their ids; one that comes again, within
+    the same ``within``, is what the last page says."""
+    last = components.groupBy(*within, "component_id").agg(F.max_by(F.struct("symbol_class", "domain"), "page").alias("x"))
+    return last.select(*within, F.col("component_id").alias("name"), F.coalesce("x.symbol_class", F.lit("component")).alias("entity_type"), F.col("x.domain").alias("category"))
 
 
-def drawing_relations(connections: DataFrame, components: DataFrame) -> DataFrame:
+def drawing_relations(connections: DataFrame, components: DataFrame, within: tuple[str, ...] = (), keep: tuple[str, ...] = ()) -> DataFrame:
     """Connections (from_component, to_component, wire_style, properties) as relations between entities of the types
     that their components have; unknown components count as "component"."""
-    e = drawing_entities(components)
-    end = lambda side: e.select(F.col("component_id").alias(f"{side}_component"), F.col("name").alias(f"{side}_name"), F.col("entity_type").alias(f"{side}_type"))
-    d = connections.join(end("from"), "from_component", "left").join(end("to"), "to_component", "left")
+    e = drawing_entities(components, within)
+    d = connections
+    for side in ("from", "to"):
+        d = d.join(e.select(*within, F.col("name").alias(f"{side}_component"), F.col("entity_type").alias(f"{side}_type")), [*within, f"{side}_component"], "left")
     styles = F.create_map(*[F.lit(x) for kv in WIRE_RELATIONS.items() for x in kv])
-    kind = relation_type(F.coalesce(styles[F.lower("wire_style")], F.lit("CONNECTS_TO")), RELATION_TYPES)
-    named = lambda side: F.coalesce(f"{side}_name", f"{side}_component").alias(f"{side}_name")
+    kind = relation_type(F.coalesce(styles[F.coalesce("wire_style", F.lit(""))], F.lit("CONNECTS_TO")), RELATION_TYPES)
+    named = lambda side: F.col(f"{side}_component").alias(f"{side}_name")
     typed = lambda side: F.coalesce(f"{side}_type", F.lit("component")).alias(f"{side}_type")
-    return d.select(named("from"), typed("from"), named("to"), typed("to"), kind.alias("relation_type"), context_string(F.col("properties")).alias("context"))
+    return d.select(*within, *keep, named("from"), typed("from"), named("to"), typed("to"), kind.alias("relation_type"), context_string(F.col("properties")).alias("context"))

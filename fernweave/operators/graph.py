@@ -133,13 +133,27 @@ def entity_results(entities: DataFrame, relations: DataFrame, found: DataFrame,
     return e.select("query_id", F.concat(F.lit("entity:"), "name", F.lit(":"), "entity_type").alias("chunk_id"), "score", "rank", content.alias("content"), F.size(F.coalesce("near", none)).alias("connected_count"))
 
 
-def cross_relations(pairs: DataFrame, entities: DataFrame, keywords: list[tuple[str, str]], default: str | None = "MENTIONS") -> DataFrame:
+def cross_relations(pairs: DataFrame, entities: DataFrame, keywords: list[tuple[str, str]], default: str | None = "MENTIONS", within: tuple[str, ...] = ()) -> DataFrame:
     """Cross references (source_page, target_page, relationship, shared_entities: array) as relations between the entities
     that two pages share: each two of at least two, in their order, both known by name; the type by the first keyword in
-    the relationship, else the default; without any the pair is dropped."""
+    the relationship, else the default; without any the pair is dropped. A name of several types has that of the last
+    entity by ``seq``, or, without that column, the greatest. ``within``: columns of both sides that must agree."""
+    on = list(within)
     several = pairs.filter(F.size("shared_entities") >= 2).withColumn("relation_type", first_keyword_relation(F.col("relationship"), keywords, default)).filter("relation_type IS NOT NULL")
     a = several.select("*", F.posexplode("shared_entities").alias("i", "from_name"))
-    b = a.select("source_page", "target_page", "relation_type", "i", "from_name", F.posexplode("shared_entities").alias("j", "to_name")).filter("i < j")
-    known = entities.select("name", "entity_type").dropDuplicates(["name"])
-    b = b.join(known.select(F.col("name").alias("from_name"), F.col("entity_type").alias("from_type")), "from_name").join(known.select(F.col("name").alias("to_name"), F.col("entity_type").alias("to_type")), "to_name")
-    return b.select("from_name", "from_type", "to_name", "to_type", "relation_type", "source_page", "target_page")
+    b = a.select(*on, "source_page", "target_page", "relation_type", "relationship", "i", "from_name", F.posexplode("shared_entities").alias("j", "to_name")).filter("i < j")
+    known = entities.groupBy(*on, "name").agg(F.max_by("entity_type", "seq" if "seq" in entities.columns else "entity_type").alias("entity_type"))
+    for end in ("from", "to"):
+        b = b.join(known.select(*on, F.col("name").alias(f"{end}_name"), F.col("entity_type").alias(f"{end}_type")), [*on, f"{end}_name"])
+    return b.select(*on, "from_name", "from_type", "to_name", "to_type", "relation_type", "source_page", "target_page", *(["relationship"] if on else []))
+
+
+def shared_references(mentions: DataFrame, cap: int = 20) -> DataFrame:
+    """Mentions (source_id, name, page_number, pos) as cross references (source_id, source_page, target_page, relationship,
+    shared_entities): one for each two of the first ``cap`` mentions of a name in a source. A name twice on a page
+    pairs the page with itself; as each reference holds one name, none becomes a relation. The cap is the feature."""
+    w = Window.partitionBy("source_id", "name").orderBy("page_number", "pos")
+    few = mentions.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= cap).select("source_id", "name", "page_number", "r")
+    other = few.select("source_id", "name", F.col("page_number").alias("target_page"), F.col("r").alias("s"))
+    both = few.join(other, ["source_id", "name"]).filter("r < s")
+    return both.select("source_id", F.col("page_number").alias("source_page"), "target_page", F.concat(F.lit("shared entity: "), "name").alias("relationship"), F.array("name").alias("shared_entities"))

@@ -38,10 +38,10 @@ def with_cache(pages: DataFrame, cache: DataFrame, key: str = "page_hash", order
     return pages.join(last, key, "left")
 
 
-def page_vectors(pages: DataFrame) -> DataFrame:
+def page_vectors(pages: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Rows to embed: each page's description, its raw text if it isn't blank, each row of its tables.
-    ``pages``: source_id, page_number, description, raw_text, tables (title, columns, rows)."""
-    base = ["source_id", "page_number"]
+    ``pages``: source_id, page_number, description, raw_text, tables (title, columns, rows), and what to ``keep``."""
+    base = ["source_id", "page_number", *keep]
     described = pages.select(*base, F.lit("description").alias("vector_type"), F.lit(0).alias("pos"), F.col("description").alias("text"))
     raw = pages.filter(F.col("raw_text").rlike(r"(?U)\S")).select(*base, F.lit("raw_text").alias("vector_type"), F.lit(0).alias("pos"), F.col("raw_text").alias("text"))
     tables = pages.select(*base, F.posexplode("tables").alias("t_pos", "t")).select(*base, "t_pos", "t", F.posexplode("t.rows").alias("r_pos", "row"))
@@ -49,15 +49,31 @@ def page_vectors(pages: DataFrame) -> DataFrame:
     return described.unionByName(raw).unionByName(rows)
 
 
+def components_at(points: DataFrame, boxes: DataFrame, key: str) -> DataFrame:
+    """For each of points (key, page, x, y) the first in order of the boxes (component_id, page, ord, x, y, w, h) that it
+    lies in, with BBOX_MARGIN around each; points in none are left out.
+
+    A box lies in at most four cells of a grid about as wide as itself; a point looks into one cell of each such
+    grid that its page has. So a page of many boxes is neither one task nor all pairs."""
+    m = BBOX_MARGIN
+    cell = lambda v: F.floor(v / F.pow(F.lit(2.0), F.col("level"))).cast("long")
+    b = boxes.select("component_id", "page", "ord", (F.col("x") - m).alias("x_lo"), (F.col("x") + F.col("w") + m).alias("x_hi"), (F.col("y") - m).alias("y_lo"), (F.col("y") + F.col("h") + m).alias("y_hi"))
+    wide = F.greatest(F.col("x_hi") - F.col("x_lo"), F.col("y_hi") - F.col("y_lo"), F.lit(1)).cast("double")
+    b = b.withColumn("level", F.ceil(F.log2(wide)).cast("int"))
+    levels = b.select("page", "level").distinct()
+    b = b.withColumn("cx", F.explode(F.sequence(cell(F.col("x_lo")), cell(F.col("x_hi"))))).withColumn("cy", F.explode(F.sequence(cell(F.col("y_lo")), cell(F.col("y_hi")))))
+    p = points.join(levels, "page").withColumns({"cx": cell(F.col("x")), "cy": cell(F.col("y"))})
+    hit = p.join(b, ["page", "level", "cx", "cy"]).filter(F.col("x").between(F.col("x_lo"), F.col("x_hi")) & F.col("y").between(F.col("y_lo"), F.col("y_hi")))
+    return hit.groupBy(key).agg(F.min_by("component_id", F.struct("ord", "component_id")).alias("component_id"))
+
+
 def bound_endpoints(lines: DataFrame, boxes: DataFrame) -> DataFrame:
     """Lines (line_id, page, x1, y1, x2, y2) whose ends lie in two different components (component_id, page, ord,
-    x, y, w, h), with BBOX_MARGIN around each; of several the first in order. An equality on the page keeps the
-    range condition from comparing all with all."""
-    m = BBOX_MARGIN
+    x, y, w, h), with BBOX_MARGIN around each; of several the first in order."""
 
     def at(x: str, y: str, name: str) -> DataFrame:
-        hit = lines.alias("l").join(boxes.alias("b"), (F.col("l.page") == F.col("b.page")) & F.col(f"l.{x}").between(F.col("b.x") - m, F.col("b.x") + F.col("b.w") + m) & F.col(f"l.{y}").between(F.col("b.y") - m, F.col("b.y") + F.col("b.h") + m))
-        return hit.groupBy("l.line_id").agg(F.min_by("b.component_id", F.struct("b.ord", "b.component_id")).alias(name))
+        ends = lines.select("line_id", "page", F.col(x).alias("x"), F.col(y).alias("y"))
+        return components_at(ends, boxes, "line_id").withColumnRenamed("component_id", name)
 
     return at("x1", "y1", "from_id").join(at("x2", "y2", "to_id"), "line_id").filter("from_id <> to_id")
 

@@ -59,8 +59,7 @@ class KnowledgeEngine:
         rows = chunking.numbered(chunking.chunks(pages, c.size, c.overlap, c.parent_size)).withColumns({"knowledge_id": F.lit(knowledge_id), "source_type": F.lit(source_type)})
         header = T.context_header(F.col("source_id").cast("string"), F.col("source_type"), F.col("page_number"), F.col("section"))
         rows = rows.withColumn("embedding_text", F.concat(header, F.lit("\n\n"), F.col("content")))
-        rows = embedded(rows, self.embeddings, "embedding_text") if self.embeddings else rows.withColumn("embedding", F.lit(None).cast("array<float>"))
-        rows = sparse_embedded(rows, self.sparse, "embedding_text") if self.sparse else rows.withColumn("sparse", F.lit(None).cast("array<struct<idx:int,val:double>>"))
+        rows = self._with_vectors(rows)
         note = self._ingest_entities(pages, knowledge_id) if self.extractor else None
         done = new.drop("_n").withColumns({"knowledge_id": F.lit(knowledge_id), "source_type": F.lit(source_type), "embedding_model": F.lit(model_name(self.embeddings) if self.embeddings else ""), "stale": F.lit(False), "status": F.lit("completed"), "note": F.lit(note).cast("string"), "created_at": F.current_timestamp()})
         before = self.chunks.current()
@@ -72,6 +71,14 @@ class KnowledgeEngine:
             raise
         return self.sources.read().filter(F.col("knowledge_id") == knowledge_id)
 
+    def _with_vectors(self, rows: DataFrame) -> DataFrame:
+        rows = embedded(rows, self.embeddings, "embedding_text") if self.embeddings else rows.withColumn("embedding", F.lit(None).cast("array<float>"))
+        return sparse_embedded(rows, self.sparse, "embedding_text") if self.sparse else rows.withColumn("sparse", F.lit(None).cast("array<struct<idx:int,val:double>>"))
+
+    def add_chunks(self, rows: DataFrame) -> None:
+        """Rows that are chunks already, with their ``embedding_text``; whoever calls commits the sources."""
+        self.chunks.upsert(self._with_vectors(rows))
+
     def _ingest_entities(self, pages: DataFrame, knowledge_id: str) -> str | None:
         """What the extractor (a text to dicts of name, type, category, value) finds on the pages; a note if it fails."""
         extract = self.extractor.extract

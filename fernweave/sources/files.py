@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import strip
+
 MAX_PDF_BYTES, MAX_PDF_PAGES = 500 << 20, 5_000
 TEXT_TYPES, IMAGE_TYPES = ("txt", "md", "text"), ("jpg", "jpeg", "png", "gif", "webp")
 
@@ -50,6 +52,36 @@ def parsed_pages(binaries: DataFrame, parse: Callable[[bytes], list[str]], most_
     return binaries.select("path", "content").mapInPandas(run, "path string, page_number int, content string, error string")
 
 
+def page_images(binaries: DataFrame, split: Callable[[bytes], Iterable[tuple[bytes, str, bool]]], pages: Iterable[int] | None = None, most_bytes: int = MAX_PDF_BYTES, most_pages: int = MAX_PDF_PAGES) -> DataFrame:
+    """Pages as images, by a splitter plug-in that gives each page's image, text and whether it holds pictures; only the
+    given pages, if any. (path, page_number, image, raw_text, has_images, error, raw_text_char_count, page_hash.)
+    What fails, or is too large, gives one row with an error. One page at a time goes out, so a file's images are
+    never all in memory."""
+    wanted = set(pages) if pages is not None else None
+    names = ["path", "page_number", "image", "raw_text", "has_images", "error"]
+
+    def frame(*row) -> pd.DataFrame:
+        out = pd.DataFrame([row], columns=names)
+        return out.astype({"page_number": "Int32", "has_images": "boolean"})
+
+    def run(batches):
+        for b in batches:
+            for path, content in zip(b["path"], b["content"]):
+                try:
+                    if len(content) > most_bytes:
+                        raise ValueError(f"larger than {most_bytes} bytes")
+                    for k, (image, text, pictures) in enumerate(split(bytes(content)), 1):
+                        if k > most_pages:
+                            raise ValueError(f"more than {most_pages} pages")
+                        if wanted is None or k in wanted:
+                            yield frame(path, k, bytes(image), text or "", bool(pictures), None)
+                except Exception as e:
+                    yield frame(path, None, None, None, None, f"{type(e).__name__}: {e}")
+
+    d = binaries.select("path", "content").mapInPandas(run, "path string, page_number int, image binary, raw_text string, has_images boolean, error string")
+    return d.withColumns({"raw_text_char_count": F.length(strip(F.col("raw_text"))), "page_hash": F.substring(F.sha2("image", 256), 1, 32)})
+
+
 def page_range(text: str) -> list[int]:
     """"1-3,8" as page numbers; blank parts are skipped, anything else that isn't a range raises."""
     out: set[int] = set()

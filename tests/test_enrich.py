@@ -36,7 +36,7 @@ def test_drawings_become_graphs(spark):
     comps = spark.createDataFrame([("R1", "R-1", "resistor", "el", 1), ("V1", "", "valve", "el", 1)], "component_id string, label string, symbol_class string, domain string, page int")
     wires = spark.createDataFrame([("R1", "V1", "power", {"b": "2", "a": "x;y"}), ("V1", "Z9", "odd", {})], "from_component string, to_component string, wire_style string, properties map<string,string>")
     got = {(r.from_name, r.from_type, r.to_name, r.to_type, r.relation_type, r.context) for r in enrich.drawing_relations(wires, comps).collect()}
-    assert got == {("R-1", "resistor", "V1", "valve", "POWERED_BY", "a='x;y';b=2"), ("V1", "valve", "Z9", "component", "CONNECTS_TO", "")}
+    assert got == {("R1", "resistor", "V1", "valve", "POWERED_BY", "a='x;y';b=2"), ("V1", "valve", "Z9", "component", "CONNECTS_TO", "")}
 
 
 def test_source_lookups(spark):
