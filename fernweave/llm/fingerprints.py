@@ -24,8 +24,8 @@ PARAGRAPH = r"\n|(?<=[.!?])\s+"
 #: Cells of each of a fingerprint's three parts; of the blocks' sketches, from one try to the next; digests in a block.
 PART, BLOCK_PARTS, IN_BLOCK = 4, (8, 16, 32), 6
 ROUNDS = 10
-#: Rows in a bucket of neighbours, and buckets at most.
-BUCKET_ROWS, MAX_BUCKETS = 512, 1 << 18
+#: Rows in a bucket of neighbours, and buckets at most; of so many sampled keys each last one begins a bucket.
+BUCKET_ROWS, MAX_BUCKETS, SAMPLED = 128, 1 << 16, 4
 
 _CELL0 = "named_struct('n', 0, 'k', 0L, 'c', 0L)"
 
@@ -107,11 +107,11 @@ def with_next(docs: DataFrame, id_col: str, extra: dict[str, Column]) -> DataFra
     descending order of the id, after the last the first. Rows without an id come last, rows of one id in the
     order of their texts' digests; ids may be of any type that has an order.
 
-    One shuffle of the texts, to buckets of neighbours: a bucket begins at each row whose hash lies below a bound,
-    which is one row in BUCKET_ROWS. Rows of one id, or of none, are spread by their texts' digests; only rows
+    One shuffle of the texts, to buckets of neighbours: rows whose hash lies below a bound, SAMPLED in BUCKET_ROWS,
+    are sampled, and a bucket begins at each SAMPLED-th of them, which makes the buckets more alike. Rows of one id, or of none, are spread by their texts' digests; only rows
     that repeat id and text meet in one bucket, where sorting spills. Beside a bucket's own rows goes a copy of the
     row that follows its last one. The buckets' beginnings and first rows stay frames, and are broadcast: at most
-    some MAX_BUCKETS rows of an id and a number. To the driver goes the number of rows.
+    some MAX_BUCKETS rows of an id and a number (SAMPLED times that while they are drawn). To the driver goes the number of rows.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     # Descending order of the key is the order of rows: no id is less than any.
@@ -120,8 +120,9 @@ def with_next(docs: DataFrame, id_col: str, extra: dict[str, Column]) -> DataFra
     n = d.agg(F.count(F.lit(1))).first()[0]
     buckets = min(MAX_BUCKETS, n // BUCKET_ROWS)
     if buckets > 1:
-        below = F.shiftrightunsigned(F.xxhash64("_key", F.lit(5)), 1) <= F.lit(int(((1 << 63) - 1) * buckets // n))
-        known = d.filter(below).agg(F.array_sort(F.collect_set("_key")).alias("_known"))  # one row
+        below = F.shiftrightunsigned(F.xxhash64("_key", F.lit(5)), 1) <= F.lit(int(((1 << 63) - 1) * min(n, SAMPLED * buckets) // n))
+        drawn = F.array_sort(F.collect_set("_key"))
+        known = d.filter(below).agg(F.filter(drawn, lambda _, i: i % SAMPLED == SAMPLED - 1).alias("_known"))  # one row
         steps = F.array(*[F.lit(1 << k) for k in reversed(range((2 * MAX_BUCKETS).bit_length()))])
         step = lambda acc, s: acc + F.when((acc + s <= F.size("_known")) & (F.get("_known", acc + s - 1) <= F.col("_key")), s).otherwise(0)
         d = d.crossJoin(F.broadcast(known)).withColumn("_bucket", F.aggregate(steps, F.lit(0), step)).drop("_known")
