@@ -116,11 +116,27 @@ BROADCAST_BYTES, SALTS = 16 << 20, 16
 def looked_up(rows: DataFrame, found: DataFrame, keys: list[str], size: int, how: str) -> DataFrame:
     """``rows`` joined (inner, left or left_anti) with ``found``, which has ``size`` bytes, or fewer. A small one is
     broadcast. Otherwise rows of one key, of which there may be very many, are dealt over SALTS places, to each of
-    which all of ``found`` goes."""
+    which all of ``found`` goes. The places are drawn by the rows' order: ``rows`` must come straight from files, whose
+    order a task that runs again finds unchanged, not out of a shuffle."""
     if size <= BROADCAST_BYTES:
         return rows.join(F.broadcast(found), keys, how)
     everywhere = found.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return rows.withColumn("_salt", F.floor(F.rand(7) * SALTS).cast("int")).join(everywhere, [*keys, "_salt"], how).drop("_salt")
+    salt = F.floor(F.rand(7) * SALTS).cast("int")
+    return rows.withColumn("_salt", salt).join(everywhere, [*keys, "_salt"], how).drop("_salt")
+
+
+#: Keys with more rows than HOT_ROWS, and than a HOT_KEYS-th of all rows, are looked up by a broadcast.
+HOT_ROWS, HOT_KEYS = 256, 100_000
+
+
+def spread(rows: DataFrame, per_key: DataFrame, key: str, n: int) -> DataFrame:
+    """``rows``, of which there are at most ``n``, joined (inner) with ``per_key``: one row a key, with the number of the
+    key's rows as ``_c``. No task gets all rows of a key that has very many: of such keys, HOT_KEYS at most by that
+    number, the few columns of ``per_key`` are broadcast, and their rows stay where they are."""
+    many = F.col("_c") > max(HOT_ROWS, n // HOT_KEYS)
+    hot, others = F.broadcast(per_key.filter(many)), per_key.filter(~many)
+    cold = rows.join(F.broadcast(per_key.filter(many).select(key)), key, "left_anti")
+    return rows.join(hot, key).unionByName(cold.join(others, key)).drop("_c")
 
 
 def over_batches(docs: DataFrame, run) -> DataFrame:

@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_whole_groups, dropped, looked_up, written
+from .common import by_whole_groups, dropped, looked_up, spread, written
 from .words import Hashes, mixed, shingles, words_of
 
 COORDINATES = 64
@@ -237,7 +237,7 @@ def _candidates(classes: DataFrame, similarity: float, recall: float) -> tuple[D
     for depth in range(FIRST_DEPTH, LAST_DEPTH + 1, STEP):
         frontier = written(frontier)
         sizes = frontier.groupBy("_path").agg(F.count(F.lit(1)).alias("_size"), F.min("_row").alias("_hub")).filter("_size > 1")
-        shared = written(frontier.join(sizes, "_path"))
+        shared = written(spread(frontier, sizes.withColumn("_c", F.col("_size")), "_path", frontier.count()))
         dropped(shared.sparkSession, frontier)
         held.append(shared)
         found = _compared(shared.filter(F.col("_size") <= LEAF).select("_path", "_row").join(values, "_row"), leaf_share(similarity, recall))
@@ -262,16 +262,16 @@ def components(edges: DataFrame, most: int = 100) -> DataFrame:
             return e
         # Large star: every greater neighbour goes to the least one.
         both = e.unionByName(e.select(F.col("_b").alias("_a"), F.col("_a").alias("_b")))
-        m = both.groupBy("_a").agg(F.least(F.min("_b"), F.first("_a")).alias("_m"))
-        large = both.join(m, "_a").filter("_b > _a").select(F.col("_b").alias("_a"), F.col("_m").alias("_b")).distinct()
+        m = both.groupBy("_a").agg(F.least(F.min("_b"), F.first("_a")).alias("_m"), F.count(F.lit(1)).alias("_c"))
+        large = written(spread(both, m, "_a", 2 * n).filter("_b > _a").select(F.col("_b").alias("_a"), F.col("_m").alias("_b")).distinct())
         # Small star: all lesser neighbours, and the node itself, go to the least one.
-        m = large.groupBy("_a").agg(F.min("_b").alias("_m"))
-        near = large.join(m, "_a")
+        m = large.groupBy("_a").agg(F.min("_b").alias("_m"), F.count(F.lit(1)).alias("_c"))
+        near = spread(large, m, "_a", n)
         small = near.select(F.explode(F.array(F.struct(F.col("_a"), F.col("_m").alias("_b")), F.struct(F.col("_b").alias("_a"), F.col("_m").alias("_b")))).alias("x")).select("x.*").filter("_a > _b").distinct()
         new = written(small)
         now = new.count()
         done = now == n and new.join(e, ["_a", "_b"], "left_anti").isEmpty()
-        dropped(spark, e)
+        dropped(spark, e, large)
         e, n = new, now
         if done:
             return e
@@ -380,13 +380,14 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, rec
     linked = written(_linked(with_sets, similarity))
     final = components(linked.filter("_hub <> _row").select(F.greatest("_row", "_hub").alias("_a"), F.least("_row", "_hub").alias("_b")).distinct())
     links = linked.groupBy("_row").agg(F.sum("_links").alias("_links"))
-    per_class = copies.join(_grouped(final), "_row", "left").join(links, "_row", "left").withColumn("_root", F.coalesce("_root", "_row"))
-    least = per_class.groupBy("_root").agg(F.min("_least").alias("_class"))
-    per_class = per_class.join(least, "_root").select("_sig", "_class", (F.col("_weight") - 1 + F.coalesce("_links", F.lit(0))).alias("_links"))
-    rows = worded.select("_id", "_th", "_sig").join(per_class, "_sig").select("_id", "_th", "_class", "_links")
+    per_class = written(copies.join(_grouped(final), "_row", "left").join(links, "_row", "left").withColumn("_root", F.coalesce("_root", "_row")))
+    least = per_class.groupBy("_root").agg(F.min("_least").alias("_class"), F.count(F.lit(1)).alias("_c"))
+    n = base.count()
+    of_texts = spread(per_class, least, "_root", n).select("_sig", "_class", (F.col("_weight") - 1 + F.coalesce("_links", F.lit(0))).alias("_links"), F.col("_weight").alias("_c"))
+    rows = spread(worded.select("_id", "_th", "_sig"), of_texts, "_sig", n).select("_id", "_th", "_class", "_links")
     alone = base.filter("_sig IS NULL").select("_id", "_th", F.col("_id").alias("_class"), F.lit(0).cast("long").alias("_links"))
     out = written(rows.unionByName(alone))
-    dropped(spark, base, copies, classes, maybe, members, sizes, linked, final)
+    dropped(spark, base, copies, classes, maybe, members, sizes, linked, final, per_class)
     return out.select(F.col("_id").alias(id_col), F.col("_class").alias("class_id"), F.col("_links").alias("n_links"), F.col("_th").alias("text_hash"))
 
 

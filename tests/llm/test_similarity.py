@@ -141,3 +141,29 @@ def test_recall_at_the_registered_rate(spark):
     found = sum(got[2 * k + 1] == 2 * k for k in alike)
     assert len(alike) > 1400 and found >= 0.985 * len(alike)
     assert all(got[i] == i or i % 2 for i in got)
+
+
+def test_rows_of_hot_keys_are_joined_whole(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 3)
+    keys = [1] * 40 + [2] * 3 + [3] + [None]
+    rows = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "k long, i int")
+    per = rows.groupBy("k").agg(F.max("i").alias("m"), F.count(F.lit(1)).alias("_c"))
+    got = sorted(map(tuple, common.spread(rows, per, "k", len(keys)).select("k", "i", "m").collect()))
+    assert got == sorted((k, i, {1: 39, 2: 42, 3: 43}[k]) for i, k in enumerate(keys) if k)
+
+
+def test_components_with_hubs_equal_a_union_find(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 5)
+    edges = {(i, 0) for i in range(1, 60)} | {(1000, i) for i in range(500, 560)} | {(i + 1, i) for i in range(200, 240)} | {(300, 20), (301, 300), (710, 705)}
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    got = {r._a: r._b for r in similarity.components(spark.createDataFrame(sorted(edges), "_a long, _b long")).collect()}
+    assert got == {x: find(x) for x in list(root) if find(x) != x}
