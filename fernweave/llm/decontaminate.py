@@ -180,7 +180,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, id_col:
     zero = F.struct(F.lit(0).alias("n"), F.lit(0).alias("upto"))
     covered = F.aggregate("x", zero, lambda a, s: F.struct((a["n"] + F.greatest(F.lit(0), s["end"] - F.greatest(s["start"], a["upto"]))).alias("n"), F.greatest(a["upto"], s["end"]).alias("upto")), lambda a: a["n"])
     hit = found.groupBy("_row").agg(spans.alias("x")).select("_row", covered.cast("long").alias("n_hit"))
-    named = looked_up(found.select("_row", "win").distinct(), items, ["win"], 120 * items.count(), "inner")
+    named = looked_up(found.select("_row", "win"), items, ["win"], 120 * items.count(), "inner")
     of_row = named.groupBy("_row").agg(F.array_sort(F.collect_set("item")).alias("_items"))
     out = scanned.select("_row", "_id", "n_words").join(hit, "_row", "left").join(of_row, "_row", "left")
     n_hit, listed = F.coalesce("n_hit", F.lit(0)).cast("long"), F.coalesce(F.array_join("_items", ","), F.lit(""))
