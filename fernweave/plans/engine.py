@@ -28,7 +28,7 @@ class KnowledgeEngine:
         self.retrieval, self.routing, self.chunking = retrieval or RetrievalConfig(), routing or RoutingConfig(), chunks or ChunkingConfig()
         self.generator = generator or ExtractiveGenerator()
         self.sources = SnapshotTable(spark, f"{path}/sources", ["source_id"])
-        self.chunks = SnapshotTable(spark, f"{path}/chunks", ["chunk_id"], ["knowledge_id"])
+        self.chunks = SnapshotTable(spark, f"{path}/chunks", ["chunk_id"], ["source_id"], ["knowledge_id"])
         self.entities = SnapshotTable(spark, f"{path}/entities", ["entity_id"])
         self.relations = SnapshotTable(spark, f"{path}/relations", ["from_id", "relation_type", "to_id", "source_id"])
 

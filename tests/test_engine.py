@@ -233,3 +233,28 @@ def test_words_of_queries_are_cut_as_texts_are(spark):
     d = spark.createDataFrame([(1, "use c++ and the pump"), (2, "nothing")], "doc_id int, text string")
     found = lambda q: [r.doc_id for r in search.all_terms_hits(d, q).collect()]
     assert found("C++") == [1] == found("the, pump") and found("") == [] == found(" !! ")
+
+
+def test_only_touched_buckets_are_written_again(spark, tmp_path):
+    t = SnapshotTable(spark, str(tmp_path / "t"), ["k", "n"], ["k"], ["v"])
+    rows = lambda *x: spark.createDataFrame(list(x), "k int, n int, v string")
+    t.upsert(rows())
+    assert t.count() == 0 and t.read().columns == ["k", "n", "v"]
+    t.upsert(rows(*[(k, n, f"{k}.{n}") for k in range(40) for n in range(3)], (1, 1, "again")))
+    assert t.count() == 120
+    before = t._last()["buckets"]
+    t.upsert(rows((5, 0, "new"), (5, 9, "more")))
+    after = t._last()["buckets"]
+    assert sum(before[b] != after[b] for b in before) == 1 and t.count() == 121 and t.read().filter("k = 5 AND n = 0").first().v == "new"
+    assert t.delete(k=7) == 3 and t.delete(k=7) == 0 and t.count() == 118
+    was = t.current()
+    t.upsert(rows())
+    assert t.current() == was
+    t.upsert(spark.createDataFrame([(5, 0, "wide"), (1 << 40, 0, "x")], "k long, n int, v string"))
+    assert t.count() == 119 and t.read().filter("k = 5 AND n = 0").first().v == "wide" and dict(t.read().dtypes)["k"] == "bigint"
+    t.upsert(rows((5, 0, "narrow")))
+    assert t.count() == 119 and t.read().filter("k = 5 AND n = 0").first().v == "narrow"
+    t.restore(was)
+    assert t.count() == 118
+    t.delete(n=[0, 1, 2, 9])
+    assert t.count() == 0 and t.read().columns == ["k", "n", "v"]
