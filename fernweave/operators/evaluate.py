@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -76,3 +78,10 @@ def relevance_gate(contexts: DataFrame, relevant, best: str = "best", threshold:
 
     out = mapped(contexts, lambda x: str(bool(relevant(x))).lower(), text)
     return out.withColumn("passed", F.coalesce(F.col("value").cast("boolean"), F.col(best) >= threshold, F.lit(False))).drop("value")
+
+
+def measured(cases: DataFrame, metrics: dict[str, Callable[[Column, Column], Column]], prediction: str = "prediction", reference: str = "reference") -> tuple[DataFrame, DataFrame]:
+    """Metrics of one's own, by name: functions of two columns to a number. The cases with a column each, and one row of
+    their means over the cases that have a value."""
+    each = cases.withColumns({name: fn(F.col(prediction), F.col(reference)).cast("double") for name, fn in metrics.items()})
+    return each, each.agg(F.count(F.lit(1)).alias("n_cases"), *[F.avg(name).alias(name) for name in metrics])

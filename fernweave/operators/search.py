@@ -6,6 +6,7 @@ Query frames are parameters (a few rows up to a batch of BATCH); larger sets are
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -19,22 +20,30 @@ OVER_FETCH = 4
 BATCH = 10_000
 
 
-def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+Cut = Callable[[Column], Column]
+
+
+def _terms(text_col: str, cut: Cut, stored: str | None) -> Column:
+    """A text's terms in order: from the column that holds them already, or cut now; none for a null text."""
+    return F.coalesce(F.col(stored) if stored else cut(F.coalesce(F.col(text_col), F.lit(""))), F.array().cast("array<string>"))
+
+
+def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cut: Cut = tokens, stored: str | None = None) -> DataFrame:
     """(id, term, tf, dl): one shuffle, counted before it on each side of it."""
-    toks = docs.select(F.col(id_col), tokens(F.col(text_col)).alias("_t"))
+    toks = docs.select(F.col(id_col), _terms(text_col, cut, stored).alias("_t"))
     each = toks.select(id_col, F.size("_t").alias("dl"), F.explode("_t").alias("term"))
     return each.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
 
 
-def corpus_stats(docs: DataFrame, text_col: str = "text") -> DataFrame:
+def corpus_stats(docs: DataFrame, text_col: str = "text", cut: Cut = tokens, stored: str | None = None) -> DataFrame:
     """One row: n_docs, avgdl."""
-    n = F.size(tokens(F.coalesce(F.col(text_col), F.lit(""))))
+    n = F.size(_terms(text_col, cut, stored))
     return docs.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(n).alias("avgdl"))
 
 
-def document_frequency(docs: DataFrame, text_col: str = "text") -> DataFrame:
+def document_frequency(docs: DataFrame, text_col: str = "text", cut: Cut = tokens, stored: str | None = None) -> DataFrame:
     """(term, df): each text's distinct terms, counted before the shuffle, so that it carries a vocabulary a task."""
-    return docs.select(F.explode(F.array_distinct(tokens(F.col(text_col)))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    return docs.select(F.explode(F.array_distinct(_terms(text_col, cut, stored))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
 def term_idf(df: DataFrame, stats: DataFrame) -> DataFrame:
@@ -44,15 +53,16 @@ def term_idf(df: DataFrame, stats: DataFrame) -> DataFrame:
     return raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, F.col("mean") * EPSILON).otherwise(F.col("raw")).alias("idf"))
 
 
-def bm25_scores(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(query_id, id, score > 0). ``queries``: query_id, query. A term asked twice counts twice.
+def bm25_scores(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", text_col: str = "text", cut: Cut = tokens, stored: str | None = None) -> DataFrame:
+    """(query_id, id, score > 0). ``queries``: query_id, query. A term asked twice counts twice. ``cut`` makes terms of
+    texts and queries; ``stored`` names a column of the texts that holds theirs.
 
     Only the queries' terms of a text are counted: they are met by a broadcast join before the shuffle."""
-    asked = queries.select("query_id", F.explode(tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("n"))
-    stats = corpus_stats(docs, text_col)
-    idf = term_idf(document_frequency(docs, text_col), stats)
+    asked = queries.select("query_id", F.explode(cut(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("n"))
+    stats = corpus_stats(docs, text_col, cut, stored)
+    idf = term_idf(document_frequency(docs, text_col, cut, stored), stats)
     wanted = asked.join(idf, "term").select("query_id", "term", "n", "idf")  # as many rows as the queries have terms
-    toks = docs.select(F.col(id_col), tokens(F.col(text_col)).alias("_t"))
+    toks = docs.select(F.col(id_col), _terms(text_col, cut, stored).alias("_t"))
     met = toks.select(id_col, F.size("_t").alias("dl"), F.explode("_t").alias("term")).join(F.broadcast(asked.select("term").distinct()), "term")
     counted = met.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
     weight = F.col("n") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))

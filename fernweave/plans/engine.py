@@ -72,6 +72,8 @@ class KnowledgeEngine:
         return self.sources.read().filter(F.col("knowledge_id") == knowledge_id)
 
     def _with_vectors(self, rows: DataFrame) -> DataFrame:
+        """Vectors, and the terms that keyword search counts: cut once here, not by every query."""
+        rows = rows.withColumn("terms", T.tokens(F.coalesce("content", F.lit(""))))
         rows = embedded(rows, self.embeddings, "embedding_text") if self.embeddings else rows.withColumn("embedding", F.lit(None).cast("array<float>"))
         return sparse_embedded(rows, self.sparse, "embedding_text") if self.sparse else rows.withColumn("sparse", F.lit(None).cast("array<struct<idx:int,val:double>>"))
 
@@ -171,7 +173,7 @@ class KnowledgeEngine:
                 hits = hits.select("query_id", "chunk_id", "score", F.row_number().over(Window.partitionBy("query_id").orderBy("rank")).alias("rank"))
             out["semantic"] = (hits, r.dense_weight, content)
         if r.keyword_weight:
-            hits = search.top_k(search.bm25_scores(chunks, queries, "chunk_id", "content"), fetch, "chunk_id")
+            hits = search.top_k(search.bm25_scores(chunks, queries, "chunk_id", "content", stored="terms"), fetch, "chunk_id")
             out["keyword"] = (hits, r.keyword_weight, chunks.select(*shown))
         entities = self.entities.read()
         if r.entity_weight and entities is not None:

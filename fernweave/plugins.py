@@ -187,3 +187,26 @@ def mapped(df: DataFrame, fn, text: str = "text") -> DataFrame:
         return pd.DataFrame(rows, columns=["value", "error"])
 
     return df.withColumn("_r", call(F.col(text))).select("*", "_r.value", "_r.error").drop("_r")
+
+
+def metered(df: DataFrame, fn, text: str = "text") -> DataFrame:
+    """mapped() for a plug-in that gives a text and what it used, a dict: adds ``input_tokens`` and ``output_tokens``,
+    0 where the dict doesn't say or the plug-in fails."""
+
+    @F.pandas_udf("value string, error string, input_tokens long, output_tokens long")
+    def call(texts: pd.Series) -> pd.DataFrame:
+        rows = []
+        for x in texts:
+            try:
+                value, used = fn(x)
+                rows.append((value, None, *[max(0, int((used or {}).get(k) or 0)) for k in ("input_tokens", "output_tokens")]))
+            except Exception as e:
+                rows.append((None, f"{type(e).__name__}: {e}", 0, 0))
+        return pd.DataFrame(rows, columns=["value", "error", "input_tokens", "output_tokens"])
+
+    return df.withColumn("_r", call(F.col(text))).select("*", "_r.*").drop("_r")
+
+
+def usage(rows: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Calls, failures and tokens of metered() rows, in all or by columns."""
+    return rows.groupBy(*(by or [])).agg(F.count(F.lit(1)).alias("calls"), F.count("error").alias("failures"), F.coalesce(F.sum("input_tokens"), F.lit(0)).alias("input_tokens"), F.coalesce(F.sum("output_tokens"), F.lit(0)).alias("output_tokens"))

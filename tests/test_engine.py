@@ -2,6 +2,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
+from fernweave import plugins
 from fernweave.errors import ConfigurationError, DuplicateSourceError, MemoryNotFoundError, SourceNotFoundError
 from fernweave.operators import enrich, evaluate, search, structured
 from fernweave.plans.config import ChunkingConfig, MemoryConfig, RetrievalConfig, RoutingConfig
@@ -258,3 +259,18 @@ def test_only_touched_buckets_are_written_again(spark, tmp_path):
     assert t.count() == 118
     t.delete(n=[0, 1, 2, 9])
     assert t.count() == 0 and t.read().columns == ["k", "n", "v"]
+
+
+def test_own_metrics_cuts_and_usage(spark):
+    cases = spark.createDataFrame([("a b", "a b"), ("a", "b c"), (None, "x")], "prediction string, reference string")
+    each, means = evaluate.measured(cases, {"same": lambda p, r: (p == r).cast("int"), "shorter": lambda p, r: F.length(p) < F.length(r)})
+    row = means.first()
+    assert (row.n_cases, row.same, row.shorter) == (3, 0.5, 0.5) and each.columns == ["prediction", "reference", "same", "shorter"]
+    docs = spark.createDataFrame([(1, "red-green blue", ["red-green", "blue"]), (2, "green", ["green"]), (3, None, None), (4, "x", ["x"])], "doc_id int, text string, terms array<string>")
+    q = spark.createDataFrame([(1, "green")], "query_id int, query string")
+    cut = lambda c: F.split(F.lower(c), " ")
+    found = lambda **how: {r.doc_id: round(r.score, 9) for r in search.bm25_scores(docs, q, **how).collect()}
+    assert set(found(cut=cut)) == {2} and set(found(stored="terms")) == {2}
+    calls = spark.createDataFrame([("a",), ("bb",), ("boom",)], "text string")
+    m = plugins.metered(calls, lambda x: (x.upper(), {"input_tokens": len(x), "output_tokens": None}) if x != "boom" else 1 / 0)
+    assert tuple(plugins.usage(m).first()) == (3, 1, 3, 0) and {r.value for r in m.collect()} == {"A", "BB", None}
