@@ -110,8 +110,8 @@ def with_next(docs: DataFrame, id_col: str, extra: dict[str, Column]) -> DataFra
     One shuffle of the texts, to buckets of neighbours: rows whose hash lies below a bound, SAMPLED in BUCKET_ROWS,
     are sampled, and a bucket begins at each SAMPLED-th of them, which makes the buckets more alike. Rows of one id, or of none, are spread by their texts' digests; only rows
     that repeat id and text meet in one bucket, where sorting spills. Beside a bucket's own rows goes a copy of the
-    row that follows its last one. The buckets' beginnings and first rows stay frames, and are broadcast: at most
-    some MAX_BUCKETS rows of an id and a number (SAMPLED times that while they are drawn). To the driver goes the number of rows.
+    row that follows its last one. The buckets' beginnings are a scalar subquery, their first rows are broadcast: at
+    most some MAX_BUCKETS ids and numbers each (SAMPLED times that while they are drawn); to the driver goes the number of rows besides.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     # Descending order of the key is the order of rows: no id is less than any.
@@ -122,10 +122,12 @@ def with_next(docs: DataFrame, id_col: str, extra: dict[str, Column]) -> DataFra
     if buckets > 1:
         below = F.shiftrightunsigned(F.xxhash64("_key", F.lit(5)), 1) <= F.lit(int(((1 << 63) - 1) * min(n, SAMPLED * buckets) // n))
         drawn = F.array_sort(F.collect_set("_key"))
-        known = d.filter(below).agg(F.filter(drawn, lambda _, i: i % SAMPLED == SAMPLED - 1).alias("_known"))  # one row
-        steps = F.array(*[F.lit(1 << k) for k in reversed(range((2 * MAX_BUCKETS).bit_length()))])
-        step = lambda acc, s: acc + F.when((acc + s <= F.size("_known")) & (F.get("_known", acc + s - 1) <= F.col("_key")), s).otherwise(0)
-        d = d.crossJoin(F.broadcast(known)).withColumn("_bucket", F.aggregate(steps, F.lit(0), step)).drop("_known")
+        # One value, held once a task: a row of a join would carry all of it along with each row.
+        known = d.filter(below).agg(F.filter(drawn, lambda _, i: i % SAMPLED == SAMPLED - 1).alias("_known")).scalar()
+        d = d.withColumn("_bucket", F.lit(0))
+        for k in reversed(range((2 * buckets).bit_length())):  # how many bounds the key has reached, by halving
+            at = F.col("_bucket") + F.lit(1 << k)
+            d = d.withColumn("_bucket", F.when((at <= F.size(known)) & (F.get(known, at - 1) <= F.col("_key")), at).otherwise(F.col("_bucket")))
     else:
         d = d.withColumn("_bucket", F.lit(0))
     # The first row of each bucket that has any is needed in the next one above too, the first of all at the end of the lowest.
