@@ -49,33 +49,44 @@ def page_vectors(pages: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     return described.unionByName(raw).unionByName(rows)
 
 
-def components_at(points: DataFrame, boxes: DataFrame, key: str) -> DataFrame:
-    """For each of points (key, page, x, y) the first in order of the boxes (component_id, page, ord, x, y, w, h) that it
-    lies in, with BBOX_MARGIN around each; points in none are left out.
+def _first_boxes(points: DataFrame, boxes: DataFrame) -> DataFrame:
+    """``points`` (page, x, y and what else they have) with boxes that each lies in as ``first`` (ord, component_id): the
+    first in order among them, and few others.
 
-    A box lies in at most four cells of a grid about as wide as itself; a point looks into one cell of each such
-    grid that its page has. So a page of many boxes is neither one task nor all pairs."""
+    A box lies in some cells (25 at most) of a grid about a quarter as wide as itself; a point looks into one cell of
+    each such grid that its page has. Of boxes with the same bounds only the first can be asked for, and in a cell none
+    behind the first box that covers the cell: so boxes stacked on each other don't meet their points in all pairs."""
     m = BBOX_MARGIN
     cell = lambda v: F.floor(v / F.pow(F.lit(2.0), F.col("level"))).cast("long")
     b = boxes.select("component_id", "page", "ord", (F.col("x") - m).alias("x_lo"), (F.col("x") + F.col("w") + m).alias("x_hi"), (F.col("y") - m).alias("y_lo"), (F.col("y") + F.col("h") + m).alias("y_hi"))
+    b = b.filter("x_lo <= x_hi AND y_lo <= y_hi").groupBy("page", "x_lo", "x_hi", "y_lo", "y_hi").agg(F.min(F.struct("ord", "component_id")).alias("first"))
     wide = F.greatest(F.col("x_hi") - F.col("x_lo"), F.col("y_hi") - F.col("y_lo"), F.lit(1)).cast("double")
-    b = b.withColumn("level", F.ceil(F.log2(wide)).cast("int"))
+    b = b.withColumn("level", F.ceil(F.log2(wide)).cast("int") - 2)
     levels = b.select("page", "level").distinct()
-    b = b.withColumn("cx", F.explode(F.sequence(cell(F.col("x_lo")), cell(F.col("x_hi"))))).withColumn("cy", F.explode(F.sequence(cell(F.col("y_lo")), cell(F.col("y_hi")))))
+    cells = b.withColumn("cx", F.explode(F.sequence(cell(F.col("x_lo")), cell(F.col("x_hi"))))).withColumn("cy", F.explode(F.sequence(cell(F.col("y_lo")), cell(F.col("y_hi")))))
+    # A cell strictly between those of the bounds is covered, however the division rounds.
+    covers = (F.col("cx") > cell(F.col("x_lo"))) & (F.col("cx") < cell(F.col("x_hi"))) & (F.col("cy") > cell(F.col("y_lo"))) & (F.col("cy") < cell(F.col("y_hi")))
+    keys = ["page", "level", "cx", "cy"]
+    last = cells.filter(covers).groupBy(*keys).agg(F.min("first").alias("last"))
+    cells = cells.join(last, keys, "left").filter("last IS NULL OR first <= last").drop("last")
     p = points.join(levels, "page").withColumns({"cx": cell(F.col("x")), "cy": cell(F.col("y"))})
-    hit = p.join(b, ["page", "level", "cx", "cy"]).filter(F.col("x").between(F.col("x_lo"), F.col("x_hi")) & F.col("y").between(F.col("y_lo"), F.col("y_hi")))
-    return hit.groupBy(key).agg(F.min_by("component_id", F.struct("ord", "component_id")).alias("component_id"))
+    return p.join(cells, keys).filter(F.col("x").between(F.col("x_lo"), F.col("x_hi")) & F.col("y").between(F.col("y_lo"), F.col("y_hi")))
+
+
+def components_at(points: DataFrame, boxes: DataFrame, key: str) -> DataFrame:
+    """For each of points (key, page, x, y) the first in order of the boxes (component_id, page, ord, x, y, w, h) that it
+    lies in, with BBOX_MARGIN around each; points in none are left out."""
+    return _first_boxes(points, boxes).groupBy(key).agg(F.min("first").alias("first")).select(key, F.col("first.component_id").alias("component_id"))
 
 
 def bound_endpoints(lines: DataFrame, boxes: DataFrame) -> DataFrame:
     """Lines (line_id, page, x1, y1, x2, y2) whose ends lie in two different components (component_id, page, ord,
     x, y, w, h), with BBOX_MARGIN around each; of several the first in order."""
-
-    def at(x: str, y: str, name: str) -> DataFrame:
-        ends = lines.select("line_id", "page", F.col(x).alias("x"), F.col(y).alias("y"))
-        return components_at(ends, boxes, "line_id").withColumnRenamed("component_id", name)
-
-    return at("x1", "y1", "from_id").join(at("x2", "y2", "to_id"), "line_id").filter("from_id <> to_id")
+    start = F.col("start")
+    ends = lines.filter("line_id IS NOT NULL").withColumn("start", F.explode(F.array(F.lit(True), F.lit(False))))
+    ends = ends.select("line_id", "page", "start", F.when(start, F.col("x1")).otherwise(F.col("x2")).alias("x"), F.when(start, F.col("y1")).otherwise(F.col("y2")).alias("y"))
+    both = _first_boxes(ends, boxes).groupBy("line_id").agg(F.min(F.when(start, F.col("first"))).alias("a"), F.min(F.when(~start, F.col("first"))).alias("b"))
+    return both.select("line_id", F.col("a.component_id").alias("from_id"), F.col("b.component_id").alias("to_id")).filter("from_id <> to_id")
 
 
 def majority_domain(components: DataFrame, key: str = "page") -> DataFrame:

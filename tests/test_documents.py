@@ -64,6 +64,32 @@ def test_points_find_the_first_box_around_them(spark):
     assert {r.k: r.component_id for r in structured.components_at(p, b, "k").collect()} == want and len(set(want.values())) > 20
 
 
+def joined_rows(df) -> int:
+    """The most rows that a join of the executed plan made."""
+    most, todo = 0, [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        kind = node.getClass().getSimpleName()
+        inner = node.executedPlan() if kind == "AdaptiveSparkPlanExec" else node.plan() if kind.endswith("QueryStageExec") else None
+        if "Join" in kind:
+            most = max(most, node.metrics().apply("numOutputRows").value())
+        todo += [inner] if inner is not None else [node.children().apply(i) for i in range(node.children().size())]
+    return most
+
+
+def test_stacked_boxes_dont_meet_all_points(spark):
+    boxes = [(f"c{i}", 1, (i * 7919) % 1500, i % 3 + (i % 50) / 100, (i % 30) / 100, 40 + i % 5, 30) for i in range(1500)]
+    lines = [(k, 1, float(k % 48), float(k % 37), float(k % 41) + 0.5, float(k % 29)) for k in range(1000)]
+    m = structured.BBOX_MARGIN
+    first = lambda x, y: min(((b[2], b[0]) for b in boxes if b[3] - m <= x <= b[3] + b[5] + m and b[4] - m <= y <= b[4] + b[6] + m), default=(0, None))[1]
+    ends = {k: (first(x1, y1), first(x2, y2)) for k, _, x1, y1, x2, y2 in lines}
+    b = spark.createDataFrame(boxes, "component_id string, page int, ord int, x double, y double, w int, h int")
+    got = structured.bound_endpoints(spark.createDataFrame(lines, "line_id int, page int, x1 double, y1 double, x2 double, y2 double"), b)
+    want = {k: e for k, e in ends.items() if None not in e and e[0] != e[1]}
+    assert {r.line_id: (r.from_id, r.to_id) for r in got.collect()} == want and len(want) > 50
+    assert joined_rows(got) < 200_000  # of up to 3 000 000 pairs
+
+
 def test_drawings_from_files_to_the_graph(spark, tmp_path):
     e = KnowledgeEngine(spark, str(tmp_path / "kb"), HashEmbeddings(8))
 
