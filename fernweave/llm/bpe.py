@@ -10,6 +10,7 @@ nothing fits; memoised compatibility and a mark for dead positions keep that lin
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 import json
 import os
@@ -20,7 +21,7 @@ from itertools import accumulate
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import whole_text
+from .common import lean, slices, whole_text
 
 #: Bytes of each memo in a worker (of chunks, of pieces, of compatible pairs); it is emptied when full.
 MEMO_BYTES = 64 << 20
@@ -284,8 +285,9 @@ class _CountChunks(Chunks):
 
 
 class _Sent:
-    """Made on the driver and broadcast whole, so that no executor needs the vocabulary's file; what is remembered
-    stays in the worker, and goes when Spark takes the broadcast from it."""
+    """Made on the driver and broadcast whole, so that no executor needs the vocabulary's file. What is remembered stays in
+    the worker until forget(), or until Spark takes the broadcast from it; that it does only when the worker has another
+    task, which may be long after."""
 
     _chunks = None
 
@@ -298,6 +300,11 @@ class _Sent:
             self._chunks = self._make_chunks()
         return self._chunks
 
+    def forget(self) -> None:
+        self._chunks = None
+        self.vocabulary._forget()
+        gc.collect()  # memos and what fills them refer to each other
+
 
 class Codec(_Sent):
     """Texts to ids and back, each match of the pattern by itself."""
@@ -331,27 +338,33 @@ def encode_documents(docs: DataFrame, path: str, split: str | None = None, id_co
     sha = lambda x: hashlib.sha256(x).hexdigest()
     names = [id_col, "n_tokens", *(["ids"] if with_ids else []), "ids_sha256", "decoded_sha256"]
 
-    def run(batches):
+    def encoded(batch):
         codec = sent.value
-        for batch in batches:
-            n, raw, ids_sha, decoded_sha = [], [], [], []
-            for text in batch.column("_text"):
-                ids = codec.encode(text.as_py())
-                n.append(len(ids))
-                data = ids.tobytes()
-                if with_ids:
-                    raw.append(data)
-                ids_sha.append(sha(data))
-                decoded_sha.append(sha(codec.decode(ids)))
-            columns = [batch.column(id_col), pa.array(n, pa.int64())]
+        n, raw, ids_sha, decoded_sha = [], [], [], []
+        for text in batch.column("_text"):
+            ids = codec.encode(text.as_py())
+            n.append(len(ids))
+            data = ids.tobytes()
             if with_ids:
-                ends = pa.array([0, *accumulate(n)], pa.int32())
-                columns.append(pa.ListArray.from_arrays(ends, pa.Array.from_buffers(pa.int32(), sum(n), [None, pa.py_buffer(b"".join(raw))])))
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(ids_sha, pa.string()), pa.array(decoded_sha, pa.string())], names=names)
+                raw.append(data)
+            ids_sha.append(sha(data))
+            decoded_sha.append(sha(codec.decode(ids)))
+        columns = [batch.column(id_col), pa.array(n, pa.int64())]
+        if with_ids:
+            ends = pa.array([0, *accumulate(n)], pa.int32())
+            columns.append(pa.ListArray.from_arrays(ends, pa.Array.from_buffers(pa.int32(), sum(n), [None, pa.py_buffer(b"".join(raw))])))
+        return pa.RecordBatch.from_arrays([*columns, pa.array(ids_sha, pa.string()), pa.array(decoded_sha, pa.string())], names=names)
+
+    def run(batches):
+        try:
+            for batch in batches:
+                yield from map(encoded, slices(batch))
+        finally:
+            sent.value.forget()
 
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, n_tokens long{', ids array<int>' if with_ids else ''}, ids_sha256 string, decoded_sha256 string"
-    return docs.select(id_col, whole_text(text_col).alias("_text")).mapInArrow(run, schema)
+    return docs.select(id_col, whole_text(text_col).alias("_text")).mapInArrow(lean(run), schema)
 
 
 def encoding_digests(docs: DataFrame, path: str, split: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

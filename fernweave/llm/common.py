@@ -69,10 +69,41 @@ def sampled(rows: DataFrame, most: int, key: str, seed: int, within: str | None
     return once.withColumn("_place", place).filter(F.col("_place") <= most).drop("_place")
 
 
+def lean(run):
+    """``run``, a function of a task's batches, which in the end gives back to the system what it has freed: Spark keeps
+    its Python workers for other tasks, and what malloc() holds back would stay with them."""
+
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return task
+
+
+def give_back() -> None:
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # only glibc has it
+
+
+def slices(batch, rows: int = 1024) -> Iterator:
+    """A record batch in portions, whose values as Python objects, and what is made of them, are held one at a time."""
+    for lo in range(0, batch.num_rows, rows):
+        yield batch.slice(lo, rows)
+
+
 def in_one_task(rows: DataFrame, order: list[str], run, schema: str, sample: DataFrame, source: DataFrame) -> list:
     """What ``run`` makes of bounded rows, in one task, to the driver: models. Nothing for no rows; but if that is
     because ``sample`` is empty where ``source``, of which it was drawn, isn't, that raises."""
-    made = rows.repartition(1).sortWithinPartitions(*order).mapInPandas(run, schema).collect()
+    made = rows.repartition(1).sortWithinPartitions(*order).mapInPandas(lean(run), schema).collect()
     if not made and sample.isEmpty() and not source.isEmpty():
         raise ValueError("there are rows to learn from, but the sample of them is empty")
     return made
@@ -142,7 +173,7 @@ def spread(rows: DataFrame, per_key: DataFrame, key: str, n: int) -> DataFrame:
 def over_batches(docs: DataFrame, run) -> DataFrame:
     """mapInArrow() that keeps the schema; columns are told by their places, so that they may have any names."""
     plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
-    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
+    return plain.mapInArrow(lean(run), plain.schema).toDF(*docs.columns)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -175,4 +206,4 @@ def by_whole_groups(df: DataFrame, keys: list[str], fn: Callable[[pd.DataFrame],
             frame = pd.concat(held, ignore_index=True)
             yield fn(frame)
 
-    return dealt.mapInPandas(run, schema)
+    return dealt.mapInPandas(lean(run), schema)

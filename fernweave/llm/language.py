@@ -11,13 +11,13 @@ from __future__ import annotations
 import pickle
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, in_one_task, over_batches, sampled, within_chars
+from .common import fold, in_one_task, lean, over_batches, sampled, within_chars
 
 #: A word is a run of letters with their combining marks. Python's own letters leave marks out, so texts with any
 #: sign from U+0300 on go the other way; for all others both give the same.
@@ -25,7 +25,7 @@ _HIGH = re.compile("[\u0300-\U0010ffff]").search
 _PLAIN = re.compile(r"[^\W\d_]+").findall
 BUCKETS = 1 << 17
 #: Bytes that a worker keeps of word types and their scores; numbers (words by labels) that are worked on at a time.
-MEMO_BYTES, AT_ONCE = 48 << 20, 1_600_000
+MEMO_BYTES, AT_ONCE = 48 << 20, 800_000
 UNKNOWN = "und"
 
 
@@ -98,7 +98,8 @@ def forward_backward(scores: np.ndarray, lengths: np.ndarray, transitions: np.nd
     order = np.argsort(-lengths, kind="stable")
     starts = (np.cumsum(lengths) - lengths)[order]
     lens = lengths[order]
-    e = np.exp(scores - scores.max(axis=1, keepdims=True)) if n else scores
+    e = scores - scores.max(axis=1, keepdims=True) if n else scores.copy()
+    np.exp(e, out=e)
     t = np.exp(transitions - transitions.max())
     running = np.searchsorted(-lens, -np.arange(1, (lens[0] if len(lens) else 0) + 1), side="right")
     alpha, beta = np.empty((n, labels)), np.empty((n, labels))
@@ -117,7 +118,7 @@ def forward_backward(scores: np.ndarray, lengths: np.ndarray, transitions: np.nd
             now[: len(b)] = (b * e[at[: len(b)] + 1]) @ t.T
             now[: len(b)] /= now[: len(b)].sum(axis=1, keepdims=True)
         beta[at] = b = now
-    p = alpha * beta
+    p = alpha * beta if pairs else np.multiply(alpha, beta, out=alpha)
     p /= p.sum(axis=1, keepdims=True)
     if not pairs:
         return p
@@ -129,6 +130,22 @@ def forward_backward(scores: np.ndarray, lengths: np.ndarray, transitions: np.nd
     return p, joint.sum(axis=0), later
 
 
+class Values:
+    """A column's values, made when they are asked for."""
+
+    def __init__(self, column):
+        self.column = column
+
+    def __len__(self) -> int:
+        return len(self.column)
+
+    def __iter__(self) -> Iterator[str | None]:
+        return (x.as_py() for x in self.column)
+
+    def __contains__(self, value: object) -> bool:
+        return any(x == value for x in self)
+
+
 def chains_of(text: str) -> list[list[str]]:
     """The words of each line, lower-cased."""
     return [w for line in text.lower().split("\n") if (w := words_of(line))]
@@ -201,7 +218,7 @@ class Model:
             self.held += sum(map(len, new)) * 2 + len(new) * (150 + 8 * len(self.labels))
         return self.rows[np.fromiter(map(self.row_of.__getitem__, words), np.int64, len(words))]
 
-    def shares(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, float, float]]:
+    def shares(self, texts: Collection[str | None]) -> Iterator[tuple[np.ndarray, float, float]]:
         """For each text: the letters of each language by the words' probabilities, the letters by each word's most
         probable language alone, and all letters (0 if there is none). Lines are labelled a number of words at a time,
         so that only a single line's words are ever held together."""
@@ -215,7 +232,8 @@ class Model:
             words = [w for c in held for w in c]
             lengths = np.array([len(c) for c in held], np.int64)
             weight = np.fromiter(map(len, words), np.float64, len(words))
-            p = forward_backward(self._rows(words).astype(np.float64), lengths, self.transitions) * weight[:, None]
+            p = forward_backward(self._rows(words).astype(np.float64), lengths, self.transitions)
+            p *= weight[:, None]
             of = np.repeat(np.array(owner), lengths)
             np.add.at(total, of, p)
             np.add.at(sure, of, p.max(axis=1))
@@ -237,14 +255,14 @@ class Model:
             label()
         yield from zip(total, sure, letters)
 
-    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+    def predict(self, texts: Collection[str | None]) -> list[tuple[str, float]]:
         out = []
         for share, _, letters in self.shares(texts):
             best = int(np.argmax(share)) if letters else -1
             out.append((self.labels[best], min(1.0, max(0.0, float(share[best] / share.sum())))) if letters else (UNKNOWN, 0.0))
         return out
 
-    def knows(self, texts: list[str | None], least: float) -> list[bool]:
+    def knows(self, texts: Collection[str | None], least: float) -> list[bool]:
         return [bool(letters) and sure >= least * letters for _, sure, letters in self.shares(texts)]
 
 
@@ -284,12 +302,12 @@ def identify(docs: DataFrame, model: bytes, held_out: tuple[int, int] = (4, 2),
     def run(batches):
         of = Model(*pickle.loads(sent.value))
         for batch in batches:
-            got = of.predict(batch.column("_text").to_pylist())
+            got = of.predict(Values(batch.column("_text")))
             yield pa.RecordBatch.from_arrays([batch.column(id_col), batch.column("held_out"), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=[id_col, "held_out", "lang_pred", "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     d = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("_text"), (fold(id_col, held_out[0]) == held_out[1]).alias("held_out"))
-    return d.mapInArrow(run, f"`{id_col}` {kind}, held_out boolean, lang_pred string, score double")
+    return d.mapInArrow(lean(run), f"`{id_col}` {kind}, held_out boolean, lang_pred string, score double")
 
 
 def known_language(docs: DataFrame, model: bytes, least: float = 0.4, text_col: str = "text") -> DataFrame:
@@ -304,6 +322,6 @@ def known_language(docs: DataFrame, model: bytes, least: float = 0.4, text_col:
     def run(batches):
         of = Model(*pickle.loads(sent.value))
         for batch in batches:
-            yield batch.filter(pa.array(of.knows(batch.column(at).to_pylist(), least), pa.bool_()))
+            yield batch.filter(pa.array(of.knows(Values(batch.column(at)), least), pa.bool_()))
 
     return over_batches(docs, run)

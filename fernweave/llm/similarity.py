@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_whole_groups, dropped, looked_up, spread, written
+from .common import by_whole_groups, dropped, lean, looked_up, spread, written
 from .words import Hashes, mixed, shingles, words_of
 
 COORDINATES = 64
@@ -137,7 +137,7 @@ def _sketched(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFra
 
     text = F.col(text_col).cast("string")
     d = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("_id"), F.xxhash64(text).alias("_th"), text.alias("_text"))
-    return written(d.mapInArrow(run, f"_row long, _id {docs.schema[id_col].dataType.simpleString()}, _th long, _sig long, _n int, _mh binary, _set binary"))
+    return written(d.mapInArrow(lean(run), f"_row long, _id {docs.schema[id_col].dataType.simpleString()}, _th long, _sig long, _n int, _mh binary, _set binary"))
 
 
 def _values(column) -> np.ndarray:

@@ -114,3 +114,20 @@ def test_frames_with_nulls_ties_and_further_columns(spark, library):
     assert counts.count((1, 3, 2, True)) == 2 and (None, 0, 0, False) in counts
     empty = d.filter(F.lit(False))
     assert bpe.encoding_digests(empty, RANKS).count() == 0 and bpe.token_counts(empty, JSON).count() == 0
+
+
+def test_workers_keep_nothing_of_a_table(spark, library):
+    """Spark keeps its Python workers: what encoding remembered must not stay in them. Portions of a batch join up."""
+
+    def remembered(batches):
+        import gc
+
+        import pandas as pd
+
+        for _ in batches:
+            yield pd.DataFrame({"n": [sum(type(x).__name__ == "_IdChunks" for x in gc.get_objects())]})
+
+    d = spark.range(2500).repartition(4).select(F.col("id").alias("doc_id"), F.concat(F.lit("some text "), F.col("id")).alias("text"))
+    got = bpe.encode_documents(d, RANKS).collect()
+    assert sum(r.n for r in spark.range(0, 8, 1, 8).mapInPandas(remembered, "n long").collect()) == 0
+    assert {r.doc_id: list(r.ids) for r in got} == {i: library.encode_ordinary(f"some text {i}") for i in range(2500)} and len(got) == 2500
